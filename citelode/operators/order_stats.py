@@ -57,9 +57,9 @@ def order_statistics(
     counts = base.groupBy(*group, value).agg(*counting)
     points = [F.lit(i / (CUTS + 1)) for i in range(1, CUTS + 1)]
     cuts = counts.agg(F.percentile_approx(value, F.array(*points), F.lit(1000))).scalar()
-    ranged = counts.withColumn(
-        "__range", F.coalesce(F.size(F.filter(cuts, lambda c: c < F.col(value))), F.lit(0))
-    )
+    ranged = counts.withColumn("__cuts", cuts).withColumn(
+        "__range", F.coalesce(F.size(F.filter("__cuts", lambda c: c < F.col(value))), F.lit(0))
+    ).drop("__cuts")
     sizes = ranged.groupBy(*group, "__range").agg(
         F.sum("__c").alias("__size"), *([F.max("__of").alias("__of")] if of else [])
     )

@@ -1,8 +1,8 @@
 """All registered queries and the SQL they are compared with."""
 
-from citelode.plans import retrieval
+from citelode.plans import documents, evaluation, retrieval
 
-_AREAS = (retrieval,)
+_AREAS = (documents, evaluation, retrieval)
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
