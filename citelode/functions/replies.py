@@ -56,7 +56,7 @@ def source_list(text: Column) -> Column:
 def without_source_list(text: Column) -> Column:
     """Answer text up to its last sources header."""
     tail = F.length(F.substring_index(text, SOURCES_HEADER, -1)) + len(SOURCES_HEADER)
-    body = F.rtrim(F.left(text, F.length(text) - tail))
+    body = F.rtrim(F.left(text, F.length(text) - tail), F.lit(T.SPACE_CHARS))
     return F.when(F.contains(text, F.lit(SOURCES_HEADER)), body).otherwise(text)
 
 

@@ -1,8 +1,8 @@
 """All registered queries and the SQL they are compared with."""
 
-from citelode.plans import documents, evaluation, retrieval
+from citelode.plans import documents, evaluation, experiments, retrieval
 
-_AREAS = (documents, evaluation, retrieval)
+_AREAS = (documents, evaluation, experiments, retrieval)
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
