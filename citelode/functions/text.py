@@ -8,7 +8,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -63,6 +63,18 @@ def collapse(text: Column) -> Column:
     return F.regexp_replace(strip(text), SPACES, " ")
 
 
+def each(frame: DataFrame, keep: list, values: Column, *names: str) -> DataFrame:
+    """One row per array element: ``names`` is (element) or (position, element), after
+    the ``keep`` columns.
+
+    The outer form is used on purpose: for the inner one Spark derives a size filter and
+    pushes it below earlier projections, which evaluates an expensive array twice or,
+    inside lambdas, once per element.
+    """
+    generate = F.explode_outer if len(names) == 1 else F.posexplode_outer
+    return frame.select(*keep, generate(values).alias(*names)).filter(F.col(names[-1]).isNotNull())
+
+
 def non_blank(values: Column) -> Column:
     return F.filter(values, lambda v: v != "")
 

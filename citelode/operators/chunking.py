@@ -187,9 +187,7 @@ def page_chunks(items: DataFrame, max_tokens: int = 1800) -> DataFrame:
     texts = F.when(fits, F.array(whole)).otherwise(
         F.transform(paragraph_packs(F.col("parts"), max_tokens), lambda p: p["text"])
     )
-    pieces = pages.select(
-        "file", "category", "page", F.posexplode(texts).alias("part", "text")
-    ).withColumn("seq", F.struct("page", "part"))
+    pieces = T.each(pages, ["file", "category", "page"], texts, "part", "text").withColumn("seq", F.struct("page", "part"))
     return number_chunks(pieces, "per_page")
 
 
@@ -219,10 +217,9 @@ def table_chunks(items: DataFrame, prose_max_tokens: int = 512) -> DataFrame:
         F.transform(
             F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda s: s["text"]
         ).alias("parts")
-    ).select(
-        "file", "category", "page",
-        F.posexplode(paragraph_packs(F.col("parts"), prose_max_tokens)).alias("part", "pack"),
-    ).select(
+    )
+    packs = paragraph_packs(F.col("parts"), prose_max_tokens)
+    prose = T.each(prose, ["file", "category", "page"], packs, "part", "pack").select(
         "file", "category", "page",
         F.struct(F.lit(0).alias("after"), F.col("page").alias("page"), F.col("part").cast("long").alias("n")).alias("seq"),
         F.col("pack.text").alias("text"),

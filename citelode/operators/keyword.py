@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from citelode.functions import text as T
 from citelode.operators.sizing import is_small, small_side
 
 #: Extra row per chunk that carries its length past the vocabulary join.
@@ -27,8 +28,7 @@ def top_k(df: DataFrame, per: list[str], order: list[Column], k: int, name: str
 def query_terms(queries: DataFrame, tokens: str = "tokens") -> DataFrame:
     """``qid, token, qtf``: repeated query tokens count each time."""
     return (
-        queries.select("qid", F.explode_outer(tokens).alias("token"))
-        .filter(F.col("token").isNotNull())
+        T.each(queries, ["qid"], F.col(tokens), "token")
         .groupBy("qid", "token")
         .agg(F.count(F.lit(1)).alias("qtf"))
     )
@@ -42,11 +42,9 @@ def matched_postings(chunks: DataFrame, vocabulary: DataFrame, keep: list[str] |
     marked = vocabulary.select("token").distinct().union(
         vocabulary.sparkSession.range(1).select(F.lit(LENGTH_MARK).alias("token"))
     )
-    exploded = chunks.select(
-        "chunk_id",
-        *keep,
-        F.size("tokens").alias("dl"),
-        F.explode(F.array_append("tokens", F.lit(LENGTH_MARK))).alias("token"),
+    exploded = T.each(
+        chunks, ["chunk_id", *keep, F.size("tokens").alias("dl")],
+        F.array_append("tokens", F.lit(LENGTH_MARK)), "token",
     )
     return (
         exploded.join(small_side(marked), "token")

@@ -50,7 +50,7 @@ def split_pages(docs: DataFrame) -> DataFrame:
     zipped = F.arrays_zip(
         numbers.alias("number"), F.slice(bodies, 2, F.size(numbers)).alias("body")
     )
-    pages = docs.select(*others, F.posexplode(zipped).alias("pos", "p")).select(
+    pages = T.each(docs, others, zipped, "pos", "p").select(
         *others, (F.col("p.number").cast("int") + 1).alias("page"), F.col("p.body").alias("body"), "pos"
     )
     return pages.groupBy(*others, "page").agg(F.max_by("body", "pos").alias("body"))
@@ -70,8 +70,8 @@ def table_grids(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Pipe-table lines (``keys``, ``pos``, ``line``) to one ``grid`` per table: rule
     lines, empty rows and empty columns dropped, ragged rows padded. Tables with no
     content give no row."""
-    cells = rows.filter(~F.col("line").rlike(TABLE_RULE)).select(
-        *keys, "pos", F.posexplode(_cells(F.col("line"))).alias("col", "cell")
+    cells = T.each(
+        rows.filter(~F.col("line").rlike(TABLE_RULE)), [*keys, "pos"], _cells(F.col("line")), "col", "cell"
     )
     filled = cells.filter(F.col("cell") != "")
     by_row = filled.groupBy(*keys, "pos").agg(
@@ -111,8 +111,8 @@ def page_items(pages: DataFrame, keys: list[str]) -> DataFrame:
     """Pages (``keys``, ``page``, ``body``) to reading-order items: ``seq, kind, text``
     and, for tables, ``grid``. Runs of pipe lines are tables, runs of other lines are
     cleaned and split into paragraphs. Lines of one page share a task; pages are small."""
-    lines = pages.select(
-        *keys, "page", F.posexplode(F.split("body", "\r\n|[\n\r]")).alias("pos", "line")
+    lines = T.each(
+        pages, [*keys, "page"], F.split("body", "\r\n|[\n\r]"), "pos", "line"
     ).withColumn("is_row", F.col("line").rlike(TABLE_ROW))
     in_page = Window.partitionBy(*keys, "page").orderBy("pos")
     turned = F.col("is_row") != F.lag("is_row", 1).over(in_page)
@@ -128,10 +128,9 @@ def page_items(pages: DataFrame, keys: list[str]) -> DataFrame:
             F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda s: s["line"]), "\n"
         ).alias("body")
     )
-    prose = runs.select(
-        *keys, "page", "run",
-        F.posexplode_outer(T.paragraphs(clean(F.col("body")))).alias("part", "text"),
-    ).filter(F.col("text").isNotNull()).select(*keys, "page", "run", "part", F.lit("text").alias("kind"), "text",
+    prose = T.each(
+        runs, [*keys, "page", "run"], T.paragraphs(clean(F.col("body"))), "part", "text"
+    ).select(*keys, "page", "run", "part", F.lit("text").alias("kind"), "text",
              F.lit(None).cast("array<array<string>>").alias("grid"))
     reading = Window.partitionBy(*keys).orderBy("page", "run", "part")
     return tables.unionByName(prose).withColumn(

@@ -42,8 +42,9 @@ def lookup_join(
     """
     if is_small(lookup, rows):
         return facts.join(F.broadcast(lookup), on, how)
+    # The salt depends on the row alone, so a recomputed task salts as before.
     spread = facts.withColumn(
-        "__salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int")
+        "__salt", F.pmod(F.xxhash64(*facts.columns), F.lit(salts)).cast("int")
     )
     copies = lookup.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return spread.join(copies, [*on, "__salt"], how).drop("__salt")

@@ -71,7 +71,7 @@ def pack_paragraphs_greedy(spark, sf_dir):
 
 
 def normalized_token_freq(spark, sf_dir):
-    found = docs(spark, sf_dir).select(F.explode(T.tokens(F.col("text"))).alias("token"))
+    found = T.each(docs(spark, sf_dir), [], T.tokens(F.col("text")), "token")
     return found.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
 
 

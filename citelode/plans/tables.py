@@ -14,10 +14,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for heavy per-row work when a scan has fewer splits than cores.
-    Large inputs have more splits than cores and pass unchanged."""
+    """Use all cores for heavy per-row work when a scan has fewer splits than cores,
+    hashed on the first column, the key. Large inputs have more splits and pass
+    unchanged."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores, df.columns[0]) if df.rdd.getNumPartitions() < cores else df
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
