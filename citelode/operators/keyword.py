@@ -2,14 +2,24 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from citelode.functions import text as T
-from citelode.operators.sizing import is_small, small_side
+from citelode.operators.sizing import small_side
+from citelode.session import cut_lineage
 
 #: Extra row per chunk that carries its length past the vocabulary join.
 LENGTH_MARK = "\u0000"
+#: Query terms scored per pass over the chunks, and matrix cells per step of a batch.
+TERM_BLOCK = 16_384
+MATRIX_CELLS = 4_000_000
 #: Decimals that decide a ranking; sums of doubles differ beyond them.
 RANK_DECIMALS = 9
 
@@ -73,40 +83,120 @@ def corpus_stats(frequency: DataFrame) -> Column:
     ).scalar()
 
 
-def bm25_scores(
-    chunks: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75,
-    keep: list[str] | None = None,
-) -> DataFrame:
-    """``qid, chunk_id, score`` for every chunk that shares a token with the query.
-
-    ``chunks``: chunk_id, tokens. ``queries``: qid, tokens. Published Lucene variant.
-    """
-    keep = keep or []
-    terms = query_terms(queries)
-    postings = matched_postings(chunks, terms, keep)
-    frequency = token_frequencies(postings)
-    corpus = corpus_stats(frequency)
-    # Bounded by the query terms, whose number is checked here.
-    weights = terms.join(frequency, "token")
-    weights = F.broadcast(weights) if is_small(terms) else weights
-    idf = F.log(1 + (corpus["n"] - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    saturation = F.col("tf") / (
-        F.col("tf") + F.lit(k1) * (1 - F.lit(b) + F.lit(b) * F.col("dl") / corpus["avgdl"])
+def query_statistics(chunks: DataFrame, terms: DataFrame) -> DataFrame:
+    """``token, df, mean_dl`` for the queries' tokens and the LENGTH_MARK row. One pass
+    over the chunks, summed before a shuffle of one row per token and task."""
+    marked = terms.select("token").distinct().union(
+        terms.sparkSession.range(1).select(F.lit(LENGTH_MARK).alias("token"))
     )
-    return (
-        postings.join(weights, "token")
-        .groupBy("chunk_id", *keep, "qid")
-        .agg(F.sum(F.col("qtf") * idf * saturation).alias("score"))
+    seen = T.each(
+        chunks, [F.size("tokens").alias("dl")],
+        F.array_append(F.array_distinct("tokens"), F.lit(LENGTH_MARK)), "token",
     )
+    return seen.join(small_side(marked), "token").groupBy("token").agg(
+        F.count(F.lit(1)).alias("df"), F.avg("dl").alias("mean_dl")
+    )
+
+
+def _query_blocks(terms: DataFrame):
+    """Query terms in pieces of bounded size for the driver to broadcast: whole queries,
+    split by hash. Query terms are questions times words, far below the corpus."""
+    total = terms.count()
+    if total <= TERM_BLOCK:
+        yield terms.collect()
+        return
+    pieces = -(-2 * total // TERM_BLOCK)
+    for piece in range(pieces):
+        yield terms.filter(F.pmod(F.xxhash64("qid"), F.lit(pieces)) == piece).collect()
 
 
 def bm25_search(
     chunks: DataFrame, queries: DataFrame, k: int = 20, k1: float = 1.5, b: float = 0.75,
     keep: list[str] | None = None,
 ) -> DataFrame:
-    """Top ``k`` chunks per query with a positive score: ``qid, chunk_id, score, rank``."""
-    scored = bm25_scores(chunks, queries, k1, b, keep).filter(F.col("score") > 0)
-    return top_k(scored, ["qid"], best_first("score"), k)
+    """Top ``k`` chunks per query with a positive score: ``qid, chunk_id, score, rank``
+    and the string columns named in ``keep``.
+
+    ``chunks``: chunk_id, tokens. ``queries``: qid, tokens. Published Lucene variant;
+    query tokens the corpus lacks score nothing. Chunks are scored where they are, batch
+    by batch; a task forwards its best ``k`` per query and batch and nothing else.
+    """
+    keep = keep or []
+    spark = chunks.sparkSession
+    terms = query_terms(queries)
+    weighted = terms.join(query_statistics(chunks, terms), "token", "right")
+    # The right join keeps the LENGTH_MARK row, which no query owns.
+    qid_type = queries.schema["qid"].dataType.simpleString()
+    shape = f"qid {qid_type}, chunk_id string, score double" + "".join(f", {c} string" for c in keep)
+    result = None
+    weighted = cut_lineage(weighted)
+    corpus = weighted.filter(F.col("token") == LENGTH_MARK).first()
+    for rows in _query_blocks(weighted.filter(F.col("qid").isNotNull())):
+        if not rows:
+            continue
+        shared = spark.sparkContext.broadcast(_scoring_tables(rows, corpus["df"], corpus["mean_dl"], k1, b))
+        scored = chunks.select("chunk_id", "tokens", *keep).mapInArrow(_bm25_batches(shared, k, keep), shape)
+        result = scored if result is None else result.unionByName(scored)
+    if result is None:
+        return spark.createDataFrame([], shape + ", rank int")
+    return top_k(result, ["qid"], best_first("score"), k)
+
+
+def _scoring_tables(rows, n_chunks: int, mean_length: float, k1: float, b: float) -> dict:
+    """Vocabulary, queries and the term-by-query weight matrix of one block."""
+    vocabulary = sorted({r["token"] for r in rows})
+    qids = sorted({r["qid"] for r in rows})
+    term_no = {t: i for i, t in enumerate(vocabulary)}
+    query_no = {q: i for i, q in enumerate(qids)}
+    weights = np.zeros((len(vocabulary), len(qids)))
+    for r in rows:
+        idf = math.log(1 + (n_chunks - r["df"] + 0.5) / (r["df"] + 0.5))
+        weights[term_no[r["token"]], query_no[r["qid"]]] = r["qtf"] * idf
+    return {
+        "vocabulary": vocabulary, "qids": qids, "weights": weights,
+        "k1": k1, "b": b, "mean_length": mean_length,
+    }
+
+
+def _bm25_batches(shared, k: int, keep: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = shared.value
+        vocabulary = pa.array(tables["vocabulary"])
+        qids, weights = tables["qids"], tables["weights"]
+        step = max(1, MATRIX_CELLS // max(1, len(vocabulary)))
+        for batch in batches:
+            for start in range(0, batch.num_rows, step):
+                part = batch.slice(start, step)
+                lists = part.column("tokens")
+                lengths = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+                found = pc.index_in(lists.flatten(), vocabulary).to_numpy(zero_copy_only=False)
+                row = np.repeat(np.arange(part.num_rows), lengths)
+                known = ~np.isnan(found.astype(float))
+                cell = row[known] * len(vocabulary) + found[known].astype(np.int64)
+                tf = np.bincount(cell, minlength=part.num_rows * len(vocabulary)).reshape(part.num_rows, -1)
+                norm = tables["k1"] * (1 - tables["b"] + tables["b"] * lengths / tables["mean_length"])
+                with np.errstate(invalid="ignore"):
+                    scores = (np.where(tf > 0, tf / (tf + norm[:, None]), 0.0) @ weights).T
+                ids = part.column("chunk_id").to_numpy(zero_copy_only=False)
+                order = np.argsort(ids, kind="stable")
+                owners, picked, values = [], [], []
+                for q in range(len(qids)):
+                    line = np.round(scores[q][order], RANK_DECIMALS)
+                    best = np.argsort(-line, kind="stable")[:k]
+                    best = order[best[line[best] > 0]]
+                    owners.append(np.full(len(best), q))
+                    picked.append(best)
+                    values.append(scores[q][best])
+                where = np.concatenate(picked)
+                columns = {
+                    "qid": pa.array([qids[i] for i in np.concatenate(owners)]),
+                    "chunk_id": part.column("chunk_id").take(pa.array(where)),
+                    "score": pa.array(np.concatenate(values)),
+                    **{c: part.column(c).take(pa.array(where)) for c in keep},
+                }
+                yield pa.RecordBatch.from_pydict(columns)
+
+    return run
 
 
 def filtered_sparse_search(

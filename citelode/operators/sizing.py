@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 #: Rows up to which a lookup side may be broadcast. Lookup rows are a few short
 #: columns, so this stays in the tens of megabytes.
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS = 500_000
 
 
 def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
@@ -33,7 +33,7 @@ def lookup_join(
     on: list[str],
     how: str = "inner",
     rows: int = BROADCAST_ROWS,
-    salts: int = 32,
+    salts: int = 16,
 ) -> DataFrame:
     """Join facts to a lookup that has few rows per key.
 

@@ -174,7 +174,7 @@ def verify_reply(spark, sf_dir):
 
 
 def calc_expr(spark, sf_dir):
-    lines = D.table(spark, sf_dir, "lineitem")
+    lines = D.spread(D.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_partkey", "l_linenumber", "l_quantity", "l_discount"))
     s = lambda c: F.col(c).cast("string")
     expression = F.concat(
         s("l_quantity"), F.lit(" * max("), s("l_discount"), F.lit(", 0.02) + abs(-"), s("l_linenumber"),

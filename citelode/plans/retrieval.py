@@ -7,15 +7,15 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citelode.functions import text as T
 from citelode.operators import fusion, keyword, vectors
-from citelode.operators.sizing import small_side, within
+from citelode.operators.sizing import small_side
 from citelode.plans import sql_parts as S
 from citelode.plans import tables as D
+from citelode.providers import provider
 from citelode.session import cut_lineage
 
-DIMS = 64
-POOL = 20
+#: Deepest pool any query asks for.
+POOL = 60
 
 
 @dataclass
@@ -28,13 +28,11 @@ class Stages:
 
 
 def dense_stage(spark: SparkSession, sf_dir: str, k: int = 20, filters: DataFrame | None = None) -> DataFrame:
-    embed = vectors.hashing_embedder(DIMS)
+    embed = provider("embedder", "hashing", dims=D.DIMS)
     queries = D.benchmark_queries(spark, sf_dir).select("qid", embed(F.col("tokens")).alias("vector"))
     if filters is not None:
         queries = queries.join(filters, "qid", "left")
-    stored = D.token_chunks(spark, sf_dir).select(
-        "chunk_id", "category", embed(F.col("tokens")).alias("vector")
-    )
+    stored = D.index(spark, sf_dir).select("chunk_id", "category", "vector")
     return vectors.cosine_search(stored, queries, k)
 
 
@@ -42,27 +40,23 @@ def sparse_stage(spark: SparkSession, sf_dir: str, k: int = 20) -> DataFrame:
     return keyword.bm25_search(D.token_chunks(spark, sf_dir), D.benchmark_queries(spark, sf_dir), k)
 
 
-def file_of(chunk_id: str = "chunk_id"):
-    return F.regexp_extract(chunk_id, r"^(.*)#p[^#]*#c\d+$", 1)
-
-
-def texts_of(spark: SparkSession, sf_dir: str, ranked: DataFrame) -> DataFrame:
-    """Chunk text for ranked ids. Only files that hold a ranked chunk are chunked
-    again; their number is bounded by queries times pool."""
+def texts_of(spark: SparkSession, sf_dir: str, ranked: DataFrame, *more: str) -> DataFrame:
+    """Chunk text for ranked ids, whose number is bounded by queries times pool. Ranking
+    moves ids only; text is read for the survivors."""
     rows = D.table(spark, sf_dir, "benchmark").count() * POOL
-    files = within(ranked.select(file_of().alias("file")).distinct(), rows)
-    columns = ["file", "page", "category", "text"]
-    return fusion.hydrate(ranked, D.chunks(spark, sf_dir, only=files), columns, rows)[0]
+    columns = ["file", "page", "category", "text", *more]
+    return fusion.hydrate(ranked, D.index(spark, sf_dir), columns, rows)[0]
 
 
 def rerank(spark: SparkSession, sf_dir: str, fused: DataFrame) -> DataFrame:
     """Text and rerank score of the fused candidates."""
+    score = provider("reranker", "lexical")
     queries = D.benchmark_queries(spark, sf_dir).select("qid", F.col("tokens").alias("asked"))
     return (
-        texts_of(spark, sf_dir, fused)
+        texts_of(spark, sf_dir, fused, "tokens")
         .join(small_side(queries), "qid")
-        .withColumn("rerank_score", fusion.lexical_score(F.col("asked"), T.tokens(F.col("text"))))
-        .drop("asked")
+        .withColumn("rerank_score", score(F.col("asked"), F.col("tokens")))
+        .drop("asked", "tokens")
     )
 
 
@@ -71,14 +65,14 @@ def stages(spark: SparkSession, sf_dir: str) -> Stages:
     they are checkpointed instead of searched again."""
     dense = cut_lineage(dense_stage(spark, sf_dir))
     sparse = cut_lineage(sparse_stage(spark, sf_dir))
-    fused = fusion.hybrid_candidates(dense, sparse, POOL)
+    fused = fusion.hybrid_candidates(dense, sparse, 20)
     reranked = rerank(spark, sf_dir, fused)
     return Stages(dense, sparse, fused, reranked, fusion.gate(reranked))
 
 
 def fused_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     dense = cut_lineage(dense_stage(spark, sf_dir))
-    return fusion.hybrid_candidates(dense, cut_lineage(sparse_stage(spark, sf_dir)), POOL)
+    return fusion.hybrid_candidates(dense, cut_lineage(sparse_stage(spark, sf_dir)), 20)
 
 
 def score(name: str, alias: str | None = None):

@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 from citelode.functions import text as T
 from citelode.operators.chunking import text_chunks
+from citelode.providers import provider
+from citelode.session import shared_table
+
+DIMS = 64
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,18 +35,28 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def chunks(spark: SparkSession, sf_dir: str, only: DataFrame | None = None) -> DataFrame:
-    """Chunked documents; ``only`` (file) restricts the scan before chunking."""
-    source = files(spark, sf_dir)
-    if only is not None:
-        source = source.join(only, "file", "left_semi")
-    return text_chunks(source)
+def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_chunks(files(spark, sf_dir))
+
+
+_INDEXES: dict[tuple[str, str], DataFrame] = {}
+
+
+def index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks with text, tokens and vector, written to the shared folder by the first
+    query of an application that needs them and read by all others: an index is built
+    once and searched many times."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _INDEXES:
+        tokens = provider("normalizer", "whitespace")
+        embed = provider("embedder", "hashing", dims=DIMS)
+        rows = chunks(spark, sf_dir).withColumn("tokens", tokens(F.col("text")))
+        _INDEXES[key] = shared_table(rows.withColumn("vector", embed(F.col("tokens"))), "chunks")
+    return _INDEXES[key]
 
 
 def token_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunks(spark, sf_dir).select(
-        "chunk_id", "file", "category", T.tokens(F.col("text")).alias("tokens")
-    )
+    return index(spark, sf_dir).select("chunk_id", "file", "category", "tokens")
 
 
 def benchmark_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
