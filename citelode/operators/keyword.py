@@ -10,6 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from citelode.functions import text as T
 from citelode.operators.sizing import small_side
@@ -135,7 +136,10 @@ def bm25_search(
         if not rows:
             continue
         shared = spark.sparkContext.broadcast(_scoring_tables(rows, corpus["df"], corpus["mean_dl"], k1, b))
-        scored = chunks.select("chunk_id", "tokens", *keep).mapInArrow(_bm25_batches(shared, k, keep), shape)
+        qid_arrow = to_arrow_type(queries.schema["qid"].dataType)
+        scored = chunks.select("chunk_id", "tokens", *keep).mapInArrow(
+            _bm25_batches(shared, k, keep, qid_arrow), shape
+        )
         result = scored if result is None else result.unionByName(scored)
     if result is None:
         return spark.createDataFrame([], shape + ", rank int")
@@ -158,7 +162,7 @@ def _scoring_tables(rows, n_chunks: int, mean_length: float, k1: float, b: float
     }
 
 
-def _bm25_batches(shared, k: int, keep: list[str]):
+def _bm25_batches(shared, k: int, keep: list[str], qid_type: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = shared.value
         vocabulary = pa.array(tables["vocabulary"])
@@ -189,7 +193,7 @@ def _bm25_batches(shared, k: int, keep: list[str]):
                     values.append(scores[q][best])
                 where = np.concatenate(picked)
                 columns = {
-                    "qid": pa.array([qids[i] for i in np.concatenate(owners)]),
+                    "qid": pa.array([qids[i] for i in np.concatenate(owners)], qid_type),
                     "chunk_id": part.column("chunk_id").take(pa.array(where)),
                     "score": pa.array(np.concatenate(values)),
                     **{c: part.column(c).take(pa.array(where)) for c in keep},

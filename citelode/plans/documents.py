@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from citelode.functions import text as T
-from citelode.operators import chunking, markdown, quality
+from citelode.operators import chunking, markdown, quality, reading_order
 from citelode.operators.order_stats import floor_rank, order_statistics
 from citelode.operators.scan import blocked_last_value, integer_block
 from citelode.plans import sql_parts as S
@@ -208,13 +208,30 @@ def chunk_size_stats(spark, sf_dir):
     return plain.join(ranks, "category")
 
 
+def reading_order_repair(spark, sf_dir):
+    """Document lines in Hebrew letters, every second one with its words backwards,
+    repaired against the original page."""
+    pages = docs(spark, sf_dir).select(
+        F.col("doc_id").alias("file"), F.lit(1).alias("page"), F.translate(F.lower("text"), LATIN, HEBREW).alias("oracle")
+    )
+    lines = T.each(pages, ["file", "page"], F.split("oracle", "\n"), "seq", "line")
+    turned = F.when(F.col("seq") % 2 == 1, F.array_join(F.reverse(F.split("line", " ")), " ")).otherwise(F.col("line"))
+    items = lines.select(
+        "file", "page", "seq", F.when(F.col("seq") % 3 == 0, "cell").otherwise("text").alias("kind"), turned.alias("text"), "line",
+    )
+    fixed = reading_order.repair(items, pages)
+    stats = reading_order.repair_stats(fixed, ["file"])
+    restored = fixed.groupBy("file").agg(F.count_if(F.col("repaired") == F.col("line")).alias("n_as_original"))
+    return stats.join(restored, "file")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         sentence_split_counts, token_count_heuristic, sentence_window_chunks, capped_window_chunks,
         pack_paragraphs_greedy, normalized_token_freq, word_token_stats, page_split, html_clean,
         table_blocks, per_page_chunks, per_table_chunks, heading_carry, canary_check, canary_verdict,
-        canary_sample, order_agreement, content_loss, chunk_size_stats,
+        canary_sample, order_agreement, content_loss, chunk_size_stats, reading_order_repair,
     )
 }
 
@@ -302,6 +319,41 @@ items AS (
     UNION ALL SELECT doc_id, run, part, 'text', 0, 0, content, content FROM prose))"""
 
 
+def _greedy(source, cap):
+    """Greedy packing of ``source`` (file, i, part): pack number per part."""
+    return f"""
+gsized AS (SELECT *, {S.estimate(S.words('part'))} AS t FROM {source}),
+gpacked AS (
+  SELECT file, i, part, 0 AS pack, CASE WHEN t > {cap} THEN NULL ELSE t END AS open_tokens FROM gsized WHERE i = 1
+  UNION ALL
+  SELECT s.file, s.i, s.part,
+         CASE WHEN p.open_tokens IS NOT NULL AND p.open_tokens + s.t <= {cap} THEN p.pack ELSE p.pack + 1 END,
+         CASE WHEN p.open_tokens IS NOT NULL AND p.open_tokens + s.t <= {cap} THEN p.open_tokens + s.t
+              WHEN s.t > {cap} THEN NULL ELSE s.t END
+  FROM gpacked p JOIN gsized s ON s.file = p.file AND s.i = p.i + 1)"""
+
+
+_PAGE_CHUNKS = f"""
+whole AS (
+  SELECT doc_id::VARCHAR AS file, string_agg(text, chr(10) || chr(10) ORDER BY seq) AS text FROM items GROUP BY 1),
+small AS (SELECT * FROM whole WHERE {S.estimate(S.words('text'))} <= 400),
+parts AS (
+  SELECT doc_id::VARCHAR AS file, row_number() OVER (PARTITION BY doc_id ORDER BY seq) AS i, text AS part
+  FROM items WHERE doc_id::VARCHAR NOT IN (SELECT file FROM small)),
+{_greedy('parts', 400)},
+pieces AS (
+  SELECT file, 0 AS pack, text FROM small
+  UNION ALL SELECT file, pack, string_agg(part, chr(10) || chr(10) ORDER BY i) FROM gpacked GROUP BY 1, 2)"""
+
+_TABLE_CHUNKS = f"""
+parts AS (
+  SELECT doc_id::VARCHAR AS file, row_number() OVER (PARTITION BY doc_id ORDER BY seq) AS i, text AS part FROM items WHERE kind = 'text'),
+{_greedy('parts', 512)},
+pieces AS (
+  SELECT file, 0 AS after, pack AS n, string_agg(part, chr(10) || chr(10) ORDER BY i) AS text FROM gpacked GROUP BY 1, 3
+  UNION ALL SELECT doc_id::VARCHAR, 1, seq, text FROM items WHERE kind = 'table')"""
+
+
 def _canary_found():
     return "list_filter([" + ", ".join(
         f"CASE WHEN contains(text, {S.lit(t)}) THEN {S.lit(t)} END" for t in CANARY
@@ -348,6 +400,12 @@ SELECT doc_id, (i % 40 + 1)::INT AS page, md5({S.strip('line')}) AS body_md5 FRO
 SELECT page_id, length(t)::BIGINT AS n_chars, md5(t) AS text_md5 FROM c""",
     "table_blocks": f"""WITH {_ITEMS}
 SELECT doc_id, seq::BIGINT AS seq, kind, n_rows::BIGINT AS n_rows, n_cols::BIGINT AS n_cols, md5(content) AS content_md5 FROM items""",
+    "per_page_chunks": f"""WITH RECURSIVE {_ITEMS}, {_PAGE_CHUNKS}
+SELECT file || '#p1#c' || (row_number() OVER (PARTITION BY file ORDER BY pack) - 1) AS chunk_id, file, 1 AS page,
+  length(text)::BIGINT AS n_chars, md5(text) AS text_md5 FROM pieces""",
+    "per_table_chunks": f"""WITH RECURSIVE {_ITEMS}, {_TABLE_CHUNKS}
+SELECT file || '#p1#c' || (row_number() OVER (PARTITION BY file ORDER BY after, n) - 1) AS chunk_id, file, 1 AS page,
+  length(text)::BIGINT AS n_chars, md5(text) AS text_md5 FROM pieces""",
     "heading_carry": f"""SELECT conv_id, turn, role, md5(last_value(CASE WHEN role = 'user' AND {S.strip('text')} <> '' THEN text END IGNORE NULLS)
   OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) AS heading_md5
 FROM conversations""",
