@@ -1,8 +1,8 @@
 """All registered queries and the SQL they are compared with."""
 
-from citelode.plans import datasets, documents, evaluation, experiments, history, retrieval
+from citelode.plans import answers, datasets, documents, evaluation, experiments, history, retrieval
 
-_AREAS = (documents, retrieval, evaluation, experiments, datasets, history)
+_AREAS = (documents, retrieval, answers, evaluation, experiments, datasets, history)
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
