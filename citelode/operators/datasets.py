@@ -11,6 +11,7 @@ from citelode.operators.scan import (
     blocked_last_value, blocked_row_number, hash_block, hash_order, integer_block,
 )
 from citelode.operators.sizing import lookup_join, small_side
+from citelode.session import cut_lineage
 
 # Fixed values -------------------------------------------------------------------
 DIFFICULTIES = ("easy", "medium", "hard")
@@ -69,7 +70,8 @@ def strip_boilerplate(
         F.transform(starts, lambda i: F.array_join(F.slice("words", i + 1, GRAM), " ")).alias("grams"),
     )
     # A page counts once per gram, so plain counting with map-side sums is enough.
-    repeated = (
+    # Checkpointed, because its size is looked at before it is joined.
+    repeated = cut_lineage(
         T.each(grams, ["category", "n_pages"], F.array_distinct("grams"), "gram")
         .groupBy("category", "n_pages", "gram").agg(F.count(F.lit(1)).alias("n"))
         .filter(F.col("n") >= F.greatest(F.lit(float(min_pages)), F.col("n_pages") * share))

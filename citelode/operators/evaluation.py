@@ -63,14 +63,14 @@ def resolve_citations(citations: DataFrame, corpus: DataFrame, pages: DataFrame)
     ``citations``: file, page (string or null) and keys. ``corpus``: file, kind.
     ``pages``: file, page (int, null for text files), text; a row per real page.
     """
-    files = match_files(citations.select(F.col("file").alias("cited")), corpus)
+    kinds = corpus.select("file", "kind").distinct()
+    files = match_files(citations.select(F.col("file").alias("cited")), corpus).join(kinds, "file", "left")
     number = F.expr("try_cast(page AS int)")
     resolved = (
         lookup_join(
             citations.withColumnRenamed("file", "cited"),
             files.withColumnRenamed("reason", "file_reason"), ["cited"], "left",
         )
-        .join(corpus.select("file", "kind").distinct(), "file", "left")
         .withColumn("number", number)
     )
     texts = pages.select(

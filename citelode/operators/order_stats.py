@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 CUTS = 63
 
 
-# Zero-based rank of the wanted value among ``n`` sorted ones. The reference systems of
-# record use three conventions, so each has a name.
+# Zero-based rank of the wanted value among ``n`` sorted ones. Several conventions are in
+# use, so each has a name.
 def nearest_rank(p: float) -> Callable[[Column], Column]:
     """Half-even rounding of ``p/100 * (n-1)``."""
     return lambda n: F.bround(F.lit(p / 100) * (n - 1)).cast("long")

@@ -12,8 +12,9 @@ from pyspark.sql.types import ArrayType, DoubleType
 
 from citelode.operators.keyword import best_first, top_k
 
-#: Queries scored per pass. With 1024 dimensions a block is 32 MB.
-QUERY_BLOCK = 4096
+#: Queries scored per pass. A block of 1024 dimensions is 8 MB, its scores against one
+#: Arrow batch of 10,000 rows are 80 MB.
+QUERY_BLOCK = 1024
 
 
 def hashed_dimensions(tokens: Column, dims: int) -> Column:

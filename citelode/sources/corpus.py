@@ -76,19 +76,9 @@ def with_urls(files: DataFrame, manifest_path: str) -> DataFrame:
     return files.join(small_side(urls), "file", "left")
 
 
-def read_texts(files: DataFrame) -> DataFrame:
-    """Whole text of each listed file as ``text``, one row per file."""
-    spark = files.sparkSession
-    paths = [r["path"] for r in files.select("path").collect()]
-    if not paths:
-        return files.withColumn("text", F.lit(None).cast("string"))
-    raw = spark.read.format("binaryFile").load(paths)
-    return files.join(raw.select("path", F.decode("content", "UTF-8").alias("text")), "path")
-
-
 def read_corpus_texts(spark: SparkSession, root: str, files: DataFrame) -> DataFrame:
-    """As :func:`read_texts`, reading the tree once and keeping the listed files, so
-    that no list of paths passes through the driver."""
+    """Whole text of each listed file as ``text``. The tree is read once and joined to
+    the list, so that no paths pass through the driver."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     return files.join(raw.select("path", F.decode("content", "UTF-8").alias("text")), "path")
 
