@@ -40,7 +40,7 @@ def evidence(ranked: DataFrame, chars: int = EVIDENCE_CHARS) -> DataFrame:
         F.coalesce(F.col("page").cast("string"), F.lit("-")), F.lit("\n"), F.substring("text", 1, chars),
     )
     return ranked.groupBy("qid").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", line.alias("l")))), lambda s: s["l"]), "\n\n").alias("evidence")
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", line.alias("l")))), lambda s: s["l"]), "\n\n").alias("evidence")
     )
 
 

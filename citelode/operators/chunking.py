@@ -179,7 +179,7 @@ def page_chunks(items: DataFrame, max_tokens: int = 1800) -> DataFrame:
     usable = items.filter(F.col("page").isNotNull() & (T.strip(F.col("text")) != ""))
     pages = usable.groupBy("file", "category", "page").agg(
         F.transform(
-            F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda s: s["text"]
+            F.sort_array(F.collect_list(F.struct("seq", "text"))), lambda s: s["text"]
         ).alias("parts")
     )
     whole = F.array_join("parts", "\n\n")
@@ -215,7 +215,7 @@ def table_chunks(items: DataFrame, prose_max_tokens: int = 512) -> DataFrame:
         (F.col("kind") != "table") & F.col("page").isNotNull() & (T.strip(F.col("text")) != "")
     ).groupBy("file", "category", "page").agg(
         F.transform(
-            F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda s: s["text"]
+            F.sort_array(F.collect_list(F.struct("seq", "text"))), lambda s: s["text"]
         ).alias("parts")
     )
     packs = paragraph_packs(F.col("parts"), prose_max_tokens)

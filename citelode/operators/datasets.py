@@ -86,7 +86,7 @@ def strip_boilerplate(
     left = T.each(words, ["id"], F.col("words"), "pos", "word").join(marked, ["id", "pos"], "left_anti")
     # Unmarked words of one page; a page fits a task.
     island = F.col("pos") - F.row_number().over(Window.partitionBy("id").orderBy("pos"))
-    ordered = lambda *c: F.array_sort(F.collect_list(F.struct(*c)))
+    ordered = lambda *c: F.sort_array(F.collect_list(F.struct(*c)))
     runs = left.withColumn("island", island).groupBy("id", "island").agg(
         F.count(F.lit(1)).alias("n"), F.min("pos").alias("start"),
         F.array_join(F.transform(ordered("pos", "word"), lambda s: s["word"]), " ").alias("run"),

@@ -35,7 +35,7 @@ def expand_families(categories: Column, families: dict[str, tuple[str, ...]] = F
     for members in families.values():
         family = F.array(*[F.lit(m) for m in members])
         out = F.when(F.arrays_overlap(categories, family), F.array_union(out, family)).otherwise(out)
-    return F.array_sort(F.array_distinct(out))
+    return F.sort_array(F.array_distinct(out))
 
 
 def filter_for(policy: str, categories: Column, gold: Column, families=FAMILIES) -> Column:
@@ -96,7 +96,7 @@ def category_hint(candidates: DataFrame) -> DataFrame:
     )
     ordered = seen.groupBy("qid").agg(
         F.sum("n").alias("n_hits"),
-        F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("order"), "first", "category", "n"))).alias("h"),
+        F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("order"), "first", "category", "n"))).alias("h"),
     )
     return ordered.select(
         "qid", "n_hits",

@@ -80,8 +80,8 @@ def table_grids(rows: DataFrame, keys: list[str]) -> DataFrame:
     live = (
         by_row.groupBy(*keys)
         .agg(
-            F.array_sort(F.collect_list(F.struct("pos", "row"))).alias("rows"),
-            F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.col("row.col"))))).alias("cols"),
+            F.sort_array(F.collect_list(F.struct("pos", "row"))).alias("rows"),
+            F.sort_array(F.array_distinct(F.flatten(F.collect_list(F.col("row.col"))))).alias("cols"),
         )
     )
     return live.select(
@@ -125,7 +125,7 @@ def page_items(pages: DataFrame, keys: list[str]) -> DataFrame:
     )
     runs = lines.filter(~F.col("is_row")).groupBy(*keys, "page", "run").agg(
         F.array_join(
-            F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda s: s["line"]), "\n"
+            F.transform(F.sort_array(F.collect_list(F.struct("pos", "line"))), lambda s: s["line"]), "\n"
         ).alias("body")
     )
     prose = T.each(

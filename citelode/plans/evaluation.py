@@ -381,7 +381,7 @@ def suggestions(spark, sf_dir):
     disagreement = records.agg(F.avg(F.when(~F.col("failed"), F.col("disagreement").cast("double")))).scalar()
     weak = F.filter("domains", lambda d: d["correctness"] <= F.col("correctness") - 1.5)
     metrics = wide.withColumn("disagreement_rate", disagreement).withColumn(
-        "weak_domains", F.array_join(F.transform(F.array_sort(weak), lambda d: d["bucket"]), ", ")
+        "weak_domains", F.array_join(F.transform(F.sort_array(weak), lambda d: d["bucket"]), ", ")
     )
     return E.apply_rules(metrics, _rules()).select("priority", "ordinal", "rule", "message")
 
@@ -431,7 +431,7 @@ def context_budget(spark, sf_dir):
     kept = E.context_budget(ranked, "qid", "rank", T.approx_tokens(F.col("block")), 600)
     return kept.groupBy("qid").agg(
         F.count(F.lit(1)).alias("n_blocks"), F.max("used_tokens").alias("used_tokens"),
-        F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "block"))), lambda s: s["block"]), "\n\n")).alias("context_md5"),
+        F.md5(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "block"))), lambda s: s["block"]), "\n\n")).alias("context_md5"),
     )
 
 

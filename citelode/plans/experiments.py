@@ -176,7 +176,7 @@ def filter_policies(spark, sf_dir):
 
 def self_consistency_vote(spark, sf_dir):
     samples = _tagged(spark, sf_dir).groupBy("doc_id").agg(F.collect_list("words").alias("samples"))
-    return samples.select("doc_id", F.array_join(F.array_sort(X.vote(F.col("samples"), 2)), ",").alias("kept"))
+    return samples.select("doc_id", F.array_join(F.sort_array(X.vote(F.col("samples"), 2)), ",").alias("kept"))
 
 
 def routing(spark, sf_dir):

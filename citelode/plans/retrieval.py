@@ -117,7 +117,7 @@ def label_centroids(spark, sf_dir):
     rows = D.table(spark, sf_dir, "embeddings").select("label", F.posexplode("embedding").alias("i", "x"))
     means = rows.groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
     return means.groupBy(F.col("label").alias("qid")).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("vector")
+        F.transform(F.sort_array(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("vector")
     )
 
 
