@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citelode.llm import exact_dedup, mixing, pack
+from citelode.llm import exact_dedup, mixing, pack, toxicity
 from citelode.llm.common import table
 
 
@@ -44,5 +44,12 @@ def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
-QUERIES = {"op1_pack": op1_pack, "op2_exact_dedup": op2_exact_dedup, "op8_mix": op8_mix}
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    scored = docs.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), toxicity.score(docs, model).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+QUERIES = {"op1_pack": op1_pack, "op2_exact_dedup": op2_exact_dedup, "op8_mix": op8_mix, "op10_toxicity": op10_toxicity}
 ORACLES = {"op2_exact_dedup": OP2_SQL, "op8_mix": mixing.SQL}
