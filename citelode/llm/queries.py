@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citelode.llm import exact_dedup, mixing, pack, toxicity
+from citelode.llm import exact_dedup, mixing, pack, repetition, toxicity
 from citelode.llm.common import table
 
 
@@ -44,6 +44,13 @@ def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op9_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = repetition.judge(table(spark, sf_dir, "documents"))
+    return judged.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
@@ -51,5 +58,15 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
-QUERIES = {"op1_pack": op1_pack, "op2_exact_dedup": op2_exact_dedup, "op8_mix": op8_mix, "op10_toxicity": op10_toxicity}
-ORACLES = {"op2_exact_dedup": OP2_SQL, "op8_mix": mixing.SQL}
+QUERIES = {
+    "op1_pack": op1_pack,
+    "op2_exact_dedup": op2_exact_dedup,
+    "op8_mix": op8_mix,
+    "op9_repetition": op9_repetition,
+    "op10_toxicity": op10_toxicity,
+}
+ORACLES = {
+    "op2_exact_dedup": OP2_SQL,
+    "op8_mix": mixing.SQL,
+    "op9_repetition": repetition.SQL,
+}
