@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,19 +74,51 @@ class BlockedBloom:
         words = F.sort_array(F.collect_list(F.struct("id", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))))
         return cls(shared_table(every.agg(F.transform(words, lambda word: word["bits"]).alias("words")), "filter"), size)
 
-    def may_hold(self, hashed: Column) -> Column:
-        place = hashed.bitwiseAND(F.lit(self.size - 1)) + 1
-        mask = self._mask(hashed)
-        return F.element_at(self.stored.scalar(), place.cast("int")).bitwiseAND(mask) == mask
+    @classmethod
+    def _holds(cls, words: Column, size: int, hashed: Column) -> Column:
+        place = hashed.bitwiseAND(F.lit(size - 1)) + 1
+        return F.element_at(words, place.cast("int")).bitwiseAND(cls._mask(hashed)) == cls._mask(hashed)
+
+    def _attached(self, df: DataFrame) -> DataFrame:
+        return df.withColumn("_llm_filter", self.stored.scalar())
+
+    def split(self, df: DataFrame, hashed: Column) -> tuple[DataFrame, DataFrame]:
+        """The rows whose hash may be a key, and the rows whose hash certainly is none. The
+        hash goes through a one-element array, so that it is computed once for all its uses."""
+        wide = self._attached(df)
+        pair = F.array(F.struct(hashed.alias("hash"), F.col("_llm_filter").alias("words")))
+        held = F.exists(pair, lambda x: self._holds(x["words"], self.size, x["hash"]))
+        return wide.filter(held).drop("_llm_filter"), wide.filter(~held).drop("_llm_filter")
+
+    def with_possible(self, df: DataFrame, name: str, values: Column, key: Callable[[Column], Column]) -> DataFrame:
+        """``df`` with the elements of the array ``values`` whose hash ``key(element)`` may be a key."""
+        copies = F.array_repeat(F.col("_llm_filter"), F.size(values))
+        pairs = F.zip_with(values, copies, lambda value, words: F.struct(
+            value.alias("value"), F.exists(F.array(key(value)), lambda h: self._holds(words, self.size, h)).alias("held")
+        ))
+        held = F.transform(F.filter(pairs, lambda pair: pair["held"]), lambda pair: pair["value"])
+        return self._attached(df).withColumn(name, held).drop("_llm_filter")
+
+
+def portions(texts: pa.Array, most: int = 2_000_000, rows: int = 2_000) -> Iterator[tuple[int, int]]:
+    """Row ranges of about ``most`` bytes of text each, so that working memory does not
+    follow the rows of a batch; a longer text is a range of its own."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
+    start = held = 0
+    for at, size in enumerate(sizes):
+        if at > start and (held + size > most or at - start >= rows):
+            yield start, at
+            start, held = at, 0
+        held += size
+    if start < len(sizes):
+        yield start, len(sizes)
 
 
 def without(docs: DataFrame, key: Column, losers: DataFrame) -> DataFrame:
     """``docs`` less the rows whose ``key`` hash is in ``losers.key`` (a materialised table).
 
     Rows the filter clears never move; only the possible losers are shuffled for the
-    exact anti join.
-    """
-    bloom = BlockedBloom.build(losers, "key")
-    possible = bloom.may_hold(key)
-    checked = docs.filter(possible).join(losers.select(F.col("key").alias("_llm_key")), key == F.col("_llm_key"), "left_anti")
-    return docs.filter(~possible).unionByName(checked)
+    exact anti join."""
+    possible, clear = BlockedBloom.build(losers, "key").split(docs, key)
+    lost = losers.select(F.col("key").alias("_llm_key"))
+    return clear.unionByName(possible.join(lost, key == F.col("_llm_key"), "left_anti"))

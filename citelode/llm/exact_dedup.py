@@ -120,7 +120,7 @@ def false_matches(docs: DataFrame, text: str, suspects: DataFrame) -> DataFrame:
     stage, so a group of any size sends one row per task and piece."""
     bloom = BlockedBloom.build(suspects, "probe")
     raw = whole_text(text)
-    again = docs.select(raw.alias("raw")).filter(bloom.may_hold(_probe(F.col("raw"))))
+    again, _ = bloom.split(docs.select(raw.alias("raw")), _probe(F.col("raw")))
     prints = again.select(normalised(F.col("raw")).alias("plain")).withColumn("print", compose(hash_pieces("plain")))
     last = F.greatest(F.lit(0), F.ceil(F.length("plain") / COMPARED).cast("int") - 1)
     pieces = prints.select("print.*", "plain", F.explode(F.sequence(F.lit(0), last)).alias("at"))
@@ -161,9 +161,9 @@ def drop_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     judged = shared_table(duplicate_groups(docs, doc_id, text).filter("group_size > 1").select("row", "probe", "kept"), "judged")
     bloom = BlockedBloom.build(judged.select("probe").distinct(), "probe")
     raw = whole_text(text)
-    possible = bloom.may_hold(_probe(raw))
+    possible, alone = bloom.split(docs, _probe(raw))
     # All rows of a group are losers but the kept, and kept rows that repeat leave one.
     losers = judged.filter("NOT kept").select(F.col("row").alias("_llm_row")).distinct()
-    marked = docs.filter(possible).withColumn("_llm_key", row_key(doc_id, raw))
+    marked = possible.withColumn("_llm_key", row_key(doc_id, raw))
     stay = marked.join(losers, F.col("_llm_key") == F.col("_llm_row"), "left_anti").dropDuplicates(["_llm_key"]).drop("_llm_key")
-    return docs.filter(~possible).unionByName(stay)
+    return alone.unionByName(stay)

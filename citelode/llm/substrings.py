@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from citelode.llm.common import BlockedBloom, row_key, same, whole_text
+from citelode.llm.common import BlockedBloom, portions, row_key, same, whole_text
 from citelode.session import shared_table
 
 WINDOW = 35
@@ -38,8 +38,6 @@ RUN = 16
 HOT = 2_000
 #: Windows in one packed string at most.
 PACKED = 64
-#: Texts handled together.
-SLICE = 500
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -89,9 +87,9 @@ def minimiser_counts(docs: DataFrame, text: str) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
+            for start, end in portions(batch.column(0)):
                 found = []
-                for value in batch.column(0).slice(at, SLICE).to_pylist():
+                for value in batch.column(0).slice(start, end - start).to_pylist():
                     found.append(minimisers(value.encode().split())[1])
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found), pa.int64())], names=["minimiser"])
 
@@ -123,8 +121,8 @@ def travelling(rows: DataFrame, repeated: np.ndarray, hot: np.ndarray) -> DataFr
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                some, out = batch.slice(at, SLICE), []
+            for start, end in portions(batch.column(2)):
+                some, out = batch.slice(start, end - start), []
                 for doc, row, value in zip(*(some.column(i).to_pylist() for i in range(3)), strict=True):
                     words = value.encode().split()
                     least, _ = minimisers(words)
@@ -242,11 +240,11 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     bloom = BlockedBloom.build(spans, "row")
     raw = whole_text(text)
     rows = docs.select(F.col(doc_id).alias("doc_id"), row_key(doc_id, raw).alias("row"), raw.alias("text"))
-    possible = bloom.may_hold(F.col("row"))
+    possible, alone = bloom.split(rows, F.col("row"))
     known = spans.select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"), "spans").hint("shuffle_hash")
-    joined = rows.filter(possible).join(known, same(F.col("doc_id").cast("long"), F.col("_id")) & (F.col("row") == F.col("_row")), "left")
+    joined = possible.join(known, same(F.col("doc_id").cast("long"), F.col("_id")) & (F.col("row") == F.col("_row")), "left")
     none = F.lit(None).cast("array<struct<first:int,end:int>>")
-    every = rows.filter(~possible).select("doc_id", "text", none.alias("spans")).unionByName(joined.select("doc_id", "text", "spans"))
+    every = alone.select("doc_id", "text", none.alias("spans")).unionByName(joined.select("doc_id", "text", "spans"))
     return every.select("doc_id", take_out("text", "spans").alias("out")).select("doc_id", "out.*")
 
 
