@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citelode.llm.common import whole_text
+from citelode.llm.common import portions, whole_text
 from citelode.session import shared_table
 
 LENGTH = 4096
@@ -33,7 +33,9 @@ BITS = 12
 #: Tokens in a stretch of the curve that one task packs.
 STRETCH = 4_000_000
 #: Words whose tokens a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 600_000
+#: Marks that may follow a word.
+MARKS = b",.;:!?%&$#*|)"
 
 _TOKENIZED = pa.schema([("doc_id", pa.int64()), ("curve", pa.int64()), ("doc_tokens", pa.int64()), ("ids", pa.binary())])
 
@@ -45,24 +47,54 @@ class WordTokens:
     inside words, so the tokens of a text are those of its words in order. Words are
     encoded by the tokenizer itself, new ones of a batch at once."""
 
+    _known: dict[str, WordTokens] = {}
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
         self._memory: dict[bytes, bytes] = {}
 
+    @classmethod
+    def of(cls, path: str) -> WordTokens:
+        """The one of this worker, which keeps its memory from task to task."""
+        if path not in cls._known:
+            cls._known[path] = cls(path)
+        return cls._known[path]
+
+    def _learn(self, words: list[bytes]) -> None:
+        memory = self._memory
+        for at in range(0, len(words), 20_000):
+            some = words[at : at + 20_000]
+            encoded = self._tokenizer.encode_batch_fast([word.decode() for word in some], add_special_tokens=False)
+            memory.update((word, np.array(one.ids, dtype="<u4").tobytes()) for word, one in zip(some, encoded, strict=True))
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = [text.encode().split() for text in texts]
+        split = []
+        for text in texts:
+            data = text.encode()
+            # The tokenizer lower-cases; ASCII letters can be lower-cased before, but not in its special strings.
+            split.append((data if b"<|" in data else data.lower()).split())
         if len(self._memory) > REMEMBERED:
             self._memory.clear()
         memory = self._memory
-        fresh = list({word for words in split for word in words} - memory.keys())
-        for at in range(0, len(fresh), 20_000):
-            some = fresh[at : at + 20_000]
-            encoded = self._tokenizer.encode_batch_fast([word.decode() for word in some], add_special_tokens=False)
-            memory.update((word, np.array(one.ids, dtype="<u4").tobytes()) for word, one in zip(some, encoded, strict=True))
+        fresh = set().union(*split) - memory.keys()
+        parts = {word: self._parts(word) for word in fresh}
+        self._learn(list({part for some in parts.values() for part in some} - memory.keys()))
+        for word, some in parts.items():
+            if len(some) > 1:
+                memory[word] = b"".join([memory[part] for part in some])
         return [np.frombuffer(b"".join([memory[word] for word in words]), dtype="<u4") for words in split]
 
+    @staticmethod
+    def _parts(word: bytes) -> tuple[bytes, ...]:
+        """The word and the marks after it: the tokenizer's pattern always cuts between an
+        ASCII letter or digit and a mark that is no apostrophe."""
+        bare = word.rstrip(MARKS)
+        if bare and bare != word and b"<|" not in word and bare[-1:].isalnum():
+            return bare, word[len(bare) :]
+        return (word,)
+
 
 def projection() -> np.ndarray:
     return np.random.default_rng(20).standard_normal((BUCKETS, DIMENSIONS))
@@ -109,11 +141,11 @@ def tokenized(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str
     """``doc_id, curve, doc_tokens, ids`` (little-endian unsigned 32-bit ids)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, matrix = WordTokens(tokenizer), projection()
+        tokens, matrix = WordTokens.of(tokenizer), projection()
         end = np.array([END], dtype="<u4")
         for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                batch = whole.slice(at, 1000)
+            for start, stop in portions(whole.column("text")):
+                batch = whole.slice(start, stop - start)
                 ids = [np.concatenate([one, end]) for one in tokens.encode(batch.column("text").to_pylist())]
                 curve = hilbert_keys(np.stack([hashed_point(one, matrix) for one in ids]))
                 yield pa.RecordBatch.from_arrays(
