@@ -22,6 +22,7 @@ of single characters ("i d i o t") is read as one string too. Other columns are
 from __future__ import annotations
 
 import math
+import uuid
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -30,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from citelode.llm.common import WORD, whole_text
+from citelode.llm.common import WORD, portions, whole_text
 from citelode.session import shared_table
 
 #: Labelled documents the classifier is fitted on, at most, of each label.
@@ -125,6 +126,10 @@ def spelled(words: list[bytes]) -> list[bytes]:
     return out
 
 
+#: Scores of words by model, in a worker and across its tasks.
+_MEMORY: dict[str, dict[bytes, float]] = {}
+
+
 @dataclass
 class Model:
     """Landmarks, the machine's weights over them, and the logistic curve."""
@@ -134,7 +139,7 @@ class Model:
     bias: float
     slope: float = 1.0
     shift: float = 0.0
-    _memory: dict[bytes, float] = field(default_factory=dict, repr=False)
+    name: str = field(default_factory=lambda: uuid.uuid4().hex)
 
     def string_scores(self, strings: list[str]) -> np.ndarray:
         return kernel_values(strings, self.landmarks) @ self.weights + self.bias
@@ -144,9 +149,10 @@ class Model:
         split = [text.encode().split() for text in texts]
         for words in split:
             words += spelled(words)
-        memory = self._memory
-        if len(memory) > REMEMBERED:
-            memory.clear()
+        if self.name not in _MEMORY or len(_MEMORY[self.name]) > REMEMBERED:
+            _MEMORY.clear()
+            _MEMORY[self.name] = {}
+        memory = _MEMORY[self.name]
         fresh = list({word for words in split for word in words} - memory.keys())
         for at in range(0, len(fresh), 50_000):
             some = fresh[at : at + 50_000]
@@ -156,9 +162,6 @@ class Model:
             memory.update(zip(some, np.maximum.reduceat(scores, firsts).tolist(), strict=True))
         return np.array([max(map(memory.__getitem__, words), default=self.bias) for words in split], dtype=np.float64)
 
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"_memory": {}}
-
 
 def machine(features: np.ndarray, labels: np.ndarray, weights: np.ndarray, c: float = 10.0) -> tuple[np.ndarray, float]:
     """Linear support vector machine with squared hinge, by Newton steps on the rows
@@ -283,7 +286,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 def worst_score(model: Model, text: Column) -> Column:
     @F.arrow_udf(T.DoubleType())
     def scored(texts: pa.Array) -> pa.Array:
-        return pa.array(np.concatenate([np.zeros(0), *(model.worst(texts[at : at + 500].to_pylist()) for at in range(0, len(texts), 500))]))
+        return pa.array(np.concatenate([np.zeros(0), *(model.worst(texts.slice(start, end - start).to_pylist()) for start, end in portions(texts))]))
 
     return scored(text)
 
