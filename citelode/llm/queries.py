@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citelode.llm import exact_dedup, mixing, pack, repetition, substrings, toxicity
+from citelode.llm import exact_dedup, mixing, pack, repetition, substrings, toxicity, url_filter, warc
 from citelode.llm.common import table
 
 
@@ -39,11 +39,20 @@ SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept,
 """
 
 
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"), url_filter.rule_table(spark, url_filter.RULES))
+
+
 def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = substrings.remove_repeats(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = warc.capture_index(table(spark, sf_dir, "pages"))
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     taken = mixing.sample(table(spark, sf_dir, "documents"))
     return taken.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
@@ -66,14 +75,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_pack": op1_pack,
     "op2_exact_dedup": op2_exact_dedup,
+    "op4_url_filter": op4_url_filter,
     "op5_substrings": op5_substrings,
+    "op6_warc": op6_warc,
     "op8_mix": op8_mix,
     "op9_repetition": op9_repetition,
     "op10_toxicity": op10_toxicity,
 }
 ORACLES = {
     "op2_exact_dedup": OP2_SQL,
+    "op4_url_filter": url_filter.SQL,
     "op5_substrings": substrings.SQL,
+    "op6_warc": warc.SQL,
     "op8_mix": mixing.SQL,
     "op9_repetition": repetition.SQL,
 }
