@@ -114,11 +114,13 @@ def portions(texts: pa.Array, most: int = 2_000_000, rows: int = 2_000) -> Itera
         yield start, len(sizes)
 
 
-def without(docs: DataFrame, key: Column, losers: DataFrame) -> DataFrame:
-    """``docs`` less the rows whose ``key`` hash is in ``losers.key`` (a materialised table).
-
-    Rows the filter clears never move; only the possible losers are shuffled for the
-    exact anti join."""
-    possible, clear = BlockedBloom.build(losers, "key").split(docs, key)
-    lost = losers.select(F.col("key").alias("_llm_key"))
-    return clear.unionByName(possible.join(lost, key == F.col("_llm_key"), "left_anti"))
+def one_of_each(docs: DataFrame, key: Column, judged: DataFrame) -> DataFrame:
+    """``docs`` with the rows of groups that are judged to stay, one row per key.
+
+    ``judged`` (materialised) has ``key, kept`` for the rows of groups of two or more; all other
+    rows of ``docs`` stay and, but for the filter's false positives, never move."""
+    possible, alone = BlockedBloom.build(judged.select("key").distinct(), "key").split(docs, key)
+    lost = judged.filter("NOT kept").select(F.col("key").alias("_llm_lost")).distinct()
+    marked = possible.withColumn("_llm_key", key)
+    stay = marked.join(lost, F.col("_llm_key") == F.col("_llm_lost"), "left_anti").dropDuplicates(["_llm_key"])
+    return alone.unionByName(stay.drop("_llm_key"))

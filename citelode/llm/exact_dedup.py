@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from citelode.llm.common import BLANKS, BlockedBloom, row_key, same, whole_text
+from citelode.llm.common import BLANKS, BlockedBloom, one_of_each, row_key, same, whole_text
 from citelode.session import shared_table
 
 #: Two primes under 2^31, so that products stay inside a long, and their bases.
@@ -150,7 +150,7 @@ def duplicate_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     return judged.select(
         "doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("best.id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), (alone | stays).alias("kept"), "text_sha256",
-        "chars", "row", "probe",
+        "row",
     )
 
 
@@ -158,12 +158,5 @@ def drop_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     """``docs`` with one row of each group of equal texts, columns as they were.
 
     Only rows that share a fingerprint with another are shuffled."""
-    judged = shared_table(duplicate_groups(docs, doc_id, text).filter("group_size > 1").select("row", "probe", "kept"), "judged")
-    bloom = BlockedBloom.build(judged.select("probe").distinct(), "probe")
-    raw = whole_text(text)
-    possible, alone = bloom.split(docs, _probe(raw))
-    # All rows of a group are losers but the kept, and kept rows that repeat leave one.
-    losers = judged.filter("NOT kept").select(F.col("row").alias("_llm_row")).distinct()
-    marked = possible.withColumn("_llm_key", row_key(doc_id, raw))
-    stay = marked.join(losers, F.col("_llm_key") == F.col("_llm_row"), "left_anti").dropDuplicates(["_llm_key"]).drop("_llm_key")
-    return alone.unionByName(stay)
+    judged = duplicate_groups(docs, doc_id, text).filter("group_size > 1").select(F.col("row").alias("key"), "kept")
+    return one_of_each(docs, row_key(doc_id, whole_text(text)), shared_table(judged, "judged"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citelode.llm import exact_dedup, mixing, pack, repetition, substrings, toxicity, url_filter, warc
+from citelode.llm import exact_dedup, mixing, near_dup, pack, repetition, substrings, toxicity, url_filter, warc
 from citelode.llm.common import table
 
 
@@ -53,6 +53,11 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op7_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    linked = near_dup.link(table(spark, sf_dir, "documents"), width=3, percent=85)
+    return linked.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     taken = mixing.sample(table(spark, sf_dir, "documents"))
     return taken.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
@@ -78,6 +83,7 @@ QUERIES = {
     "op4_url_filter": op4_url_filter,
     "op5_substrings": op5_substrings,
     "op6_warc": op6_warc,
+    "op7_near_dup": op7_near_dup,
     "op8_mix": op8_mix,
     "op9_repetition": op9_repetition,
     "op10_toxicity": op10_toxicity,
