@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citelode.llm import exact_dedup, mixing, near_dup, pack, repetition, substrings, toxicity, url_filter, warc
+from citelode.llm import exact_dedup, main_text, mixing, near_dup, pack, repetition, substrings, toxicity, url_filter, warc
 from citelode.llm.common import table
 
 
@@ -39,6 +39,12 @@ SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept,
 """
 
 
+def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    texts = pages.select("page_id", "url", main_text.main_text(pages).alias("text"))
+    return texts.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), url_filter.rule_table(spark, url_filter.RULES))
 
@@ -80,6 +86,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_pack": op1_pack,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_main_text": op3_main_text,
     "op4_url_filter": op4_url_filter,
     "op5_substrings": op5_substrings,
     "op6_warc": op6_warc,
