@@ -146,20 +146,20 @@ class Model:
 
     def worst(self, texts: list[str]) -> np.ndarray:
         """Score of each text's worst string; ``bias`` for a text without strings."""
-        split = [text.encode().split() for text in texts]
+        split = [text.encode().lower().split() for text in texts]
         for words in split:
             words += spelled(words)
         if self.name not in _MEMORY or len(_MEMORY[self.name]) > REMEMBERED:
             _MEMORY.clear()
             _MEMORY[self.name] = {}
-        memory = _MEMORY[self.name]
-        fresh = list({word for words in split for word in words} - memory.keys())
+        memory = _MEMORY[self.name]  # words as bytes and the strings they are read as
+        cut = {word: pieces_of(word) for word in set().union(*split) - memory.keys()}
+        fresh = list({piece for pieces in cut.values() for piece in pieces} - memory.keys())
         for at in range(0, len(fresh), 50_000):
             some = fresh[at : at + 50_000]
-            cut = [pieces_of(word) for word in some]
-            scores = self.string_scores([piece for pieces in cut for piece in pieces])
-            firsts = np.cumsum([0, *[len(pieces) for pieces in cut[:-1]]])
-            memory.update(zip(some, np.maximum.reduceat(scores, firsts).tolist(), strict=True))
+            memory.update(zip(some, self.string_scores(some).tolist(), strict=True))
+        for word, pieces in cut.items():
+            memory[word] = max([memory[piece] for piece in pieces])
         return np.array([max(map(memory.__getitem__, words), default=self.bias) for words in split], dtype=np.float64)
 
 
