@@ -16,6 +16,8 @@ the boundary falls between them. Sources of size 0 have target 0. Empty input gi
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,7 +63,7 @@ def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SH
     )
     level = (F.least(F.col("all_size") * share, F.col("all_size") * float(most)) - F.col("full")) / F.col("open_weight")
     fits = levels.withColumn("level", F.when(level <= F.col("full_at"), level))
-    chosen = F.coalesce(F.min("level").over(all_rows), F.max("full_at").over(all_rows))
+    chosen = F.coalesce(F.max("level").over(all_rows), F.max("full_at").over(all_rows))
     target = F.least(F.col("bound"), chosen * F.col("weight"))
     return fits.select("source", "n_docs", "source_size", target.alias("target"))
 
@@ -83,64 +85,85 @@ def ranked(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     return rows.withColumn("slice", F.floor(F.col("rank") * F.ceil(F.sqrt("n_docs"))))
 
 
-def sample(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """``doc_id, source, size, draw, source_size, target, copies`` for every row.
+@dataclass(frozen=True)
+class Mix:
+    """What decides how often a document is taken: tables with one row per source.
+
+    They are written, so Spark knows their size and broadcasts them if they are small."""
+
+    targets: DataFrame
+    marks: DataFrame
+    closing: DataFrame
+
+    def decide(self, rows: DataFrame) -> DataFrame:
+        """``rows`` (``doc_id, source, size, draw`` and more) with ``source_size, target, copies``."""
+        joined = _drawn(ranked(rows, self.targets), self.marks)
+        out = joined.join(self.closing, same(F.col("source"), F.col("_source")), "left")
+        miss = F.abs(F.col("open") - F.col("taken") - F.col("size"))
+        closes = F.col("best").isNotNull() & same(F.col("best.id"), F.col("doc_id")) & (F.col("best.rank") == F.col("rank")) & (F.col("best.miss") == miss)
+        extra = F.when(F.col("drawn") | closes, 1).otherwise(0)
+        return out.select(*rows.columns, "source_size", "target", (F.col("certain") + extra).cast("long").alias("copies"))
+
+
+def _place() -> Column:
+    return F.struct("rank", F.col("doc_id").isNull().alias("no_id"), "doc_id")
+
+
+def _drawn(rows: DataFrame, marks: DataFrame) -> DataFrame:
+    joined = rows.join(marks, same(F.col("source"), F.col("_source"))).drop("_source")
+    return joined.withColumn("drawn", (F.col("chance") > 0) & F.coalesce(_place() <= F.col("last"), F.lit(False)))
+
+
+def plan_mix(sizes: DataFrame) -> Mix:
+    """Decide a mix from ``doc_id, source, size, draw`` (materialised).
 
     Slices are summed first, then only rows inside one slice are put in order, so a
     source with a third of all rows is spread over many tasks."""
-    narrow = docs.select(
-        F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), n_words(whole_text(text)).alias("size"),
-        draw(F.col(doc_id)).alias("draw"),
-    )
-    sizes = shared_table(narrow, "sizes")
     targets = shared_table(source_targets(sizes).coalesce(1), "targets")
     rows = ranked(sizes, targets)
     key = ["source", "slice"]
     earlier = Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     slices = rows.groupBy(*key).agg(F.sum("size").alias("words")).select(
-        *key, F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("earlier")
+        F.col("source").alias("_source"), F.col("slice").alias("_slice"), F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("earlier")
     )
     slices = shared_table(slices, "slices")
-    at = slices.select(F.col("source").alias("_source"), F.col("slice").alias("_slice"), "earlier")
-    # Whole slices that fit or do not fit need no order; one slice of each source does.
-    inside = rows.join(at, same(F.col("source"), F.col("_source")) & (F.col("slice") == F.col("_slice"))).drop("_source", "_slice")
+    inside = rows.join(slices, same(F.col("source"), F.col("_source")) & (F.col("slice") == F.col("_slice"))).drop("_source", "_slice")
     order = Window.partitionBy(*key).orderBy("rank", F.col("doc_id").asc_nulls_last())
     inside = inside.filter("earlier <= open").withColumn("through", F.col("earlier") + F.sum("size").over(order))
     fitting = inside.filter("chance > 0 AND through <= open")
-    last = F.max(F.struct("rank", F.col("doc_id").isNull().alias("no_id"), "doc_id"))
-    marks = fitting.groupBy("source").agg(last.alias("last"), F.max("through").alias("taken"))
-    marks = shared_table(targets.alias("t").join(marks.alias("m"), same(F.col("t.source"), F.col("m.source")), "left").select(
+    marks = fitting.groupBy("source").agg(F.max(_place()).alias("last"), F.max("through").alias("taken"))
+    marks = targets.alias("t").join(marks.alias("m"), same(F.col("t.source"), F.col("m.source")), "left").select(
         F.col("t.source").alias("_source"), "last", F.coalesce("taken", F.lit(0)).alias("taken")
-    ).coalesce(1), "marks")
-    joined = rows.join(marks, same(F.col("source"), F.col("_source"))).drop("_source")
-    own = F.struct("rank", F.col("doc_id").isNull().alias("no_id"), "doc_id")
-    joined = joined.withColumn("drawn", (F.col("chance") > 0) & F.coalesce(own <= F.col("last"), F.lit(False)))
+    )
+    marks = shared_table(marks.coalesce(1), "marks")
     gap = F.col("open") - F.col("taken")
     miss = F.abs(gap - F.col("size"))
-    closing = joined.filter((F.col("chance") > 0) & ~F.col("drawn") & (miss < gap)).groupBy("source").agg(
-        F.min(F.struct(miss.alias("miss"), F.col("rank").alias("rank"), F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"))).alias("best")
-    )
+    nearest = F.min(F.struct(miss.alias("miss"), "rank", F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id")))
+    closing = _drawn(rows, marks).filter((F.col("chance") > 0) & ~F.col("drawn") & (miss < gap)).groupBy("source").agg(nearest.alias("best"))
     closing = shared_table(closing.select(F.col("source").alias("_source"), "best").coalesce(1), "closing")
-    out = joined.join(closing, same(F.col("source"), F.col("_source")), "left")
-    closes = F.col("best").isNotNull() & same(F.col("best.id"), F.col("doc_id")) & (F.col("best.rank") == F.col("rank")) & (F.col("best.miss") == miss)
-    extra = F.when(F.col("drawn") | closes, 1).otherwise(0)
-    return out.select(
-        "doc_id", "source", "size", "draw", "source_size", "target", (F.col("certain") + extra).cast("long").alias("copies")
-    )
+    return Mix(targets, marks, closing)
 
 
-def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """``docs`` with every row as often as the mix takes it, columns as they were.
+def _sized(doc_id: str, text: str, source: str) -> list[Column]:
+    return [
+        F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), n_words(whole_text(text)).alias("size"), draw(F.col(doc_id)).alias("draw"),
+    ]
 
-    The choice is narrow; rows taken once, the common case, and rows taken otherwise are
-    found by a join on the id."""
-    taken = sample(docs, doc_id, text, source)
-    counts = taken.groupBy("doc_id", "source", "size").agg(F.max("copies").alias("_llm_copies"))
-    counts = counts.select(F.col("doc_id").alias("_llm_id"), F.col("source").alias("_llm_source"), F.col("size").alias("_llm_size"), "_llm_copies")
-    on = same(F.col(doc_id), F.col("_llm_id")) & same(F.col(source), F.col("_llm_source")) & (n_words(whole_text(text)) == F.col("_llm_size"))
-    repeated = docs.join(counts.filter("_llm_copies > 0"), on)
-    every = F.explode(F.sequence(F.lit(1), F.col("_llm_copies").cast("int"))).alias("_llm_copy")
-    return repeated.select(*[docs[name] for name in docs.columns], every).drop("_llm_copy")
+
+def sample(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """``doc_id, source, size, draw, source_size, target, copies`` for every row."""
+    sizes = shared_table(docs.select(*_sized(doc_id, text, source)), "sizes")
+    return plan_mix(sizes).decide(sizes)
+
+
+def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """``docs`` with every row as often as the mix takes it, columns as they were. The texts
+    stay where they are; only the tables by source come to them."""
+    plan = plan_mix(shared_table(docs.select(*_sized(doc_id, text, source)), "sizes"))
+    wide = docs.select(F.struct(*[docs[name] for name in docs.columns]).alias("_llm_doc"), *_sized(doc_id, text, source))
+    taken = plan.decide(wide).filter("copies > 0")
+    every = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_llm_copy")
+    return taken.select("_llm_doc", every).select("_llm_doc.*")
 
 
 #: The same mix in DuckDB.
@@ -162,7 +185,7 @@ levels AS (
 fits AS (SELECT *, (all_size::DOUBLE * 1.5::DOUBLE - full_words) / open_weight AS level FROM levels),
 targets AS (
   SELECT source, n_docs, source_size,
-    least(bound, coalesce(min(CASE WHEN level <= full_at THEN level END) OVER (), max(full_at) OVER ()) * weight) AS target
+    least(bound, coalesce(max(CASE WHEN level <= full_at THEN level END) OVER (), max(full_at) OVER ()) * weight) AS target
   FROM fits),
 chances AS (
   SELECT s.*, t.n_docs, t.source_size, t.target, floor(CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END) AS certain,
