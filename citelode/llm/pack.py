@@ -14,6 +14,7 @@ Empty input gives no pieces. Other columns are ignored.
 from __future__ import annotations
 
 import math
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,8 +33,8 @@ DIMENSIONS = 4
 BITS = 12
 #: Tokens in a stretch of the curve that one task packs.
 STRETCH = 4_000_000
-#: Words whose tokens a worker remembers.
-REMEMBERED = 600_000
+#: Words whose tokens each half of a worker's memory holds.
+REMEMBERED = 250_000
 #: Marks that may follow a word.
 MARKS = b",.;:!?%&$#*|)"
 
@@ -45,15 +46,20 @@ class WordTokens:
 
     The tokenizer's pattern never matches across white space and its normaliser works
     inside words, so the tokens of a text are those of its words in order. Words are
-    encoded by the tokenizer itself, new ones of a batch at once."""
+    encoded by the tokenizer itself, new ones of a batch at once. The memory has a young
+    and an old half; when the young one is full it becomes the old one, so frequent words stay."""
 
     _known: dict[str, WordTokens] = {}
 
     def __init__(self, path: str):
+        # One task, one core: Spark runs the tasks beside each other.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._memory: dict[bytes, bytes] = {}
+        self.dtype = "<u2" if self._tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        self._young: dict[bytes, bytes] = {}
+        self._old: dict[bytes, bytes] = {}
 
     @classmethod
     def of(cls, path: str) -> WordTokens:
@@ -62,38 +68,39 @@ class WordTokens:
             cls._known[path] = cls(path)
         return cls._known[path]
 
-    def _learn(self, words: list[bytes]) -> None:
-        memory = self._memory
-        for at in range(0, len(words), 20_000):
-            some = words[at : at + 20_000]
+    def _learn(self, words: set[bytes]) -> None:
+        """Put the tokens of all ``words`` into the young half. The pattern always cuts
+        between an ASCII letter or digit and a mark that is no apostrophe, so a word and the
+        marks after it are encoded apart."""
+        young, old = self._young, self._old
+        bare = {word: word.rstrip(MARKS) for word in words if word[-1] in MARKS and b"<|" not in word}
+        bare = {word: short for word, short in bare.items() if short and short[-1:].isalnum()}
+        wanted = (words - bare.keys()) | set(bare.values()) | {word[len(short) :] for word, short in bare.items()}
+        wanted -= young.keys()
+        for word in wanted & old.keys():
+            young[word] = old[word]
+        fresh = list(wanted - old.keys())
+        for at in range(0, len(fresh), 20_000):
+            some = fresh[at : at + 20_000]
             encoded = self._tokenizer.encode_batch_fast([word.decode() for word in some], add_special_tokens=False)
-            memory.update((word, np.array(one.ids, dtype="<u4").tobytes()) for word, one in zip(some, encoded, strict=True))
+            young.update([(word, np.array(one.ids, dtype=self.dtype).tobytes()) for word, one in zip(some, encoded, strict=True)])
+        for word, short in bare.items():
+            young[word] = young[short] + young[word[len(short) :]]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
+        if len(self._young) > REMEMBERED:
+            self._young, self._old = {}, self._young
         split = []
         for text in texts:
             data = text.encode()
             # The tokenizer lower-cases; ASCII letters can be lower-cased before, but not in its special strings.
             split.append((data if b"<|" in data else data.lower()).split())
-        if len(self._memory) > REMEMBERED:
-            self._memory.clear()
-        memory = self._memory
-        fresh = set().union(*split) - memory.keys()
-        parts = {word: self._parts(word) for word in fresh}
-        self._learn(list({part for some in parts.values() for part in some} - memory.keys()))
-        for word, some in parts.items():
-            if len(some) > 1:
-                memory[word] = b"".join([memory[part] for part in some])
-        return [np.frombuffer(b"".join([memory[word] for word in words]), dtype="<u4") for words in split]
-
-    @staticmethod
-    def _parts(word: bytes) -> tuple[bytes, ...]:
-        """The word and the marks after it: the tokenizer's pattern always cuts between an
-        ASCII letter or digit and a mark that is no apostrophe."""
-        bare = word.rstrip(MARKS)
-        if bare and bare != word and b"<|" not in word and bare[-1:].isalnum():
-            return bare, word[len(bare) :]
-        return (word,)
+        known = [list(map(self._young.get, words)) for words in split]
+        missing = {word for words, found in zip(split, known, strict=True) if None in found for word, one in zip(words, found, strict=True) if one is None}
+        if missing:
+            self._learn(missing)
+            known = [list(map(self._young.get, words)) if None in found else found for words, found in zip(split, known, strict=True)]
+        return [np.frombuffer(b"".join(found), dtype=self.dtype) for found in known]
 
 
 def projection() -> np.ndarray:
@@ -138,11 +145,12 @@ def hilbert_keys(points: np.ndarray, bits: int = BITS) -> np.ndarray:
 
 
 def tokenized(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, curve, doc_tokens, ids`` (little-endian unsigned 32-bit ids)."""
+    """``doc_id, curve, doc_tokens, ids``; ids are little-endian unsigned numbers of two or
+    four bytes, by the size of the vocabulary."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, matrix = WordTokens.of(tokenizer), projection()
-        end = np.array([END], dtype="<u4")
+        end = np.array([END], dtype=tokens.dtype)
         for whole in batches:
             for start, stop in portions(whole.column("text")):
                 batch = whole.slice(start, stop - start)
@@ -178,9 +186,10 @@ def lay_out(batches: Iterator[pa.RecordBatch], first: int, tokens: int, length:
     tail = _tail(tokens - full * length)
     ends = full * length + np.cumsum([0, *tail])
     done = 0
-    for batch in batches:
+    for batch in (whole.slice(at, 1000) for whole in batches for at in range(0, whole.num_rows, 1000)):
         rows: list[tuple] = []
         for doc, size, data in zip(*(batch.column(name).to_pylist() for name in ("doc_id", "doc_tokens", "ids")), strict=True):
+            data = np.frombuffer(data, dtype=f"<u{len(data) // size}").astype("<u4").tobytes()
             start = 0
             while start < size:
                 if done < full * length:
@@ -210,7 +219,7 @@ def pack(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "t
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        held = list(batches)  # STRETCH tokens, 16 MB, or one document if that is longer
+        held = list(batches)  # about STRETCH tokens, 8 MB, or one document if that is longer
         tokens = sum(int(np.sum(batch.column("doc_tokens").to_numpy())) for batch in held)
         yield from lay_out(iter(held), TaskContext.get().partitionId() << 40, tokens, length)
 
