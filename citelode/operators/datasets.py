@@ -129,25 +129,27 @@ def excluded(items: DataFrame, held_out: DataFrame, on: list[str]) -> tuple[Data
     return items.join(lookup, on, "left_anti"), items.join(lookup, on, "left_semi")
 
 
-def cell_problems(items: DataFrame, expected: dict[str, dict[str, int]]) -> DataFrame:
-    """Cells whose number of items is off. ``expected``: kind to difficulty to count;
-    categories come from the items, the rest is a closed list, so nothing is crossed."""
+def cell_problems(items: DataFrame, expected: dict[str, dict[str, int]], categories: DataFrame) -> DataFrame:
+    """Cells whose number of items is off. ``expected``: kind to difficulty to count.
+    ``categories``: domain, all that there should be; one without items is off in every cell, and
+    so is an item's domain that is not among them. The rest is a closed list, so nothing is crossed."""
     wanted = F.array(
         *[
             F.struct(F.lit(k).alias("kind"), F.lit(d).alias("difficulty"), F.lit(n).alias("expected"))
             for k, row in expected.items() for d, n in row.items()
         ]
     )
-    cells = items.select("domain").distinct().select("domain", F.inline(wanted))
+    known = categories.select("domain").union(items.select("domain")).distinct()
+    cells = known.select("domain", F.inline(wanted))
     have = items.groupBy("domain", "kind", "difficulty").agg(F.count(F.lit(1)).alias("n"))
     return cells.join(have, ["domain", "kind", "difficulty"], "left").select(
         "domain", "kind", "difficulty", F.coalesce("n", F.lit(0)).alias("n"), F.col("expected").cast("long").alias("expected"),
     ).filter(F.col("n") != F.col("expected"))
 
 
-def missing_slots(items: DataFrame, expected: dict[str, dict[str, int]]) -> DataFrame:
-    """One row per slot a category still lacks."""
-    short = cell_problems(items, expected).filter(F.col("n") < F.col("expected"))
+def missing_slots(items: DataFrame, expected: dict[str, dict[str, int]], categories: DataFrame) -> DataFrame:
+    """One row per slot a category still lacks, categories without items included."""
+    short = cell_problems(items, expected, categories).filter(F.col("n") < F.col("expected"))
     return short.select("domain", "kind", "difficulty", F.explode(F.sequence(F.lit(1), (F.col("expected") - F.col("n")).cast("int"))).alias("slot"))
 
 

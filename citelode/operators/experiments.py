@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -154,9 +154,11 @@ def confusion(predictions: DataFrame, keys: list[str]) -> DataFrame:
     return predictions.groupBy(*keys, "gold", predicted.alias("predicted")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def worst_pairs(table: DataFrame, limit: int = 8) -> DataFrame:
+def worst_pairs(table: DataFrame, by: list[str], limit: int = 8) -> DataFrame:
+    """Most frequent confusions of each group; a confusion table has a row per pair of labels."""
     wrong = table.filter(~F.col("predicted").isin(NO_FILTER) & (F.col("predicted") != F.col("gold")))
-    return wrong.orderBy(F.col("n").desc(), F.col("gold").desc(), F.col("predicted").desc()).limit(limit)
+    order = Window.partitionBy(*by).orderBy(F.col("n").desc(), F.col("gold").desc(), F.col("predicted").desc())
+    return wrong.withColumn("__place", F.row_number().over(order)).filter(F.col("__place") <= limit).drop("__place")
 
 
 def mcnemar_exact(fixed: int, broken: int) -> float:

@@ -125,11 +125,36 @@ def duplicate_ids(spark, sf_dir):
 
 
 def cell_counts(spark, sf_dir):
-    return X.cell_problems(_items(spark, sf_dir), EXPECTED)
+    items = _items(spark, sf_dir)
+    return X.cell_problems(items, EXPECTED, items)
+
+
+def _supplier_items(spark, sf_dir):
+    """Suppliers as items of their nation."""
+    nations = D.table(spark, sf_dir, "nation")
+    items = D.table(spark, sf_dir, "supplier").join(nations, F.col("s_nationkey") == F.col("n_nationkey"))
+    return items.select(F.col("s_suppkey").alias("id"), F.col("n_name").alias("domain"), F.lit("standard").alias("kind"),
+                        F.expr("CASE s_suppkey % 3 WHEN 0 THEN 'easy' WHEN 1 THEN 'medium' ELSE 'hard' END").alias("difficulty"))
+
+
+def absent_categories(spark, sf_dir):
+    """Nations and market segments as categories; a segment has no items at all."""
+    segments = D.table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("domain"))
+    categories = D.table(spark, sf_dir, "nation").select(F.col("n_name").alias("domain")).union(segments)
+    return X.cell_problems(_supplier_items(spark, sf_dir), {"standard": {"easy": 1, "medium": 1, "hard": 2}}, categories)
+
+
+def near_dup_hash_ids(spark, sf_dir):
+    """Documents against the documents under ids of 2^62 and more."""
+    words = lambda id_: _docs(spark, sf_dir).select(id_.alias("ord"), T.words(F.lower("text")).alias("tokens"))
+    large = F.lit(4611686018427387904) + F.col("doc_id") * 1000003
+    found = first_near_duplicates(words(F.col("doc_id")), words(large))
+    return found.select(F.col("ord").alias("doc_id"), F.col("match").alias("first_match"))
 
 
 def slot_plan(spark, sf_dir):
-    slots = X.missing_slots(_items(spark, sf_dir), EXPECTED)
+    items = _items(spark, sf_dir)
+    slots = X.missing_slots(items, EXPECTED, items)
     return slots.groupBy("domain", "kind", "difficulty").agg(F.count(F.lit(1)).alias("n_slots"), F.max("slot").alias("last_slot"))
 
 
@@ -175,7 +200,7 @@ QUERIES = {
     for f in (
         stratified_split, split_description, boilerplate_strip, page_inventory, near_dup_jaccard, held_out_questions,
         pair_overlap_band, sampler_draw, dataset_invariants, duplicate_ids, cell_counts, slot_plan, page_reuse,
-        leak_check, coverage_by_category, gate_failures,
+        leak_check, coverage_by_category, gate_failures, absent_categories, near_dup_hash_ids,
     )
 }
 
@@ -238,6 +263,17 @@ FROM stripped WHERE length(text) >= 500 GROUP BY 1""",
 x AS (SELECT doc_id, len(t) AS n, unnest(t) AS w FROM s),
 p AS (SELECT a.doc_id, b.doc_id AS other, a.n AS n, b.n AS m, count(*) AS c FROM x a JOIN x b ON a.w = b.w AND b.doc_id < a.doc_id GROUP BY ALL)
 SELECT doc_id, min(other) AS first_match FROM p WHERE c::DOUBLE / (n + m - c) >= 0.6 GROUP BY 1""",
+    "near_dup_hash_ids": f"""WITH s AS (SELECT doc_id, list_distinct({_WORDS('lower(text)')}) AS t FROM documents),
+x AS (SELECT doc_id, len(t) AS n, unnest(t) AS w FROM s),
+p AS (SELECT a.doc_id, b.doc_id AS other, a.n AS n, b.n AS m, count(*) AS c FROM x a JOIN x b ON a.w = b.w GROUP BY ALL)
+SELECT doc_id, 4611686018427387904 + min(other) * 1000003 AS first_match FROM p WHERE c::DOUBLE / (n + m - c) >= 0.6 GROUP BY 1""",
+    "absent_categories": """WITH want(difficulty, expected) AS (VALUES ('easy', 1::BIGINT), ('medium', 1::BIGINT), ('hard', 2::BIGINT)),
+names AS (SELECT n_name AS domain FROM nation UNION SELECT c_mktsegment FROM customer),
+have AS (
+  SELECT n_name AS domain, ['easy', 'medium', 'hard'][1 + s_suppkey % 3] AS difficulty, count(*) AS n
+  FROM supplier, nation WHERE s_nationkey = n_nationkey GROUP BY ALL)
+SELECT domain, 'standard' AS kind, difficulty, coalesce(n, 0) AS n, expected
+FROM names CROSS JOIN want LEFT JOIN have USING (domain, difficulty) WHERE coalesce(n, 0) <> expected""",
     "held_out_questions": f"""WITH RECURSIVE {S.CHUNKS.replace('<= 512', '<= 60')},
 i AS (SELECT regexp_extract(file, '/([0-9]+)\\.txt$', 1)::BIGINT * 100000 + n_chunk AS ord, list_distinct({_WORDS('lower(text)')}) AS t FROM chunks),
 b AS (SELECT item_id, list_distinct({_WORDS('lower(text)')}) AS t FROM benchmark),

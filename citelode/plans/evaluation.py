@@ -38,7 +38,7 @@ def _answers(spark, sf_dir):
         F.when(odd, F.lit("‏– file： src0/pages/")).otherwise(F.lit("• file: src1/pages/")),
         F.col("turn").cast("string"), F.lit(".txt ｜ page: "),
         F.when(odd, F.lit("-")).otherwise(F.lit("null")),
-        F.when(odd, F.concat(F.lit(' | quote: "'), F.regexp_replace(F.substring("text", 1, 30), '["\n]', " "), F.lit('"'))).otherwise(F.lit("")),
+        F.when(odd, F.concat(F.lit(' | quote: "'), F.regexp_replace("text", '["\n]', " "), F.lit('"'))).otherwise(F.lit("")),
         F.lit("\nnot a citation line | page: 3"),
     )
     text = F.when(F.col("conv_id") % 9 == 4, F.col("text")).otherwise(F.concat("text", block))
@@ -50,17 +50,25 @@ def citation_parse(spark, sf_dir):
     return found.select("id", F.col("pos").cast("long").alias("pos"), "c.file", "c.page", "c.quote")
 
 
+def citation_long_page(spark, sf_dir):
+    """Page numbers of nine to twenty-eight digits, which must not read as "no page"."""
+    number = F.repeat(F.lit("9"), (F.col("turn") % 20 + 9).cast("int"))
+    text = F.concat("text", F.lit(f"\n{R.SOURCES_HEADER}\n- file: a.pdf | page: "), number, F.lit("\n- file: b.txt | page: -"))
+    turns = D.table(spark, sf_dir, "conversations").select("conv_id", "turn", F.inline(R.source_list(text)))
+    return turns.select("conv_id", "turn", "file", "page")
+
+
 def citation_validate(spark, sf_dir):
     """Citations that point at a retrieved file and page; null pages equal null pages."""
     cited = _answers(spark, sf_dir).select("id", "conv_id", F.inline(R.source_list(F.col("text"))))
     pages = D.table(spark, sf_dir, "conversations")
     numbered = pages.select(
         "conv_id", F.concat(F.lit("src"), F.col("conv_id") % 20, F.lit("/files/"), F.col("conv_id"), F.lit(".pdf")).alias("file"),
-        (F.col("conv_id") * 7 + F.col("turn")).cast("int").alias("page"),
-    ).filter(F.col("page") % 2 == 0)
+        (F.col("conv_id") * 7 + F.col("turn") - F.length("text") % 2).alias("page"),
+    )
     unpaged = pages.select(
         "conv_id", F.concat(F.lit("src0/pages/"), F.col("turn"), F.lit(".txt")).alias("file"),
-        F.lit(None).cast("int").alias("page"),
+        F.lit(None).cast("bigint").alias("page"),
     )
     retrieved = numbered.unionByName(unpaged).distinct()
     same = (
@@ -443,7 +451,7 @@ def page_budget(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        citation_parse, citation_validate, answer_flags, judgment_normalize, citation_judgment_normalize,
+        citation_parse, citation_long_page, citation_validate, answer_flags, judgment_normalize, citation_judgment_normalize,
         json_repair, sub_question_validation, verify_reply, calc_expr, file_match_cascade, citation_resolve,
         citation_reasons, citation_score, gt_hit, committee_vote, label_vote, support_vote, metric_slices,
         suggestions, worst_answers, support_counts, answer_join, context_budget, page_budget,
@@ -458,7 +466,7 @@ answers AS (
       || '/files/' || conv_id || '.pdf | page: ' || (conv_id * 7 + turn) || chr(10)
       || CASE WHEN (conv_id + turn) % 2 = 1 THEN chr(8207) || '– file： src0/pages/' ELSE '• file: src1/pages/' END
       || turn || '.txt ｜ page: ' || CASE WHEN (conv_id + turn) % 2 = 1 THEN '-' ELSE 'null' END
-      || CASE WHEN (conv_id + turn) % 2 = 1 THEN ' | quote: "' || regexp_replace(substr(text, 1, 30), '["\\n]', ' ', 'g') || '"' ELSE '' END
+      || CASE WHEN (conv_id + turn) % 2 = 1 THEN ' | quote: "' || regexp_replace(text, '["\\n]', ' ', 'g') || '"' ELSE '' END
       || chr(10) || 'not a citation line | page: 3' END AS text
   FROM conversations WHERE role = 'assistant'),
 blocks AS (
@@ -469,7 +477,7 @@ parsed AS (
            regexp_extract_all(b, {S.lit(R.CITATION_LINE)}, 2) AS p, regexp_extract_all(b, {S.lit(R.CITATION_LINE)}, 3) AS q
     FROM (SELECT *, CASE WHEN contains(t, '{_H}') THEN string_split(t, '{_H}')[-1] ELSE '' END AS b FROM blocks))),
 cites AS (
-  SELECT id, conv_id, pos, trim(file) AS file, try_cast(p AS INT) AS page, nullif(q, '') AS quote FROM parsed)"""
+  SELECT id, conv_id, pos, trim(file) AS file, CASE WHEN regexp_full_match(p, '[0-9]+') THEN coalesce(try_cast(p AS BIGINT), 9223372036854775807) END AS page, nullif(q, '') AS quote FROM parsed)"""
 
 _NORM = lambda x: f"regexp_replace(replace(lower({S.strip(f'nfc_normalize({x})')}), '\\', '/'), '^[./]+', '')"
 
@@ -578,10 +586,13 @@ _RATES_SQL = ", ".join(f"round({c}, 6) AS {c}" for c in RATES)
 
 ORACLES = {
     "citation_parse": f"WITH {_ANSWERS} SELECT id, pos::BIGINT AS pos, file, page, quote FROM cites",
+    "citation_long_page": """SELECT conv_id, turn, 'a.pdf' AS file,
+  CASE WHEN turn % 20 + 9 < 19 THEN (10::HUGEINT ** (turn % 20 + 9))::BIGINT - 1 ELSE 9223372036854775807 END AS page FROM conversations
+UNION ALL SELECT conv_id, turn, 'b.txt', NULL FROM conversations""",
     "citation_validate": f"""WITH {_ANSWERS},
 retrieved AS (
-  SELECT conv_id, 'src' || (conv_id % 20) || '/files/' || conv_id || '.pdf' AS file, (conv_id * 7 + turn)::INT AS page
-  FROM conversations WHERE (conv_id * 7 + turn) % 2 = 0
+  SELECT conv_id, 'src' || (conv_id % 20) || '/files/' || conv_id || '.pdf' AS file, conv_id * 7 + turn - length(text) % 2 AS page
+  FROM conversations
   UNION SELECT conv_id, 'src0/pages/' || turn || '.txt', NULL FROM conversations)
 SELECT id, file, page FROM cites c WHERE EXISTS (
   SELECT 1 FROM retrieved r WHERE r.conv_id = c.conv_id AND r.file = c.file AND r.page IS NOT DISTINCT FROM c.page)""",

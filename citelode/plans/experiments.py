@@ -161,14 +161,14 @@ def filter_verdicts(spark, sf_dir):
 
 def filter_policies(spark, sf_dir):
     """How many filters each policy sets and how many of them hold the gold category."""
-    predictions = _predictions(spark, sf_dir).filter(F.col("arm") == BASELINE)
+    predictions = _predictions(spark, sf_dir)
     modes = ("none", "gold", "gold-family", "predicted", "predicted-set", "predicted-family")
     each = predictions.select(
-        "gold", F.explode(F.array(*[
+        "arm", "gold", F.explode(F.array(*[
             F.struct(F.lit(m).alias("mode"), X.filter_for(m, F.col("categories"), F.col("gold"), FAMILIES).alias("f")) for m in modes
         ])).alias("p"),
     )
-    return each.groupBy("p.mode").agg(
+    return each.groupBy("arm", "p.mode").agg(
         F.count("p.f").alias("n_filtered"), F.count_if(F.array_contains("p.f", F.col("gold"))).alias("n_with_gold"),
         F.coalesce(F.sum(F.when(F.col("p.f").isNotNull(), F.size("p.f"))), F.lit(0)).cast("long").alias("n_categories"),
     )
@@ -180,13 +180,26 @@ def self_consistency_vote(spark, sf_dir):
 
 
 def routing(spark, sf_dir):
-    shaped = _predictions(spark, sf_dir).filter(F.col("arm") == BASELINE)
+    shaped = _predictions(spark, sf_dir)
     strong = X.needs_strong_model(
         F.when(F.col("latency_ms") > 3000, "hard").otherwise("medium"),
         F.when(F.size("categories") > 1, "multi").otherwise("single"),
         F.col("parse_failed"), F.col("n_calls") > 1,
     )
-    return shaped.groupBy("gold", strong.alias("strong")).agg(F.count(F.lit(1)).alias("n"))
+    return shaped.groupBy("arm", "gold", strong.alias("strong")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def short_passage_hits(spark, sf_dir):
+    """Runs of two to eight words of each benchmark item, without their first and last letter,
+    against the whole documents."""
+    words = F.split(F.trim("text"), r"\s+")
+    run = F.array_join(F.slice(words, 3, F.col("k")), " ")
+    passages = D.table(spark, sf_dir, "benchmark").select(
+        "item_id", "text", F.explode(F.sequence(F.lit(2), F.lit(8))).alias("k")
+    ).select((F.col("item_id") * 10 + F.col("k")).alias("pid"), F.substring(run, F.lit(2), F.length(run) - 2).alias("passage"))
+    texts = D.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file"), "text")
+    hits = A.passages_in(texts, passages.filter(F.length("passage") > 0))
+    return hits.groupBy("pid").agg(F.count(F.lit(1)).alias("n"), F.min("file").alias("first_doc"), F.max("file").alias("last_doc"))
 
 
 METRICS = [
@@ -206,14 +219,14 @@ def confusion(spark, sf_dir):
 
 
 def confusion_pivot(spark, sf_dir):
-    """Baseline confusion as a matrix; the columns are the closed category list."""
-    table = X.confusion(_predictions(spark, sf_dir).filter(F.col("arm") == BASELINE), [])
-    wide = table.groupBy("gold").pivot("predicted", [*MARKERS, X.NO_FILTER]).agg(F.sum("n"))
-    return wide.select("gold", *[F.coalesce(c, F.lit(0)).alias(f"as_{c}") for c in MARKERS], F.coalesce(F.col(f"`{X.NO_FILTER}`"), F.lit(0)).alias("no_filter"))
+    """Confusion of each arm as a matrix; the columns are the closed category list."""
+    table = X.confusion(_predictions(spark, sf_dir), ["arm"])
+    wide = table.groupBy("arm", "gold").pivot("predicted", [*MARKERS, X.NO_FILTER]).agg(F.sum("n"))
+    return wide.select("arm", "gold", *[F.coalesce(c, F.lit(0)).alias(f"as_{c}") for c in MARKERS], F.coalesce(F.col(f"`{X.NO_FILTER}`"), F.lit(0)).alias("no_filter"))
 
 
 def worst_pairs(spark, sf_dir):
-    return X.worst_pairs(X.confusion(_predictions(spark, sf_dir).filter(F.col("arm") == BASELINE), []))
+    return X.worst_pairs(X.confusion(_predictions(spark, sf_dir), ["arm"]), ["arm"])
 
 
 def paired_mcnemar(spark, sf_dir):
@@ -240,7 +253,7 @@ def arm_ranking(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        gold_pages, audit_stages, coverage_curve, depth_percentiles, audit_summary, category_hint, hint_snippets,
+        gold_pages, short_passage_hits, audit_stages, coverage_curve, depth_percentiles, audit_summary, category_hint, hint_snippets,
         hint_vote, filter_verdicts, filter_policies, self_consistency_vote, routing, arm_summary, confusion,
         confusion_pivot, worst_pairs, paired_mcnemar, discordant_ids, arm_ranking,
     )
@@ -351,22 +364,26 @@ SELECT id, arm, gold, array_to_string(categories, ',') AS categories, verdict,
   array_to_string(CASE WHEN len(categories) = 1 THEN categories ELSE [] END || CASE WHEN two AND len(second) = 1 THEN second ELSE [] END, ',') AS applied,
   CASE WHEN n_chars % 17 = 0 THEN 'length' ELSE 'stop' END AS finish_reason FROM preds""",
     "filter_policies": f"""WITH {_PRED},
-b AS (SELECT gold, categories FROM preds WHERE arm = '{BASELINE}'),
+b AS (SELECT arm, gold, categories FROM preds),
 m AS (
-  SELECT 'none' AS mode, gold, NULL::VARCHAR[] AS f FROM b UNION ALL
-  SELECT 'gold', gold, [gold] FROM b UNION ALL
-  SELECT 'gold-family', gold, list_distinct([gold] || {_FAMILY.format(x='[gold]')}) FROM b UNION ALL
-  SELECT 'predicted', gold, CASE WHEN len(categories) = 1 THEN categories END FROM b UNION ALL
-  SELECT 'predicted-set', gold, CASE WHEN len(categories) > 0 THEN categories END FROM b UNION ALL
-  SELECT 'predicted-family', gold, CASE WHEN len(categories) > 0 THEN list_distinct(categories || {_FAMILY.format(x='categories')}) END FROM b)
-SELECT mode, count(f) AS n_filtered, count(*) FILTER (list_contains(f, gold)) AS n_with_gold, coalesce(sum(len(f)), 0)::BIGINT AS n_categories FROM m GROUP BY 1""",
+  SELECT arm, 'none' AS mode, gold, NULL::VARCHAR[] AS f FROM b UNION ALL
+  SELECT arm, 'gold', gold, [gold] FROM b UNION ALL
+  SELECT arm, 'gold-family', gold, list_distinct([gold] || {_FAMILY.format(x='[gold]')}) FROM b UNION ALL
+  SELECT arm, 'predicted', gold, CASE WHEN len(categories) = 1 THEN categories END FROM b UNION ALL
+  SELECT arm, 'predicted-set', gold, CASE WHEN len(categories) > 0 THEN categories END FROM b UNION ALL
+  SELECT arm, 'predicted-family', gold, CASE WHEN len(categories) > 0 THEN list_distinct(categories || {_FAMILY.format(x='categories')}) END FROM b)
+SELECT arm, mode, count(f) AS n_filtered, count(*) FILTER (list_contains(f, gold)) AS n_with_gold, coalesce(sum(len(f)), 0)::BIGINT AS n_categories FROM m GROUP BY 1, 2""",
     "self_consistency_vote": f"""WITH {_PRED},
 v AS (SELECT id, unnest(categories) AS c FROM preds),
 k AS (SELECT id, c FROM v GROUP BY 1, 2 HAVING count(*) >= 2)
 SELECT d.doc_id, coalesce(string_agg(c, ',' ORDER BY c), '') AS kept FROM documents d LEFT JOIN k ON k.id = d.doc_id GROUP BY 1""",
+    "short_passage_hits": """WITH runs AS (
+  SELECT item_id * 10 + k AS pid, array_to_string(regexp_split_to_array(trim(text), '\\s+')[3:k + 2], ' ') AS run FROM benchmark, range(2, 9) AS ks(k)),
+passages AS (SELECT pid, substr(run, 2, length(run) - 2) AS passage FROM runs WHERE length(run) > 2)
+SELECT pid, count(*) AS n, min(doc_id) AS first_doc, max(doc_id) AS last_doc FROM passages JOIN documents ON contains(text, passage) GROUP BY 1""",
     "routing": f"""WITH {_PRED}
-SELECT gold, n_chars > 3000 OR len(categories) > 1 OR n_chars % 13 = 0 OR n_chars % 17 = 0 AS strong, count(*) AS n
-FROM preds WHERE arm = '{BASELINE}' GROUP BY 1, 2""",
+SELECT arm, gold, n_chars > 3000 OR len(categories) > 1 OR n_chars % 13 = 0 OR n_chars % 17 = 0 AS strong, count(*) AS n
+FROM preds GROUP BY 1, 2, 3""",
     "arm_summary": f"""WITH {_PRED},
 x AS (SELECT *, CASE WHEN two THEN 2 ELSE 1 END AS subs, len(categories) + CASE WHEN two THEN len(second) ELSE 0 END AS tags,
   (len(categories) = 1)::INT + (two AND len(second) = 1)::INT AS filters,
@@ -383,11 +400,11 @@ SELECT arm, bucket, count(*) AS n, sum(filters)::BIGINT AS sub_filter_count,
     "confusion": f"""WITH {_PRED}
 SELECT arm, gold, CASE WHEN len(categories) = 1 THEN categories[1] ELSE '(none)' END AS predicted, count(*) AS n FROM preds GROUP BY ALL""",
     "confusion_pivot": f"""WITH {_PRED},
-b AS (SELECT gold, CASE WHEN len(categories) = 1 THEN categories[1] END AS p FROM preds WHERE arm = '{BASELINE}')
-SELECT gold, {', '.join(f"count(*) FILTER (p = '{l}') AS as_{l}" for l in MARKERS)}, count(*) FILTER (p IS NULL) AS no_filter FROM b GROUP BY 1""",
+b AS (SELECT arm, gold, CASE WHEN len(categories) = 1 THEN categories[1] END AS p FROM preds)
+SELECT arm, gold, {', '.join(f"count(*) FILTER (p = '{l}') AS as_{l}" for l in MARKERS)}, count(*) FILTER (p IS NULL) AS no_filter FROM b GROUP BY 1, 2""",
     "worst_pairs": f"""WITH {_PRED}
-SELECT gold, categories[1] AS predicted, count(*) AS n FROM preds WHERE arm = '{BASELINE}' AND len(categories) = 1 AND categories[1] <> gold
-GROUP BY 1, 2 ORDER BY n DESC, gold DESC, predicted DESC LIMIT 8""",
+SELECT arm, gold, categories[1] AS predicted, count(*) AS n FROM preds WHERE len(categories) = 1 AND categories[1] <> gold
+GROUP BY 1, 2, 3 QUALIFY row_number() OVER (PARTITION BY arm ORDER BY count(*) DESC, gold DESC, categories[1] DESC) <= 8""",
     "paired_mcnemar": f"""WITH {_PRED}, {_paired('pooled', ['bucket'])}
 SELECT *, {_p('n_fixed', 'n_broken')} AS mcnemar_p, {_p('n_correct_gained', 'n_correct_lost')} AS mcnemar_p_correct FROM pairs""",
     "discordant_ids": f"""WITH {_PRED}

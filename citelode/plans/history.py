@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from citelode.functions import text as T
 from citelode.operators import history as H
 from citelode.plans import tables as D
+from citelode.sources.records import parsed_lines
 
 
 def question_index(spark, sf_dir):
@@ -14,7 +15,7 @@ def question_index(spark, sf_dir):
     shape = lambda df, id_, ordinal: df.select(F.col(id_).alias("id"), F.col(ordinal).alias("ordinal"), F.md5("text").alias("question_md5"))
     sources = [
         shape(D.table(spark, sf_dir, "benchmark"), "item_id", "item_id"),
-        shape(D.table(spark, sf_dir, "documents").filter(F.col("doc_id") >= 20), "doc_id", "doc_id"),
+        shape(D.table(spark, sf_dir, "documents"), "doc_id", "doc_id"),
         shape(D.table(spark, sf_dir, "conversations"), "conv_id", "turn"),
     ]
     return H.question_index(sources)
@@ -33,12 +34,29 @@ def history_page(spark, sf_dir):
     return H.history_page(records, questions, judgments, 100, 50)
 
 
+def history_page_gaps(spark, sf_dir):
+    """Turns as JSON lines, user turns cut off in the middle; a page of the records left."""
+    text = F.to_json(F.struct("conv_id", "turn", "role"))
+    line = F.when(F.col("role") == "user", F.left(text, F.length(text) - 5)).otherwise(text)
+    lines = D.table(spark, sf_dir, "conversations").select(
+        F.lit("run.jsonl").alias("file"), F.floor(F.col("conv_id") / 50).alias("start"),
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), line.alias("line"),
+    )
+    records, _ = parsed_lines(lines, "conv_id bigint, turn bigint, role string")
+    records = records.withColumn("pair_id", F.concat_ws("#", "conv_id", "turn")).drop("file")
+    none = records.sparkSession.createDataFrame([], "pair_id string, question_md5 string")
+    judged = D.table(spark, sf_dir, "labels").select(F.concat(F.col("doc_id"), F.lit("#1")).alias("pair_id"), "quality")
+    page = H.history_page(records, none, judged, 20, 30)
+    return page.select("lineno", "conv_id", "turn", "role", "quality", "total")
+
+
 def judged_answers(spark, sf_dir):
     """Runs name their answers file by a foreign absolute path; match on the base name."""
     pages = D.table(spark, sf_dir, "pages")
     path = F.regexp_extract("url", r"^https?://([^?#]*)", 1)
-    runs = pages.select(F.col("page_id").alias("run"), F.concat(F.lit("C:\\old\\"), F.substring_index(path, "/", -1)).alias("recorded"))
-    files = pages.filter(F.col("page_id") % 2 == 0).select(path.alias("path"))
+    name = F.concat(F.substring_index(path, "/", -1), F.when(F.length("html") % 2 == 1, ".moved").otherwise(""))
+    runs = pages.select(F.col("page_id").alias("run"), F.concat(F.lit("C:\\old\\"), name).alias("recorded"))
+    files = pages.select(path.alias("path"))
     return H.answers_of_runs(runs, files).select("run", "answers_path")
 
 
@@ -77,11 +95,11 @@ def warning_examples(spark, sf_dir):
 
 
 def run_delta(spark, sf_dir):
-    events = D.table(spark, sf_dir, "events").withColumn("key", F.concat_ws(":", "event_type", F.col("user_id") % 40))
+    events = D.table(spark, sf_dir, "events").withColumn("key", F.concat_ws(":", "event_type", F.col("user_id")))
     half = lambda cond: events.filter(cond).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     cut = F.lit("2024-01-16").cast("timestamp")
     return H.run_delta(
-        half((F.col("ts") >= cut) & (F.col("user_id") % 5 != 2)), half((F.col("ts") < cut) & (F.col("user_id") % 7 != 3)), "key"
+        half(F.col("ts") >= cut), half(F.col("ts") < cut), "key"
     )
 
 
@@ -145,7 +163,7 @@ def identity_hashes(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        question_index, history_page, judged_answers, citation_preview, field_unification, warning_topn,
+        question_index, history_page, history_page_gaps, judged_answers, citation_preview, field_unification, warning_topn,
         warning_examples, run_delta, file_status_counts, incremental_anti_join, resume_anti_join, cache_orphans,
         upsert_last_write, call_cost, identity_hashes,
     )
@@ -163,7 +181,7 @@ cache AS (SELECT w.doc_id, CASE WHEN toxic = 1 THEN 'old' ELSE fp END AS fp FROM
 ORACLES = {
     "question_index": """WITH s AS (
   SELECT item_id AS id, item_id AS o, text, 0 AS precedence FROM benchmark UNION ALL
-  SELECT doc_id, doc_id, text, 1 FROM documents WHERE doc_id >= 20 UNION ALL SELECT conv_id, turn, text, 2 FROM conversations),
+  SELECT doc_id, doc_id, text, 1 FROM documents UNION ALL SELECT conv_id, turn, text, 2 FROM conversations),
 r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY precedence, o) AS k FROM s)
 SELECT id, md5(text) AS question_md5, precedence FROM r WHERE k = 1""",
     "history_page": """WITH r AS (
@@ -171,9 +189,12 @@ SELECT id, md5(text) AS question_md5, precedence FROM r WHERE k = 1""",
 p AS (SELECT * FROM r ORDER BY lineno LIMIT 50 OFFSET 100)
 SELECT pair_id, lineno, n_chars, md5(b.text) AS question_md5, quality, toxic, (SELECT count(*) FROM r) AS total
 FROM p LEFT JOIN benchmark b ON b.item_id::VARCHAR = pair_id LEFT JOIN labels l ON l.doc_id::VARCHAR = pair_id""",
-    "judged_answers": """WITH p AS (SELECT page_id, regexp_extract(url, '^https?://([^?#]*)', 1) AS path FROM pages),
-f AS (SELECT string_split(path, '/')[-1] AS name, min(path) AS path FROM p WHERE page_id % 2 = 0 GROUP BY 1)
-SELECT page_id AS run, f.path AS answers_path FROM p LEFT JOIN f ON f.name = string_split(p.path, '/')[-1]""",
+    "history_page_gaps": """WITH r AS (
+  SELECT row_number() OVER (ORDER BY conv_id, turn) AS lineno, count(*) OVER () AS total, conv_id, turn, role FROM conversations WHERE role <> 'user')
+SELECT lineno, conv_id, turn, role, quality, total FROM r LEFT JOIN labels l ON l.doc_id = conv_id AND turn = 1 WHERE lineno BETWEEN 21 AND 50""",
+    "judged_answers": """WITH p AS (SELECT page_id, length(html) % 2 = 1 AS moved, regexp_extract(url, '^https?://([^?#]*)', 1) AS path FROM pages),
+f AS (SELECT string_split(path, '/')[-1] AS name, min(path) AS path FROM p GROUP BY 1)
+SELECT page_id AS run, f.path AS answers_path FROM p LEFT JOIN f ON f.name = string_split(p.path, '/')[-1] || CASE WHEN moved THEN '.moved' ELSE '' END""",
     "citation_preview": """SELECT conv_id, turn, md5(CASE WHEN turn % 3 = 0 AND c.text <> '' THEN c.text ELSE substr(d.text, 1, 600) END) AS preview_md5
 FROM conversations c LEFT JOIN documents d ON d.doc_id = conv_id""",
     "field_unification": """SELECT doc_id, CASE WHEN doc_id % 4 = 1 THEN source ELSE lang END AS domain, coalesce(toxic, -1) AS cost
@@ -183,9 +204,9 @@ SELECT logger, substr(message, 1, 100) AS head, count(*) AS n, md5(arg_min(messa
 FROM w GROUP BY 1, 2 ORDER BY n DESC, min(ordinal) LIMIT 20""",
     "warning_examples": f"""WITH {_WARN}
 SELECT logger AS event, n::INT AS example_no, ordinal FROM (SELECT *, row_number() OVER (PARTITION BY logger ORDER BY ordinal) AS n FROM w) WHERE n <= 20""",
-    "run_delta": """WITH e AS (SELECT *, event_type || ':' || (user_id % 40) AS key FROM events),
-a AS (SELECT key, count(*) AS n FROM e WHERE ts >= TIMESTAMP '2024-01-16' AND user_id % 5 <> 2 GROUP BY 1),
-b AS (SELECT key, count(*) AS n FROM e WHERE ts < TIMESTAMP '2024-01-16' AND user_id % 7 <> 3 GROUP BY 1)
+    "run_delta": """WITH e AS (SELECT *, event_type || ':' || user_id AS key FROM events),
+a AS (SELECT key, count(*) AS n FROM e WHERE ts >= TIMESTAMP '2024-01-16' GROUP BY 1),
+b AS (SELECT key, count(*) AS n FROM e WHERE ts < TIMESTAMP '2024-01-16' GROUP BY 1)
 SELECT key, coalesce(a.n, 0) AS n_now, coalesce(b.n, 0) AS n_before, b.n IS NULL AS is_new, a.n IS NULL AS is_gone FROM a FULL JOIN b USING (key)""",
     "file_status_counts": f"""WITH {_WORK}
 SELECT source, CASE WHEN c.fp IS NULL THEN 'new' WHEN c.fp = w.fp THEN 'cached' ELSE 'stale' END AS status, count(*) AS n

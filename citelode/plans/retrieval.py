@@ -220,8 +220,6 @@ def sub_pools(spark, sf_dir):
 
 def retry_unfiltered(spark, sf_dir):
     narrowed, plain = sub_pools(spark, sf_dir)
-    # A pool counts as empty when nothing clears the score a gate would ask for.
-    narrowed = narrowed.filter(F.col("score") >= 12)
     out = fusion.retry_unfiltered(
         narrowed.withColumn("filtered", F.lit(True)), plain.withColumn("filtered", F.lit(False))
     )
@@ -350,7 +348,7 @@ SELECT qid, stage, n_chunks, n_documents FROM counts""",
     "stage_totals": f"""WITH RECURSIVE {_COUNTS}
 SELECT stage, sum(n_chunks)::BIGINT AS n_chunks, sum(n_documents)::BIGINT AS n_documents FROM counts GROUP BY 1""",
     "retry_unfiltered": f"""WITH RECURSIVE {_POOLS},
-strong AS (SELECT * FROM narrowed WHERE score >= 12)
+strong AS (SELECT * FROM narrowed)
 SELECT qid, chunk_id, category, true AS filtered, round(score, 6) AS score FROM strong
 UNION ALL
 SELECT qid, chunk_id, category, false, round(score, 6) FROM plain WHERE qid NOT IN (SELECT qid FROM strong)""",

@@ -9,27 +9,29 @@ from pyspark.sql.types import StructType
 from citelode.operators.scan import blocked_row_number
 
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """``file, lineno, line`` of the non-blank lines. Lines are numbered per input split
-    in split order, so one large file still uses many tasks."""
-    raw = spark.read.text(path).select(
+def raw_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``file, start, id, line`` of the non-blank lines: where its split starts, and a number
+    in the order of the lines."""
+    return spark.read.text(path).select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
         F.monotonically_increasing_id().alias("id"), F.trim("value").alias("line"),
     ).filter(F.col("line") != "")
-    return blocked_row_number(raw, ["file"], "start", [F.col("id")], "lineno").select("file", "lineno", "line")
 
 
-def read_lines(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
-    """Records of a JSON-lines file and ``file, skipped``: lines cut off or not an object
-    are counted, not fatal."""
-    lines = numbered_lines(spark, path)
-    is_object = F.try_parse_json("line").isNotNull() & F.col("line").startswith("{")
-    records = lines.filter(is_object).select("file", "lineno", F.from_json("line", schema).alias("r")).select(
-        "file", "lineno", "r.*"
-    )
+def parsed_lines(lines: DataFrame, schema: str) -> tuple[DataFrame, DataFrame]:
+    """Records of JSON lines and ``file, skipped``: lines cut off or not an object are counted,
+    not fatal. Records are numbered without gaps, per input split in split order, so that
+    one large file still uses many tasks. ``lines``: as from ``raw_lines``."""
+    is_object = F.coalesce(F.try_parse_json("line").isNotNull() & F.col("line").startswith("{"), F.lit(False))
+    numbered = blocked_row_number(lines.filter(is_object), ["file"], "start", [F.col("id")], "lineno")
+    records = numbered.select("file", "lineno", F.from_json("line", schema).alias("r")).select("file", "lineno", "r.*")
     return records, lines.filter(~is_object).groupBy("file").agg(F.count(F.lit(1)).alias("skipped"))
 
 
+def read_lines(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
+    return parsed_lines(raw_lines(spark, path), schema)
+
+
 def read_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Records with an id from ``{"questions": [...]}``, a JSON array or JSON lines."""
     if path.endswith(".jsonl"):

@@ -82,13 +82,47 @@ def test_tables_carry_their_heading(spark):
 
 
 def test_reordering():
-    lines = ["אבגדהו", "זחטיכל"]
+    lines = O.PageLines("אבגדהו\nזחטיכל")
     assert O.reorder("דהו אבג", lines) == "אבג דהו"
     assert O.reorder("אבג דהו", lines) == "אבג דהו"
     assert O.reorder("דהו אבג ששש", lines) == "דהו אבג ששש"
     assert O.reorder("plain latin words", lines) == "plain latin words"
 
 
+def brute_reorder(words, lines):
+    """Largest run first, forwards before backwards, tried against every line."""
+    keys = [O.word_key(w) for w in words]
+    fits = lambda run: len("".join(run)) >= O.SHORTEST_KEY and any("".join(run) in line for line in lines)
+    if fits(keys):
+        return words
+    out, at, turned = [], 0, False
+    while at < len(words):
+        for size in range(min(O.LONGEST_RUN, len(words) - at), 1, -1):
+            if fits(keys[at : at + size]):
+                out += words[at : at + size]
+                break
+            if fits(keys[at : at + size][::-1]):
+                out, turned = out + words[at : at + size][::-1], True
+                break
+        else:
+            return words
+        at += size
+    return out if turned else words
+
+
+def test_reordering_equals_trying_all_lines():
+    rng = random.Random(1)
+    letters = "אבגדה"
+    for _ in range(300):
+        lines = [[("".join(rng.choice(letters) for _ in range(rng.randint(1, 3)))) for _ in range(6)] for _ in range(3)]
+        words = []
+        for line in rng.sample(lines, 2):
+            part = line[rng.randrange(3) :][: rng.randint(2, 5)]
+            words += part[::-1] if rng.random() < 0.6 else part
+        page = O.PageLines("\n".join(" ".join(line) for line in lines))
+        assert O.reorder(" ".join(words), page).split() == brute_reorder(words, ["".join(line) for line in lines])
+
+
 def test_repair_prefers_the_box(spark):
     items = spark.createDataFrame(
         [("f", 1, 0, "cell", "דהו אבג", "אבג דהו"), ("f", 1, 1, "text", "כל זחטי", None), ("f", 2, 2, "text", "אב גד", None)],

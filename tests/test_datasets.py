@@ -115,9 +115,25 @@ def test_cells_and_slots(spark):
     rows = [(1, "car", "standard", "easy"), (2, "car", "standard", "easy"), (3, "life", "standard", "hard")]
     items = spark.createDataFrame(rows, "id long, domain string, kind string, difficulty string")
     expected = {"standard": {"easy": 2, "hard": 1}}
-    problems = {(r["domain"], r["difficulty"], r["n"]) for r in X.cell_problems(items, expected).collect()}
+    problems = {(r["domain"], r["difficulty"], r["n"]) for r in X.cell_problems(items, expected, items).collect()}
     assert problems == {("car", "hard", 0), ("life", "easy", 0)}
-    assert X.missing_slots(items, expected).count() == 3
+    assert X.missing_slots(items, expected, items).count() == 3
+
+
+def test_categories_without_items_are_reported(spark):
+    items = spark.createDataFrame([(1, "car", "standard", "easy")], "id long, domain string, kind string, difficulty string")
+    categories = spark.createDataFrame([("car",), ("life",)], "domain string")
+    expected = {"standard": {"easy": 1}}
+    assert [(r["domain"], r["n"]) for r in X.cell_problems(items, expected, categories).collect()] == [("life", 0)]
+    assert [r["domain"] for r in X.missing_slots(items, expected, categories).collect()] == ["life"]
+
+
+def test_near_duplicates_of_large_ids(spark):
+    words = ["a", "b", "c"]
+    items = spark.createDataFrame([(1, words)], "ord long, tokens array<string>")
+    existing = spark.createDataFrame([(2**62 + 5, words), (2**62 + 9, words), (-(2**61), ["z"])], "ord long, tokens array<string>")
+    found = N.first_near_duplicates(items, existing).collect()
+    assert [(r["ord"], r["match"]) for r in found] == [(1, 2**62 + 5)]
 
 
 def test_question_index_first_source_wins(spark):

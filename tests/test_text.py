@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from citelode.functions import replies as R
@@ -78,6 +79,20 @@ def test_mend_json():
     assert R.mend_json('{"a": "x\\"y", "b": [[1]]}') == '{"a": "x\\"y", "b": [[1]]}'
 
 
+def test_mend_json_in_odd_places():
+    assert R.mend_json('{"a": "one "two" three" , "b": true}') == '{"a": "one \\"two\\" three" , "b": true}'
+    assert R.mend_json('}{"a": "]"}]') == '{"a": "]"}'
+    assert R.mend_json("") == ""
+    long = '{"a": "' + 'x "y" ' * 20_000 + '"}'
+    assert R.mend_json(long).count('\\"') == 40_000
+
+
+def test_long_page_numbers_are_pages(spark):
+    text = f"x\n{R.SOURCES_HEADER}\n- file: a.pdf | page: 12345678901\n- file: b.pdf | page: {'9' * 30}\n- file: c.txt | page: -"
+    pages = [r["page"] for r in one(spark, R.source_list(F.col("t")), t=text)]
+    assert pages == [12345678901, R.BEYOND, None]
+
+
 def test_sub_questions(spark):
     reply = '{"sub_questions": [{"question": " a ", "categories": ["car", "x", "car"]}, {"question": " "}]}'
     subs = one(spark, R.sub_questions(F.col("t"), ["car", "life"]), t=reply)
@@ -92,6 +107,12 @@ def test_retained_only_takes_away(spark):
 
 def test_evaluate():
     assert R.evaluate("2 ** 3 + max(1, 4) // 3 - -1") == 10
+    for text in ("-2 ** 2", "2 ** -1", "2 ** 3 ** 2", "2 ** -3 ** 2", "7 // 2 * 3 % 4", "-(3 - 5) * --2", "round(2.567, 1)", "abs(-1e3)",
+                 "min(3, max(1, 2), 9) + .5", "1_000 / 8", "((2))", "+3 - +2", "2 - 3 - 4", "100 / 10 / 5", "5 % -3"):
+        assert R.evaluate(text) == float(eval(text)), text
+    for bad in ("", "()", "1 +", "2 3", "(1, 2)", "1)", "(1", "max", "max(1)", "round()", "1 if 1 else 2", "((10**100)**100)**100", "1 ** (", "a.b", "1;2", "x = 1", "(-8) ** .5"):
+        with pytest.raises((ValueError, SyntaxError, TypeError, ZeroDivisionError, OverflowError)):
+            R.evaluate(bad)
     for bad in ("__import__('os')", "9 ** 101", "1 if 2 else 3", "x", "max(a=1)", "1" * 600):
         try:
             R.evaluate(bad)
