@@ -199,10 +199,9 @@ def _prefixes(members: DataFrame, sets: DataFrame, plan: Plan) -> DataFrame:
     of (count, hash). The counts are a table of COUNTERS numbers, whatever the input."""
     own = sets.join(members, "node")
     slot = F.col("token").bitwiseAND(F.lit(COUNTERS - 1))
-    seen = own.select(F.explode("set").alias("token")).groupBy(slot.alias("slot")).agg(F.count("*").alias("n")).collect()
+    seen = own.select(F.explode("set").alias("token")).groupBy(slot.alias("slot")).agg(F.count("*").alias("n")).toArrow()
     counts = np.zeros(COUNTERS, dtype=np.int64)
-    for row in seen:
-        counts[row["slot"]] = row["n"]
+    counts[seen.column("slot").to_numpy()] = seen.column("n").to_numpy()
 
     @F.arrow_udf(_LONGS)
     def first_ones(values: pa.Array) -> pa.Array:

@@ -99,7 +99,7 @@ def minimiser_counts(docs: DataFrame, text: str) -> DataFrame:
 
 def _bits(bloom: BlockedBloom) -> np.ndarray:
     """The filter itself, at most FILTER_WORDS numbers."""
-    return np.array(bloom.stored.first()["words"], dtype=np.int64).view(np.uint64)
+    return bloom.stored.toArrow().column("words")[0].values.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
 
 
 def _may_hold(words: np.ndarray, hashed: np.ndarray) -> np.ndarray:
