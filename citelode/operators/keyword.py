@@ -14,6 +14,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from citelode.functions import text as T
 from citelode.operators.sizing import small_side
+from citelode.operators.topk import RunningTop
 from citelode.session import cut_lineage
 
 #: Extra row per chunk that carries its length past the vocabulary join.
@@ -120,7 +121,7 @@ def bm25_search(
 
     ``chunks``: chunk_id, tokens. ``queries``: qid, tokens. Published Lucene variant;
     query tokens the corpus lacks score nothing. Chunks are scored where they are, batch
-    by batch; a task forwards its best ``k`` per query and batch and nothing else.
+    by batch; a task forwards its best ``k`` per query and nothing else.
     """
     keep = keep or []
     spark = chunks.sparkSession
@@ -168,6 +169,7 @@ def _bm25_batches(shared, k: int, keep: list[str], qid_type: pa.DataType):
         vocabulary = pa.array(tables["vocabulary"])
         qids, weights = tables["qids"], tables["weights"]
         step = max(1, MATRIX_CELLS // max(1, len(vocabulary)))
+        best = RunningTop(k, RANK_DECIMALS, tuple(keep))
         for batch in batches:
             for start in range(0, batch.num_rows, step):
                 part = batch.slice(start, step)
@@ -181,24 +183,14 @@ def _bm25_batches(shared, k: int, keep: list[str], qid_type: pa.DataType):
                 norm = tables["k1"] * (1 - tables["b"] + tables["b"] * lengths / tables["mean_length"])
                 with np.errstate(invalid="ignore"):
                     scores = (np.where(tf > 0, tf / (tf + norm[:, None]), 0.0) @ weights).T
-                ids = part.column("chunk_id").to_numpy(zero_copy_only=False)
-                order = np.argsort(ids, kind="stable")
-                owners, picked, values = [], [], []
-                for q in range(len(qids)):
-                    line = np.round(scores[q][order], RANK_DECIMALS)
-                    best = np.argsort(-line, kind="stable")[:k]
-                    best = order[best[line[best] > 0]]
-                    owners.append(np.full(len(best), q))
-                    picked.append(best)
-                    values.append(scores[q][best])
-                where = np.concatenate(picked)
-                columns = {
-                    "qid": pa.array([qids[i] for i in np.concatenate(owners)], qid_type),
-                    "chunk_id": part.column("chunk_id").take(pa.array(where)),
-                    "score": pa.array(np.concatenate(values)),
-                    **{c: part.column(c).take(pa.array(where)) for c in keep},
-                }
-                yield pa.RecordBatch.from_pydict(columns)
+                text = lambda name: part.column(name).to_numpy(zero_copy_only=False)
+                best.add(scores, text("chunk_id"), 0.0, **{name: text(name) for name in keep})
+        yield pa.RecordBatch.from_pydict({
+            "qid": pa.array([qids[i] for i in best.rows], qid_type),
+            "chunk_id": pa.array(best.keys.tolist(), pa.string()),
+            "score": pa.array(best.scores),
+            **{name: pa.array(best.extras[name].tolist(), pa.string()) for name in keep},
+        })
 
     return run
 

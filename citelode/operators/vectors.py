@@ -10,11 +10,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
-from citelode.operators.keyword import best_first, top_k
+from citelode.operators.keyword import RANK_DECIMALS, best_first, top_k
+from citelode.operators.topk import RunningTop
 
-#: Queries scored per pass. A block of 1024 dimensions is 8 MB, its scores against one
-#: Arrow batch of 10,000 rows are 80 MB.
+#: Queries scored per pass, at most; a block of 1024 dimensions is 8 MB.
 QUERY_BLOCK = 1024
+#: Scores held at once, 16 MB.
+SCORES = 2_000_000
 
 
 def hashed_dimensions(tokens: Column, dims: int) -> Column:
@@ -42,7 +44,8 @@ def hashing_embedder(dims: int = 64):
 
 
 def _query_blocks(queries: DataFrame, has_filter: bool):
-    """Query vectors in bounded pieces for the driver to broadcast."""
+    """Query vectors in pieces for the driver to broadcast, one at a time and each of at most
+    QUERY_BLOCK rows: a piece of the hash that is larger is cut."""
     columns = ["qid", F.col("vector").cast("array<double>")] + (["categories"] if has_filter else [])
     picked = queries.select(*columns)
     total = picked.count()
@@ -52,7 +55,8 @@ def _query_blocks(queries: DataFrame, has_filter: bool):
     pieces = -(-2 * total // QUERY_BLOCK)
     numbered = picked.withColumn("__piece", F.pmod(F.xxhash64("qid"), F.lit(pieces)))
     for piece in range(pieces):
-        yield numbered.filter(F.col("__piece") == piece).drop("__piece").collect()
+        rows = numbered.filter(F.col("__piece") == piece).drop("__piece").collect()
+        yield from (rows[at : at + QUERY_BLOCK] for at in range(0, len(rows), QUERY_BLOCK))
 
 
 def cosine_search(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "chunk_id") -> DataFrame:
@@ -62,17 +66,18 @@ def cosine_search(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str
     vector, optional categories (array; null or empty means no filter). The filter
     applies before ranking, so a filtered query still fills its ``k`` places.
 
-    Every task multiplies its batches with the broadcast query block and keeps ``k``
-    candidates per query and batch; only those are shuffled.
+    Every task multiplies its batches with the broadcast query block and keeps a running
+    top ``k`` per query; only ``k`` rows per query and task are shuffled.
     """
     has_filter = "categories" in queries.columns
     spark = vectors.sparkSession
     key_type = vectors.schema[key].dataType.simpleString()
     qid_type = queries.schema["qid"].dataType.simpleString()
-    parts = [block for block in _query_blocks(queries, has_filter) if block]
     columns = [key, F.col("vector").cast("array<double>").alias("vector")]
     result = None
-    for block in parts:
+    for block in _query_blocks(queries, has_filter):
+        if not block:
+            continue
         ids = [r["qid"] for r in block]
         matrix = np.array([r["vector"] for r in block], dtype=float)
         norms = np.linalg.norm(matrix, axis=1, keepdims=True)
@@ -96,34 +101,19 @@ def cosine_search(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str
 def _score_batches(shared, k: int, key: str, has_filter: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, matrix, wanted = shared.value
+        best = RunningTop(k, RANK_DECIMALS)
         for batch in batches:
-            if batch.empty:
-                continue
-            data = np.stack(batch["vector"].to_numpy())
-            norms = np.linalg.norm(data, axis=1, keepdims=True)
-            scores = matrix @ (data / np.where(norms == 0, 1, norms)).T
-            keys = batch[key].to_numpy()
-            order = np.argsort(keys, kind="stable")
-            if has_filter:
-                category = batch["category"].to_numpy()
-                for row, names in enumerate(wanted):
-                    if names:
-                        scores[row, ~np.isin(category, list(names))] = -np.inf
-            picked, values, owners = [], [], []
-            for row in range(len(ids)):
-                line = np.round(scores[row][order], 9)
-                best = np.argsort(-line, kind="stable")[:k]
-                best = order[best[np.isfinite(line[best])]]
-                picked.append(best)
-                values.append(scores[row][best])
-                owners.append(np.full(len(best), row))
-            where = np.concatenate(picked)
-            yield pd.DataFrame(
-                {
-                    "qid": [ids[i] for i in np.concatenate(owners)],
-                    key: keys[where],
-                    "score": np.concatenate(values),
-                }
-            )
+            for start in range(0, len(batch), step := max(1, SCORES // max(1, len(ids)))):
+                part = batch.iloc[start : start + step]
+                data = np.stack(part["vector"].to_numpy())
+                norms = np.linalg.norm(data, axis=1, keepdims=True)
+                scores = matrix @ (data / np.where(norms == 0, 1, norms)).T
+                if has_filter:
+                    category = part["category"].to_numpy()
+                    for row, names in enumerate(wanted):
+                        if names:
+                            scores[row, ~np.isin(category, list(names))] = -np.inf
+                best.add(scores, part[key].to_numpy())
+        yield pd.DataFrame({"qid": [ids[i] for i in best.rows], key: best.keys.tolist(), "score": best.scores})
 
     return run

@@ -131,3 +131,31 @@ def test_index_round_trip(spark, tmp_path):
     assert "car/pages/2.txt" not in renewed and renewed["car/pages/1.txt"] == "Fresh words here." and len(renewed) == 7
     index.build(changed, path)
     assert index.open_index(spark, path).select("file").distinct().count() == 7
+
+
+def test_running_top_equals_sorting_everything():
+    from citelode.operators.topk import RunningTop
+
+    rng = np.random.default_rng(3)
+    for k in (1, 3, 7):
+        scores, keys = np.round(rng.random((4, 90)), 1), np.array([f"c{i:02d}" for i in rng.permutation(90)], dtype=object)
+        best = RunningTop(k, 9)
+        for at in range(0, 90, 13):
+            best.add(scores[:, at : at + 13], keys[at : at + 13], 0.2)
+        for q in range(4):
+            want = [name for value, name in sorted((-s, name) for s, name in zip(scores[q], keys) if s > 0.2)][:k]
+            assert best.keys[best.rows == q].tolist() == want
+
+
+def test_tasks_forward_at_most_k_rows_per_query(spark):
+    _, frame = corpus(spark, 600)
+    queries = spark.createDataFrame([(i, [f"t{i}", "t1"]) for i in range(8)], "qid int, tokens array<string>")
+    shared = spark.sparkContext.broadcast(keyword._scoring_tables(
+        [{"token": "t1", "qid": i, "qtf": 1, "df": 5} for i in range(8)], 600, 30.0, 1.5, 0.75
+    ))
+    import pyarrow as pa
+
+    counts = frame.select("chunk_id", "tokens").mapInArrow(
+        keyword._bm25_batches(shared, 5, [], pa.int32()), "qid int, chunk_id string, score double"
+    ).groupBy(F.spark_partition_id().alias("task"), "qid").count()
+    assert counts.agg(F.max("count")).first()[0] <= 5 and queries.count() == 8
