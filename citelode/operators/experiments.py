@@ -201,6 +201,37 @@ def paired(predictions: DataFrame, reference: str, keys: list[str]) -> DataFrame
     )
 
 
+def compared(predictions: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Arms against several references at once. ``pairs``: arm, reference. ``arm, reference,
+    n_pairs``, the counts of both verdict dimensions and their exact p."""
+    arms = predictions.select("arm", "id", "verdict").join(pairs, "arm")
+    base = predictions.select(F.col("arm").alias("reference"), "id", F.col("verdict").alias("base"))
+    v, b = F.col("verdict"), F.col("base")
+    counts = arms.join(base, ["reference", "id"]).groupBy("arm", "reference").agg(
+        F.count(F.lit(1)).alias("n_pairs"),
+        F.count_if((b == "harmful") & (v != "harmful")).alias("n_fixed"),
+        F.count_if((b != "harmful") & (v == "harmful")).alias("n_broken"),
+        F.count_if((b != "useful") & (v == "useful")).alias("n_correct_gained"),
+        F.count_if((b == "useful") & (v != "useful")).alias("n_correct_lost"),
+    )
+    return counts.withColumn("mcnemar_p", mcnemar_p("n_fixed", "n_broken")).withColumn(
+        "mcnemar_p_correct", mcnemar_p("n_correct_gained", "n_correct_lost")
+    )
+
+
+def changed_ids(predictions: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``arm, reference, change, id`` in both verdict dimensions: a wrong filter fixed or
+    broken, a right one gained or lost. One row each, so no arm's ids are collected."""
+    arms = predictions.select("arm", "id", "verdict").join(pairs, "arm")
+    base = predictions.select(F.col("arm").alias("reference"), "id", F.col("verdict").alias("base"))
+    v, b = F.col("verdict"), F.col("base")
+    changes = F.array_compact(F.array(
+        F.when((b == "harmful") & (v != "harmful"), "fixed").when((b != "harmful") & (v == "harmful"), "broken"),
+        F.when((b != "useful") & (v == "useful"), "gained").when((b == "useful") & (v != "useful"), "lost"),
+    ))
+    return arms.join(base, ["reference", "id"]).select("arm", "reference", "id", F.explode(changes).alias("change"))
+
+
 def discordant(predictions: DataFrame, reference: str) -> DataFrame:
     """Ids whose wrong filter an arm fixed or broke, one row each."""
     arms = predictions.filter(F.col("arm") != reference).select("arm", "id", "verdict")

@@ -195,6 +195,33 @@ def _bm25_batches(shared, k: int, keep: list[str], qid_type: pa.DataType):
     return run
 
 
+def category_search(pages: DataFrame, queries: DataFrame, k: int, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """Top ``k`` pages of the query's own category, pages that score zero included:
+    ``qid, page_id, score, rank``.
+
+    ``pages``: page_id, category, tokens. ``queries``: qid, category, tokens. Frequencies and lengths
+    are those of the category. Pages without a query term are not paired with the query: the first
+    ``k`` pages of the category in id order are all that can fill places left over.
+    """
+    terms = T.each(queries, ["qid", "category"], F.col("tokens"), "token").groupBy("qid", "category", "token").agg(F.count(F.lit(1)).alias("qtf"))
+    corpus = pages.groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("tokens")).alias("avgdl"))
+    asked = small_side(terms.select("category", "token").distinct())
+    postings = T.each(pages, ["page_id", "category", F.size("tokens").alias("dl")], F.col("tokens"), "token").join(
+        asked, ["category", "token"]
+    ).groupBy("page_id", "category", "dl", "token").agg(F.count(F.lit(1)).alias("tf"))
+    df = postings.groupBy("category", "token").agg(F.count(F.lit(1)).alias("df"))
+    weighted = terms.join(df, ["category", "token"]).join(corpus, "category")
+    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    norm = k1 * (1 - b + b * F.col("dl") / F.col("avgdl"))
+    scored = postings.join(weighted, ["category", "token"]).groupBy("qid", "page_id").agg(
+        F.sum(F.col("qtf") * idf * F.col("tf") / (F.col("tf") + norm)).alias("score")
+    )
+    first = top_k(pages.select("page_id", "category"), ["category"], [F.col("page_id").asc()], k, "__place").drop("__place")
+    spare = queries.select("qid", "category").join(first, "category").select("qid", "page_id", F.lit(0.0).alias("score"))
+    best = scored.unionByName(spare).groupBy("qid", "page_id").agg(F.max("score").alias("score"))
+    return top_k(best, ["qid"], best_first("score", "page_id"), k)
+
+
 def filtered_sparse_search(
     chunks: DataFrame, queries: DataFrame, filters: DataFrame, k: int = 20, overfetch: int = 3
 ) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,8 +31,8 @@ def build_session(app: str = "citelode", master: str | None = None, **conf: str)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``. One of our own is made only when
-    the setting is absent and the master is local, where there is a single machine."""
+    """The folder named by ``spark.checkpoint.dir``. Only where that is unset and the master is
+    local, a folder of the application in the warehouse."""
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if named:
@@ -42,7 +41,19 @@ def shared_folder(spark: SparkSession) -> str:
         return context.getCheckpointDir()
     if not context.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    return tempfile.mkdtemp(prefix="citelode-shared-")
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/shared"
+
+
+def application_folder(spark: SparkSession) -> str:
+    """Where everything that this application shares lies."""
+    return f"{shared_folder(spark).rstrip('/')}/citelode-{spark.sparkContext.applicationId}"
+
+
+def drop_shared(spark: SparkSession) -> None:
+    """Remove what this application wrote with ``shared_table``; results that still read it have
+    to be written before."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(application_folder(spark))
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -56,6 +67,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def shared_table(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as a table in the shared folder and read back, so that later reads
     can prune columns and row groups."""
-    path = f"{shared_folder(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{application_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)

@@ -106,3 +106,23 @@ def test_step_relay(spark, tmp_path):
     )
     query.awaitTermination(60)
     assert sorted(seen) == [("q1", 0, "retrieve"), ("q1", 1, "answer")]
+
+
+def test_shared_tables_lie_in_one_folder(spark):
+    import os
+
+    from citelode.session import application_folder, shared_folder, shared_table
+
+    written = shared_table(spark.range(3), "numbers")
+    assert written.count() == 3
+    assert application_folder(spark).startswith(shared_folder(spark)) and os.path.isdir(application_folder(spark))
+
+
+def test_record_numbers_have_no_gaps(spark, tmp_path):
+    from citelode.sources import records
+
+    path = tmp_path / "run.jsonl"
+    path.write_text('{"id": "a"}\n{"id": "b"\n\n[1]\n{"id": "c"}\n')
+    found, skipped = records.read_lines(spark, str(path), "id string")
+    assert [(r["lineno"], r["id"]) for r in found.orderBy("lineno").collect()] == [(1, "a"), (2, "c")]
+    assert skipped.first()["skipped"] == 2
