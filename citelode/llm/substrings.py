@@ -191,15 +191,20 @@ def _count_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def _hot_spans(hot: DataFrame) -> DataFrame:
+    """The same for minimisers without a bucket. Equal strings become one row with a count
+    before their windows are looked at, and places get their spans by the whole string."""
+    name = [F.xxhash64("packed").alias("p1"), F.xxhash64("packed", F.lit(1)).alias("p2")]
     words = F.split("packed", " ")
-    last = F.size(words) - WINDOW
-    each = hot.select("doc_id", "row", "start", words.alias("words"), F.explode(F.sequence(F.lit(0), last)).alias("at"))
-    window = F.array_join(F.slice("words", F.col("at") + 1, F.lit(WINDOW)), " ")
-    windows = each.select("doc_id", "row", (F.col("start") + F.col("at")).alias("first"), window.alias("window"))
+    strings = hot.groupBy("packed").agg(F.count("*").alias("n")).select(*name, "n", words.alias("words"))
+    each = strings.select("p1", "p2", "n", "words", F.explode(F.sequence(F.lit(0), F.size("words") - WINDOW)).alias("at"))
+    windows = each.select("p1", "p2", "n", "at", F.array_join(F.slice("words", F.col("at") + 1, F.lit(WINDOW)), " ").alias("window"))
     keys = [F.xxhash64("window").alias("k1"), F.xxhash64("window", F.lit(1)).alias("k2")]
-    twice = windows.groupBy("window").agg(F.count("*").alias("n")).filter("n > 1").select(*keys)
-    placed = windows.select("doc_id", "row", "first", *keys).join(twice, ["k1", "k2"])
-    return placed.select("doc_id", "row", "first", (F.col("first") + WINDOW).cast("int").alias("end"))
+    twice = windows.groupBy("window").agg(F.sum("n").alias("n")).filter("n > 1").select(*keys)
+    flagged = windows.select("p1", "p2", "at", *keys).join(twice, ["k1", "k2"])
+    flagged = flagged.groupBy("p1", "p2").agg(F.collect_list("at").alias("places"))  # PACKED at most
+    span = lambda at: F.struct((F.col("start") + at).alias("first"), (F.col("start") + at + WINDOW).alias("end"))
+    placed = hot.select("doc_id", "row", "start", *name).join(flagged, ["p1", "p2"])
+    return placed.select("doc_id", "row", F.transform("places", span).alias("spans"))
 
 
 def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -211,8 +216,9 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), row_key(doc_id, raw).alias("row"), raw.alias("text"))
     strings = shared_table(travelling(rows, repeated, hot), "strings")
     cold = strings.filter("NOT hot").repartition("bucket").sortWithinPartitions("bucket")
-    spans = cold.mapInArrow(_count_buckets, "doc_id long, row long, first int, end int").unionByName(_hot_spans(strings.filter("hot")))
-    return spans.groupBy("doc_id", "row").agg(F.collect_list(F.struct("first", "end")).alias("spans"))
+    counted = cold.mapInArrow(_count_buckets, "doc_id long, row long, first int, end int")
+    spans = counted.select("doc_id", "row", F.array(F.struct("first", "end")).alias("spans")).unionByName(_hot_spans(strings.filter("hot")))
+    return spans.groupBy("doc_id", "row").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
 _KEPT = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())])
