@@ -140,9 +140,10 @@ def paragraph_packs(parts: Column, max_tokens: int) -> Column:
 
 def text_chunks(
     files: DataFrame, width: int = 7, overlap: int = 2, max_tokens: int = 512,
-    chunker: str = "per_table",
+    chunker: str = "per_table", keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Plain-text files (``file, category, text``) to chunks; pages are null."""
+    """Plain-text files (``file, category, text``) to chunks; pages are null. Columns of the
+    files named in ``keep`` are carried along."""
     windows = sentence_windows(files, "text", width, overlap, max_tokens)
     page = F.lit(None).cast("int")
     return windows.select(
@@ -152,6 +153,7 @@ def text_chunks(
         "category",
         "text",
         F.lit(chunker).alias("chunker"),
+        *keep,
     )
 
 

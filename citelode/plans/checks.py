@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from citelode.functions import replies as R
@@ -10,7 +12,10 @@ from citelode.operators import checks as K
 from citelode.operators import experiments as X
 from citelode.operators import keyword
 from citelode.plans import experiments as P
+from citelode.plans import index
+from citelode.plans import sql_parts as S
 from citelode.plans import tables as D
+from citelode.session import application_folder
 
 CATEGORIES = [f"src{i}" for i in range(18)]
 
@@ -139,11 +144,27 @@ def changed_ids(spark, sf_dir):
     return X.changed_ids(P._predictions(spark, sf_dir), _pairs(spark))
 
 
+def index_refresh(spark, sf_dir):
+    """An index built from labelled documents, toxic ones in an older form, and benchmark items that are
+    gone by now; brought up to date with all documents."""
+    now = D.files(spark, sf_dir)
+    labels = D.table(spark, sf_dir, "labels").withColumn("id", F.col("doc_id").cast("string"))
+    known = now.withColumn("id", F.regexp_extract("file", r"(\d+)\.txt$", 1)).join(labels.select("id", "toxic"), "id")
+    text = F.when(F.col("toxic") == 1, F.concat("text", F.lit(" Older text."))).otherwise(F.col("text"))
+    gone = D.table(spark, sf_dir, "benchmark").select(F.concat(F.lit("src0/pages/b"), "item_id").alias("file"), F.lit("src0").alias("category"), "text")
+    path = f"{application_folder(spark)}/index-{uuid.uuid4().hex[:12]}"
+    index.build(known.select("file", "category", text.alias("text")).unionByName(gone), path)
+    index.update(now, path)
+    rows = index.open_index(spark, path)
+    return rows.groupBy("file").agg(F.count(F.lit(1)).alias("n_chunks"), F.md5(F.array_join(F.sort_array(F.collect_list(F.md5("text"))), "")).alias("texts_md5"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         chunk_violations, item_violations, failure_ids, answerable_questions, audit_sample, parse_outcomes, provider_warnings, table_cells,
         gate_inputs, classification_fallback, category_keyword_search, reference_comparison, changed_ids,
+        index_refresh,
     )
 }
 
@@ -154,6 +175,8 @@ both_ AS (
   WHERE (a.arm, b.arm) IN (('narrow', 'wide'), ('strict', 'wide'), ('strict', 'narrow')))"""
 
 ORACLES = {
+    "index_refresh": f"""WITH RECURSIVE {S.CHUNKS}
+SELECT file, count(*) AS n_chunks, md5(string_agg(md5(text), '' ORDER BY md5(text))) AS texts_md5 FROM chunks GROUP BY 1""",
     "chunk_violations": f"""WITH c AS (
   SELECT *, CASE WHEN n_chars % 11 = 0 THEN 'x/' || lang WHEN n_chars % 7 = 0 THEN source || '/cafe' || chr(769) ELSE source || '/' || lang END AS file,
     CASE WHEN n_chars % 3 > 0 THEN n_chars % 5 END AS page FROM documents)

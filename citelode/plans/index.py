@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -48,29 +49,49 @@ class IndexConfig:
         }
 
 
+def fingerprinted(files: DataFrame, config: IndexConfig) -> DataFrame:
+    """Files with the fingerprint of their content and of all that shapes their rows."""
+    settings = F.lit(json.dumps(config.index_identity(), sort_keys=True))
+    return files.withColumn("fingerprint", F.sha2(F.concat_ws("|", "text", settings), 256))
+
+
 def index_rows(files: DataFrame, config: IndexConfig) -> DataFrame:
     """Files (``file, category, text``) to chunks with tokens, vector and fingerprint."""
     tokens = provider("normalizer", config.normalizer)
     embed = provider("embedder", config.embedder, **config.embedder_params)
-    marked = files.withColumn("fingerprint", F.sha2(F.concat_ws("|", "text", F.lit(json.dumps(config.index_identity(), sort_keys=True))), 256))
-    chunks = chunking.text_chunks(files, config.sentence_count, config.sentence_overlap, config.max_tokens)
-    return (
-        chunks.join(marked.select("file", "fingerprint"), "file")
-        .withColumn("tokens", tokens(F.col("text")))
-        .withColumn("vector", embed(F.col("tokens")))
+    chunks = chunking.text_chunks(
+        fingerprinted(files, config), config.sentence_count, config.sentence_overlap, config.max_tokens, keep=("fingerprint",)
     )
+    return chunks.withColumn("tokens", tokens(F.col("text"))).withColumn("vector", embed(F.col("tokens")))
 
 
-def build(files: DataFrame, path: str, config: IndexConfig = IndexConfig()) -> None:
+#: Files that a category's folder is spread over, at most.
+SPREAD = 32
+
+
+def _write(rows: DataFrame, path: str, config: IndexConfig) -> None:
     """Write chunks partitioned by category, so a category filter prunes folders, then
-    the manifest; both appear at once."""
-    spark = files.sparkSession
-    staging = f"{path}.build"
-    index_rows(files, config).write.mode("overwrite").partitionBy("category").parquet(f"{staging}/chunks")
+    the manifest; both appear at once. Every build has a staging folder of its own, and rows
+    are dealt by category and file, so a folder has few files and a large one many writers."""
+    spark = rows.sparkSession
+    staging = f"{path}.build-{uuid.uuid4().hex[:8]}"
+    dealt = rows.repartition("category", F.pmod(F.xxhash64("file"), F.lit(SPREAD)))
+    dealt.write.partitionBy("category").parquet(f"{staging}/chunks")
     sinks.write_text(spark, json.dumps(config.index_identity(), sort_keys=True), f"{staging}/manifest.json")
     sinks.publish(spark, staging, path)
 
 
+def build(files: DataFrame, path: str, config: IndexConfig = IndexConfig()) -> None:
+    """Index ``files`` anew."""
+    _write(index_rows(files, config), path, config)
+
+
+def update(files: DataFrame, path: str, config: IndexConfig = IndexConfig()) -> None:
+    """Bring an index up to date: only new and changed files are chunked, tokenised and
+    embedded; rows of unchanged files are copied, those of vanished files go."""
+    _write(refresh(files, path, config), path, config)
+
+
 def open_index(spark: SparkSession, path: str, config: IndexConfig = IndexConfig()) -> DataFrame:
     """Chunks of an index; an index built by other components is refused."""
     manifest = sinks.read_text(spark, f"{path}/manifest.json")
@@ -85,10 +106,10 @@ def open_index(spark: SparkSession, path: str, config: IndexConfig = IndexConfig
 
 def refresh(files: DataFrame, path: str, config: IndexConfig = IndexConfig()) -> DataFrame:
     """Index rows after a corpus change: unchanged files keep their rows, new or changed
-    ones are computed, vanished ones go. Write the result with a new build."""
+    ones are computed, vanished ones go. ``update`` writes them."""
     spark = files.sparkSession
     stored = open_index(spark, path, config)
-    current = files.withColumn("fingerprint", F.sha2(F.concat_ws("|", "text", F.lit(json.dumps(config.index_identity(), sort_keys=True))), 256))
+    current = fingerprinted(files, config)
     known = stored.select("file", "fingerprint").distinct()
     fresh = index_rows(history.not_done(current, known, ["file", "fingerprint"]).drop("fingerprint"), config)
     kept = stored.join(small_side(current.select("file", "fingerprint")), ["file", "fingerprint"], "left_semi")

@@ -1,4 +1,5 @@
 import math
+import os
 
 import numpy as np
 import pytest
@@ -129,8 +130,10 @@ def test_index_round_trip(spark, tmp_path):
     changed = files.withColumn("text", F.when(F.col("file") == "car/pages/1.txt", F.lit("Fresh words here.")).otherwise(F.col("text"))).filter("file != 'car/pages/2.txt'")
     renewed = {r["file"]: r["text"] for r in index.refresh(changed, path).collect()}
     assert "car/pages/2.txt" not in renewed and renewed["car/pages/1.txt"] == "Fresh words here." and len(renewed) == 7
-    index.build(changed, path)
-    assert index.open_index(spark, path).select("file").distinct().count() == 7
+    index.update(changed.unionByName(spark.createDataFrame([("life/pages/new.txt", "life", "A new file.")], files.schema)), path)
+    after = {(r["file"], r["text"]) for r in index.open_index(spark, path).collect()}
+    assert after == {(r["file"], r["text"]) for r in index.refresh(changed, path).collect()} | {("life/pages/new.txt", "A new file.")}
+    assert not [name for name in os.listdir(tmp_path) if ".build" in name or ".old" in name]
 
 
 def test_running_top_equals_sorting_everything():
