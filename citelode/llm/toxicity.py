@@ -22,6 +22,7 @@ of single characters ("i d i o t") is read as one string too. Other columns are
 from __future__ import annotations
 
 import math
+import re
 import uuid
 from dataclasses import dataclass, field
 
@@ -31,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from citelode.llm.common import WORD, portions, whole_text
+from citelode.llm.common import BLANKS, WORD, portions, whole_text
 from citelode.session import shared_table
 
 #: Labelled documents the classifier is fitted on, at most, of each label.
@@ -43,8 +44,8 @@ NEGATIVES, CLOSE = 8_000, 4_000
 ACCIDENT = 0.01
 ORDER, DECAY = 3, 0.6
 PIECE = 24
-#: Strings whose score a worker remembers.
-REMEMBERED = 500_000
+#: Words and strings whose score each half of a worker's memory holds.
+REMEMBERED = 300_000
 EDGE = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~«»„“”‘’¡¿…–—"
 
 
@@ -54,55 +55,42 @@ def _codes(strings: list[str]) -> np.ndarray:
     return np.frombuffer(flat.encode("utf-32-le"), dtype=np.uint32).reshape(len(strings), width)
 
 
-def _subsequences(match, rows: int, columns: int, shape: tuple) -> np.ndarray:
-    """Kernel of ORDER-character subsequences for stacked pairs; ``match(a, b)`` says
-    where character a of the left and b of the right strings agree."""
-    square = np.float32(DECAY * DECAY)
-    shorter = None
-    for level in range(ORDER):
-        longer = np.zeros((rows + 1, columns + 1, *shape), dtype=np.float32)
-        total = np.zeros(shape, dtype=np.float32)
-        for a in range(1, rows + 1):
-            run = np.zeros(shape, dtype=np.float32)
-            for b in range(1, columns + 1):
-                hit = match(a - 1, b - 1) * square
-                if shorter is not None:
-                    hit = hit * shorter[a - 1, b - 1]
-                if level == ORDER - 1:
-                    total += hit
-                else:
-                    run = np.float32(DECAY) * run + hit
-                    longer[a, b] = np.float32(DECAY) * longer[a - 1, b] + run
-        shorter = longer
-    return total
+def _subsequences(agree: np.ndarray) -> np.ndarray:
+    """Kernel of ORDER-character subsequences for stacked pairs. ``agree[a, b]`` says for every
+    pair where character a of the left and b of the right string are the same."""
+    square, decay = np.float32(DECAY * DECAY), np.float32(DECAY)
+    hits = agree * square
+    for _ in range(ORDER - 1):
+        # Longer subsequences end in a hit behind a shorter one: those are summed over all
+        # places before, each step away costing one more decay.
+        reach = np.zeros_like(hits)
+        for b in range(1, hits.shape[1]):
+            reach[:, b] = decay * reach[:, b - 1] + hits[:, b - 1]
+        for a in range(1, hits.shape[0]):
+            reach[a] += decay * reach[a - 1]
+        hits[1:] = agree[1:] * square * reach[:-1]
+        hits[0] = 0
+    return hits.sum(axis=(0, 1))
 
 
 def kernel_values(strings: list[str], landmarks: list[str]) -> np.ndarray:
     """Normalised kernel of each string with each landmark."""
     out = np.zeros((len(strings), len(landmarks)), dtype=np.float32)
-    right = _codes(landmarks)
+    right = _codes(landmarks).T
     scale = np.sqrt(np.maximum(_self_values(landmarks), 1e-12))
     order = sorted(range(len(strings)), key=lambda i: len(strings[i]))
-    for at in range(0, len(order), 2048):
-        some = order[at : at + 2048]
-        left = _codes([strings[i] for i in some])
-
-        def match(a: int, b: int, left=left) -> np.ndarray:
-            return ((left[:, a, None] == right[None, :, b]) & (right[None, :, b] != 0)).astype(np.float32)
-
-        raw = _subsequences(match, left.shape[1], right.shape[1], (len(some), len(landmarks)))
-        own = np.sqrt(np.maximum(_self_values([strings[i] for i in some]), 1e-12))
-        out[some] = raw / own[:, None] / scale[None, :]
+    for at in range(0, len(order), 1024):
+        some = [strings[i] for i in order[at : at + 1024]]
+        left = _codes(some).T
+        agree = (left[:, None, :, None] == right[None, :, None, :]) & (right != 0)[None, :, None, :]
+        own = np.sqrt(np.maximum(_self_values(some), 1e-12))
+        out[order[at : at + 1024]] = _subsequences(agree) / own[:, None] / scale[None, :]
     return out
 
 
 def _self_values(strings: list[str]) -> np.ndarray:
-    codes = _codes(strings)
-
-    def match(a: int, b: int) -> np.ndarray:
-        return ((codes[:, a] == codes[:, b]) & (codes[:, a] != 0)).astype(np.float32)
-
-    return _subsequences(match, codes.shape[1], codes.shape[1], (len(strings),))
+    codes = _codes(strings).T
+    return _subsequences((codes[:, None, :] == codes[None, :, :]) & (codes != 0)[None, :, :])
 
 
 def pieces_of(word: bytes) -> list[str]:
@@ -113,21 +101,17 @@ def pieces_of(word: bytes) -> list[str]:
     return [plain[at : at + PIECE] for at in range(0, len(plain) - PIECE // 2, PIECE // 2)]
 
 
-def spelled(words: list[bytes]) -> list[bytes]:
-    """Runs of three or more single characters, joined."""
-    out, run = [], []
-    for word in [*words, b"  "]:
-        if len(word) == 1 or len(word) <= 4 and len(word.decode("utf-8", "replace")) == 1:
-            run.append(word)
-        else:
-            if len(run) >= ORDER:
-                out.append(b"".join(run))
-            run = []
-    return out
+_SPELLED = re.compile(rf"(?<![^{BLANKS}])(?:[^{BLANKS}][{BLANKS}]+){{{ORDER - 1},}}[^{BLANKS}](?![^{BLANKS}])")
+
+
+def spelled(text: str) -> list[bytes]:
+    """Runs of ORDER or more single characters, joined."""
+    return ["".join(run.split()).encode() for run in _SPELLED.findall(text)]
 
 
-#: Scores of words by model, in a worker and across its tasks.
-_MEMORY: dict[str, dict[bytes, float]] = {}
+#: Scores of words and strings by model, in a worker and across its tasks: a young and an old
+#: half; when the young one is full it becomes the old one, so frequent words stay.
+_MEMORY: dict[str, list[dict]] = {}
 
 
 @dataclass
@@ -146,20 +130,22 @@ class Model:
 
     def worst(self, texts: list[str]) -> np.ndarray:
         """Score of each text's worst string; ``bias`` for a text without strings."""
-        split = [text.encode().lower().split() for text in texts]
-        for words in split:
-            words += spelled(words)
-        if self.name not in _MEMORY or len(_MEMORY[self.name]) > REMEMBERED:
+        split = [text.encode().lower().split() + spelled(text.lower()) for text in texts]
+        if self.name not in _MEMORY:
             _MEMORY.clear()
-            _MEMORY[self.name] = {}
-        memory = _MEMORY[self.name]  # words as bytes and the strings they are read as
-        cut = {word: pieces_of(word) for word in set().union(*split) - memory.keys()}
+            _MEMORY[self.name] = [{}, {}]
+        if len(_MEMORY[self.name][0]) > REMEMBERED:
+            _MEMORY[self.name] = [{}, _MEMORY[self.name][0]]
+        memory, old = _MEMORY[self.name]  # words as bytes and the strings they are read as
+        missing = set().union(*split) - memory.keys()
+        memory.update({word: old[word] for word in missing & old.keys()})
+        cut = {word: pieces_of(word) for word in missing - memory.keys()}
         fresh = list({piece for pieces in cut.values() for piece in pieces} - memory.keys())
         for at in range(0, len(fresh), 50_000):
             some = fresh[at : at + 50_000]
             memory.update(zip(some, self.string_scores(some).tolist(), strict=True))
         for word, pieces in cut.items():
-            memory[word] = max([memory[piece] for piece in pieces])
+            memory[word] = memory[pieces[0]] if len(pieces) == 1 else max([memory[piece] for piece in pieces])
         return np.array([max(map(memory.__getitem__, words), default=self.bias) for words in split], dtype=np.float64)
 
 
