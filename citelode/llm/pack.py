@@ -16,6 +16,7 @@ from __future__ import annotations
 import math
 import os
 from collections.abc import Iterator
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,7 @@ BITS = 12
 #: Tokens in a stretch of the curve that one task packs.
 STRETCH = 4_000_000
 #: Words whose tokens each half of a worker's memory holds.
-REMEMBERED = 250_000
+REMEMBERED = 400_000
 #: Marks that may follow a word.
 MARKS = b",.;:!?%&$#*|)"
 
@@ -76,10 +77,9 @@ class WordTokens:
         bare = {word: word.rstrip(MARKS) for word in words if word[-1] in MARKS and b"<|" not in word}
         bare = {word: short for word, short in bare.items() if short and short[-1:].isalnum()}
         wanted = (words - bare.keys()) | set(bare.values()) | {word[len(short) :] for word, short in bare.items()}
-        wanted -= young.keys()
-        for word in wanted & old.keys():
-            young[word] = old[word]
-        fresh = list(wanted - old.keys())
+        wanted = list(filterfalse(young.__contains__, wanted))
+        young.update([(word, old[word]) for word in filter(old.__contains__, wanted)])
+        fresh = list(filterfalse(old.__contains__, wanted))
         for at in range(0, len(fresh), 20_000):
             some = fresh[at : at + 20_000]
             encoded = self._tokenizer.encode_batch_fast([word.decode() for word in some], add_special_tokens=False)
@@ -87,20 +87,17 @@ class WordTokens:
         for word, short in bare.items():
             young[word] = young[short] + young[word[len(short) :]]
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
+    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
+        """Ids of UTF-8 texts."""
         if len(self._young) > REMEMBERED:
             self._young, self._old = {}, self._young
-        split = []
-        for text in texts:
-            data = text.encode()
-            # The tokenizer lower-cases; ASCII letters can be lower-cased before, but not in its special strings.
-            split.append((data if b"<|" in data else data.lower()).split())
-        known = [list(map(self._young.get, words)) for words in split]
-        missing = {word for words, found in zip(split, known, strict=True) if None in found for word, one in zip(words, found, strict=True) if one is None}
+        # The tokenizer lower-cases; ASCII letters can be lower-cased before, but not in its special strings.
+        split = [(text if b"<|" in text else text.lower()).split() for text in texts]
+        missing = set(filterfalse(self._young.__contains__, set().union(*split)))
         if missing:
             self._learn(missing)
-            known = [list(map(self._young.get, words)) if None in found else found for words, found in zip(split, known, strict=True)]
-        return [np.frombuffer(b"".join(found), dtype=self.dtype) for found in known]
+        known = self._young.__getitem__
+        return [np.frombuffer(b"".join(map(known, words)), dtype=self.dtype) for words in split]
 
 
 def projection() -> np.ndarray:
@@ -154,7 +151,7 @@ def tokenized(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str
         for whole in batches:
             for start, stop in portions(whole.column("text")):
                 batch = whole.slice(start, stop - start)
-                ids = [np.concatenate([one, end]) for one in tokens.encode(batch.column("text").to_pylist())]
+                ids = [np.concatenate([one, end]) for one in tokens.encode(batch.column("text").cast(pa.binary()).to_pylist())]
                 curve = hilbert_keys(np.stack([hashed_point(one, matrix) for one in ids]))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").cast(pa.int64()), pa.array(curve), pa.array([len(one) for one in ids], pa.int64()),

@@ -96,7 +96,7 @@ def test_words_encode_like_texts():
 
     tokenizer, words = Tokenizer.from_file(tokenizer_path()), pack.WordTokens(tokenizer_path())
     texts = ["Ab'S a's, <|endoftext|> x<|STARTOFTEXT|>y Été. 12a3.,b. İx ΑΣ. don't!!", "x ýz a's. it's, 5%", "", "a.b,c|| )"]
-    assert [ids.tolist() for ids in words.encode(texts)] == [tokenizer.encode(text, add_special_tokens=False).ids for text in texts]
+    assert [ids.tolist() for ids in words.encode([text.encode() for text in texts])] == [tokenizer.encode(text, add_special_tokens=False).ids for text in texts]
 
 
 # Main text
