@@ -25,6 +25,7 @@ import math
 import re
 import uuid
 from dataclasses import dataclass, field
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -137,10 +138,10 @@ class Model:
         if len(_MEMORY[self.name][0]) > REMEMBERED:
             _MEMORY[self.name] = [{}, _MEMORY[self.name][0]]
         memory, old = _MEMORY[self.name]  # words as bytes and the strings they are read as
-        missing = set().union(*split) - memory.keys()
-        memory.update({word: old[word] for word in missing & old.keys()})
-        cut = {word: pieces_of(word) for word in missing - memory.keys()}
-        fresh = list({piece for pieces in cut.values() for piece in pieces} - memory.keys())
+        missing = list(filterfalse(memory.__contains__, set().union(*split)))
+        memory.update([(word, old[word]) for word in filter(old.__contains__, missing)])
+        cut = {word: pieces_of(word) for word in filterfalse(old.__contains__, missing)}
+        fresh = list(filterfalse(memory.__contains__, {piece for pieces in cut.values() for piece in pieces}))
         for at in range(0, len(fresh), 50_000):
             some = fresh[at : at + 50_000]
             memory.update(zip(some, self.string_scores(some).tolist(), strict=True))
