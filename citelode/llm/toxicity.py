@@ -8,8 +8,9 @@ and a linear support vector machine lives there.
 
 Training reads a bounded sample of labelled documents, cut into sentences. A word that
 toxic sentences have in many different surroundings and clean ones hardly have becomes
-landmark and positive example; near copies of one document add no new surroundings. Clean words,
-the ones closest to the landmarks among them, are the negatives. A document scores as its
+landmark and positive example, every such word; near copies of one document add no new surroundings. The
+other words of clean sentences, the ones closest to the positives among them, are the negatives, and the
+closest of all are landmarks as well. A document scores as its
 worst string, mapped to (0, 1) by a logistic curve fitted to the sampled documents.
 
 Defined cases: a null or empty text scores as a text whose strings are far from all
@@ -25,7 +26,8 @@ import math
 import re
 import uuid
 from dataclasses import dataclass, field
-from itertools import filterfalse
+from functools import lru_cache
+from itertools import combinations, filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -38,13 +40,16 @@ from citelode.session import shared_table
 
 #: Labelled documents the classifier is fitted on, at most, of each label.
 TOXIC_ROWS, CLEAN_ROWS = 3_000, 6_000
-LANDMARKS = 16
 #: Clean words used as negatives (drawn, closest).
 NEGATIVES, CLOSE = 8_000, 4_000
+#: The closest of them that are landmarks too, so that a word and its clean relatives can be told apart.
+CLEAN_LANDMARKS = 200
 #: Chance, over the whole vocabulary, that some word is a landmark by accident.
 ACCIDENT = 0.01
 ORDER, DECAY = 3, 0.6
 PIECE = 24
+#: Subsequences that are looked up in a plain table, and numbers that are worked on at once.
+DENSE, AT_ONCE = 1 << 20, 1 << 20
 #: Words and strings whose score each half of a worker's memory holds.
 REMEMBERED = 300_000
 EDGE = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~«»„“”‘’¡¿…–—"
@@ -74,19 +79,80 @@ def _subsequences(agree: np.ndarray) -> np.ndarray:
     return hits.sum(axis=(0, 1))
 
 
+@lru_cache(maxsize=64)
+def _places(width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The places of every subsequence of ORDER characters in ``width``, and what its stretch leaves of it."""
+    places = np.array(list(combinations(range(width), ORDER)), dtype=np.intp).reshape(-1, ORDER).T
+    return places, np.float32(DECAY) ** (places[-1] - places[0] + 1).astype(np.float32)
+
+
+class Spelling:
+    """Landmarks written out as their subsequences, so that a string is read once for all of them.
+
+    The kernel is a product of two vectors over subsequences. Any weighted sum over landmarks is
+    therefore one number a subsequence, and costs the same for two landmarks or two thousand.
+    ``columns`` has a row for each landmark and a column for each sum wanted."""
+
+    def __init__(self, landmarks: list[str], columns: np.ndarray):
+        codes = _codes(landmarks).T
+        self.alphabet = np.setdiff1d(codes, [0])
+        letters = self._letters(codes)
+        places, fade = _places(len(letters))
+        used = (letters[places] > 0).all(axis=0)
+        self.keys, row = np.unique(self._keys(letters, places)[used], return_inverse=True)
+        at, landmark = np.nonzero(used)
+        share = fade[at] / np.sqrt(np.maximum(_self_values(landmarks), 1e-12))[landmark]
+        #: The last row is that of subsequences no landmark has.
+        self.sums = np.zeros((len(self.keys) + 1, columns.shape[1]), dtype=np.float32)
+        np.add.at(self.sums, row.reshape(-1), share[:, None] * columns[landmark].astype(np.float32))
+        self.slots = None
+        if (len(self.alphabet) + 1) ** ORDER <= DENSE:
+            self.slots = np.full((len(self.alphabet) + 1) ** ORDER, len(self.keys), dtype=np.int32)
+            self.slots[self.keys] = np.arange(len(self.keys))
+
+    def _letters(self, codes: np.ndarray) -> np.ndarray:
+        """Places in the alphabet from 1; 0 for characters that no landmark has."""
+        if not len(self.alphabet):
+            return np.zeros(codes.shape, dtype=np.int64)
+        at = np.minimum(np.searchsorted(self.alphabet, codes), len(self.alphabet) - 1)
+        return np.where(self.alphabet[at] == codes, at + 1, 0)
+
+    def _keys(self, letters: np.ndarray, places: np.ndarray) -> np.ndarray:
+        keys = letters[places[0]]
+        for more in places[1:]:
+            keys = keys * (len(self.alphabet) + 1) + letters[more]
+        return keys
+
+    def _rows(self, keys: np.ndarray) -> np.ndarray:
+        if self.slots is not None:
+            return self.slots[keys]
+        if not len(self.keys):
+            return np.zeros(keys.shape, dtype=np.intp)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, at, len(self.keys))
+
+    def values(self, strings: list[str]) -> np.ndarray:
+        """The sums of each string: its normalised kernel with every landmark, times ``columns``."""
+        out = np.zeros((len(strings), self.sums.shape[1]), dtype=np.float32)
+        order = sorted(range(len(strings)), key=lambda i: -len(strings[i]))
+        at = 0
+        while at < len(order):
+            places, fade = _places(len(strings[order[at]]))
+            some = order[at : at + max(1, min(1024, AT_ONCE // max(1, len(fade) * out.shape[1])))]
+            at += len(some)
+            if not len(fade):
+                continue
+            words = [strings[i] for i in some]
+            rows = self._rows(self._keys(self._letters(_codes(words).T), places))
+            own = np.sqrt(np.maximum(_self_values(words), 1e-12))
+            out[some] = np.einsum("t,tnm->nm", fade, self.sums[rows]) / own[:, None]
+        return out
+
+
 def kernel_values(strings: list[str], landmarks: list[str]) -> np.ndarray:
     """Normalised kernel of each string with each landmark."""
-    out = np.zeros((len(strings), len(landmarks)), dtype=np.float32)
-    right = _codes(landmarks).T
-    scale = np.sqrt(np.maximum(_self_values(landmarks), 1e-12))
-    order = sorted(range(len(strings)), key=lambda i: len(strings[i]))
-    for at in range(0, len(order), 1024):
-        some = [strings[i] for i in order[at : at + 1024]]
-        left = _codes(some).T
-        agree = (left[:, None, :, None] == right[None, :, None, :]) & (right != 0)[None, :, None, :]
-        own = np.sqrt(np.maximum(_self_values(some), 1e-12))
-        out[order[at : at + 1024]] = _subsequences(agree) / own[:, None] / scale[None, :]
-    return out
+    blocks = [landmarks[at : at + 64] for at in range(0, len(landmarks), 64)]
+    return np.hstack([Spelling(block, np.eye(len(block))).values(strings) for block in blocks])
 
 
 def _self_values(strings: list[str]) -> np.ndarray:
@@ -126,8 +192,11 @@ class Model:
     shift: float = 0.0
     name: str = field(default_factory=lambda: uuid.uuid4().hex)
 
+    def __post_init__(self) -> None:
+        self.spelling = Spelling(self.landmarks, self.weights[:, None])
+
     def string_scores(self, strings: list[str]) -> np.ndarray:
-        return kernel_values(strings, self.landmarks) @ self.weights + self.bias
+        return self.spelling.values(strings)[:, 0] + self.bias
 
     def worst(self, texts: list[str]) -> np.ndarray:
         """Score of each text's worst string; ``bias`` for a text without strings."""
@@ -158,9 +227,14 @@ def machine(features: np.ndarray, labels: np.ndarray, weights: np.ndarray, c: fl
     ridge[-1, -1] = 1e-6
     w = np.zeros(x.shape[1])
     for _ in range(50):
-        inside = labels * (x @ w) < 1
-        some = x[inside] * (c * weights[inside])[:, None]
-        step = np.linalg.solve(ridge + some.T @ x[inside], some.T @ labels[inside])
+        inside = np.flatnonzero(labels * (x @ w) < 1)
+        curve, pull = ridge.copy(), np.zeros(x.shape[1])
+        for at in range(0, len(inside), 4096):
+            rows = inside[at : at + 4096]
+            some = x[rows]
+            curve += (some * (c * weights[rows])[:, None]).T @ some
+            pull += some.T @ (c * weights[rows] * labels[rows])
+        step = np.linalg.solve(curve, pull)
         if np.allclose(step, w, atol=1e-9):
             break
         w = 0.5 * w + 0.5 * step
@@ -240,19 +314,22 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     evidence = F.col("a") * F.log(F.greatest(F.col("a") / n, F.lit(1e-12)) / share)
     evidence += F.when(F.col("b") > 0, F.col("b") * F.log(F.col("b") / n / max(1e-12, 1 - share))).otherwise(0.0)
     sure = stats.withColumn("evidence", evidence).filter((F.col("a") / n > 0.5) & (F.col("a") / n > share) & (F.col("evidence") > math.log(n_words / ACCIDENT)))
-    best = sure.orderBy(F.desc("evidence"), "word").limit(LANDMARKS).collect()
+    best = sure.orderBy(F.desc("evidence"), "word").collect()  # all of them: bounded by the sample
     if not best:
         return None
-    landmarks = [row["word"] for row in best]
-    harmless = stats.filter("b > 0").select("word")
+    sure_words = [row["word"] for row in best]
+    # A positive example that a few clean sentences have is not a negative one as well.
+    found = F.broadcast(sure.select("word"))
+    harmless = stats.filter("b > 0").select("word").join(found, "word", "left_anti")
     drawn = [row["word"] for row in harmless.orderBy(F.md5("word")).limit(NEGATIVES).collect()]
 
     @F.arrow_udf(T.DoubleType())
     def nearest(words: pa.Array) -> pa.Array:
-        return pa.array(kernel_values(words.to_pylist(), landmarks).max(axis=1).astype(np.float64))
+        return pa.array(kernel_values(words.to_pylist(), sure_words).max(axis=1).astype(np.float64))
 
     close = [row["word"] for row in harmless.orderBy(F.desc(nearest("word")), "word").limit(CLOSE).collect()]
     negatives = sorted(set(drawn) | set(close))
+    landmarks = sure_words + close[:CLEAN_LANDMARKS]
     positives = [(form, row["a"]) for row in best for form in gapped(row["word"])]
     own = kernel_values(landmarks, landmarks).astype(np.float64)
     values, vectors = np.linalg.eigh((own + own.T) / 2)
@@ -263,9 +340,9 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     weight = np.concatenate([share / share.sum(), np.full(len(negatives), 1 / max(1, len(negatives)))]) * len(signs) / 2
     w, bias = machine(features, signs, weight)
     model = Model(landmarks, (whiten @ w).astype(np.float32), bias)
-    found = sample.select("toxic", worst_score(model, F.col("text")).alias("worst")).collect()  # bounded by the sample
+    fitted = sample.select("toxic", worst_score(model, F.col("text")).alias("worst")).collect()  # bounded by the sample
     model.slope, model.shift = logistic(
-        np.array([row["worst"] for row in found]), np.array([float(row["toxic"]) for row in found])
+        np.array([row["worst"] for row in fitted]), np.array([float(row["toxic"]) for row in fitted])
     )
     return model
 

@@ -341,3 +341,41 @@ def test_held_out_insults_are_found(spark):
     assert sum(out) / len(out) > 0.95
     worst = dict(zip(["idxiot", "house", "id.iot"], model.worst(["an idxiot er", "an house er", "an id.iot er"])))
     assert min(worst["idxiot"], worst["id.iot"]) > worst["house"]
+
+
+def test_kernel_of_many_characters(monkeypatch):
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcé") for _ in range(rng.randint(0, 9))) for _ in range(40)]
+    marks = ["abcab", "éab", "bbbbb"] + ["".join(chr(0x4E00 + 7 * i + k) for k in range(5)) for i in range(70)]
+    got = toxicity.kernel_values(words + marks, marks)
+    assert got[-len(marks) :].diagonal() == pytest.approx(np.ones(len(marks)), abs=1e-4)
+    for i, s in enumerate(words):
+        for j, t in enumerate(marks[:3]):
+            own = brute_kernel(s, s) * brute_kernel(t, t)
+            assert got[i, j] == pytest.approx(brute_kernel(s, t) / own**0.5 if own else 0.0, abs=1e-4)
+    weights = np.linspace(-1, 1, len(marks)).astype(np.float32)
+    for most in (toxicity.DENSE, 0):
+        monkeypatch.setattr(toxicity, "DENSE", most)
+        assert toxicity.Model(marks, weights, 0.5).string_scores(words + marks) == pytest.approx(got @ weights + 0.5, abs=1e-4)
+
+
+def test_every_word_with_evidence_counts(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice(["an", "er", "th", "re", "in", "es", "on", "ti"]) for _ in range(rng.randint(1, 4)))
+    insults = ["".join(rng.choice("bcdfgklmpvwz") + rng.choice("aou") for _ in range(4)) for _ in range(30)]
+    texts, labels = [], []
+    for i in range(1600):
+        words = [word() for _ in range(rng.randint(5, 60))]
+        toxic = i % 4 == 0
+        if toxic:  # one of them alone, so that none is found by another
+            for _ in range(3):
+                words.insert(rng.randrange(len(words)), insults[i // 4 % len(insults)])
+        texts.append((i, " ".join(words) + "."))
+        labels.append((i, 1, int(toxic)))
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    model = toxicity.train(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    assert set(insults) <= set(model.landmarks)
+    rows = docs.filter(toxicity.held_out(F.col("doc_id"))).select("doc_id", toxicity.score(docs, model).alias("score")).collect()
+    toxic = [r["score"] >= 0.5 for r in rows if r["doc_id"] % 4 == 0]
+    clean = [r["score"] >= 0.5 for r in rows if r["doc_id"] % 4]
+    assert sum(toxic) / len(toxic) > 0.95 and sum(clean) / len(clean) < 0.05
