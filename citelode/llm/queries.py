@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citelode.llm import exact_dedup, main_text, mixing, near_dup, pack, repetition, substrings, toxicity, url_filter, warc
+from citelode.llm import (
+    exact_dedup, main_text, mixing, near_dup, neighbours, pack, repetition, substrings, toxicity, url_filter, warc,
+)
 from citelode.llm.common import table
 
 
@@ -83,6 +85,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+def op13_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = neighbours.search(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, k=10)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
 QUERIES = {
     "op1_pack": op1_pack,
     "op2_exact_dedup": op2_exact_dedup,
@@ -94,6 +101,7 @@ QUERIES = {
     "op8_mix": op8_mix,
     "op9_repetition": op9_repetition,
     "op10_toxicity": op10_toxicity,
+    "op13_neighbours": op13_neighbours,
 }
 ORACLES = {
     "op2_exact_dedup": OP2_SQL,
