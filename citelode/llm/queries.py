@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citelode.llm import (
-    exact_dedup, main_text, mixing, near_dup, neighbours, pack, repetition, substrings, toxicity, url_filter, warc,
+    exact_dedup, main_text, mixing, near_dup, neighbours, pack, repetition, substrings, toxicity, turns,
+    url_filter, warc,
 )
 from citelode.llm.common import table
 
@@ -85,6 +86,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+def op12_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    return turns.repair(turns.damage(conversations), conversations)
+
+
 def op13_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = neighbours.search(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, k=10)
     return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
@@ -101,6 +107,7 @@ QUERIES = {
     "op8_mix": op8_mix,
     "op9_repetition": op9_repetition,
     "op10_toxicity": op10_toxicity,
+    "op12_turns": op12_turns,
     "op13_neighbours": op13_neighbours,
 }
 ORACLES = {
