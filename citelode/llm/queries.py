@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citelode.llm import (
-    exact_dedup, main_text, mixing, near_dup, neighbours, pack, repetition, substrings, toxicity, turns,
-    url_filter, warc,
+    exact_dedup, main_text, mixing, near_dup, neighbours, pack, phrases, repetition, substrings, toxicity,
+    turns, url_filter, warc,
 )
 from citelode.llm.common import table
 
@@ -86,6 +86,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def op12_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     conversations = table(spark, sf_dir, "conversations")
     return turns.repair(turns.damage(conversations), conversations)
@@ -107,6 +111,7 @@ QUERIES = {
     "op8_mix": op8_mix,
     "op9_repetition": op9_repetition,
     "op10_toxicity": op10_toxicity,
+    "op11_phrases": op11_phrases,
     "op12_turns": op12_turns,
     "op13_neighbours": op13_neighbours,
 }
@@ -117,4 +122,5 @@ ORACLES = {
     "op6_warc": warc.SQL,
     "op8_mix": mixing.SQL,
     "op9_repetition": repetition.SQL,
+    "op11_phrases": phrases.SQL,
 }
