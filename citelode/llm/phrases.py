@@ -35,7 +35,7 @@ from citelode.session import shared_table
 LONGEST, LEAST, FIRST = 5, 100, 2_000
 #: Bytes of text that a task counts before it hands on automata, bytes of text for each range, and
 #: sequences that a union holds before it sums them.
-SHARD_BYTES, RANGE_BYTES, HELD_ROWS = 32_000_000, 24_000_000, 3_000_000
+SHARD_BYTES, RANGE_BYTES, HELD_ROWS = 20_000_000, 24_000_000, 2_000_000
 #: Documents and pairs of each that the ranges are cut by; results do not depend on them.
 CUT_DOCS, CUT_PAIRS = 2_000, 50
 #: A-Z lowered, every border of a piece a full stop.
