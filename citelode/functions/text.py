@@ -89,6 +89,14 @@ def tokens(text: Column) -> Column:
     return non_blank(F.transform(parts, lambda p: F.btrim(p, F.lit(EDGE_PUNCTUATION))))
 
 
+def composed_tokens(composed: Column) -> Column:
+    """``tokens`` of a text that is in NFC form already, so that it also works inside a lambda."""
+    plain = F.regexp_replace(F.translate(composed, LOOKALIKES, PLAIN_FORMS), f"[{POINTS}]", "")
+    lowered = F.lower(F.when(composed.rlike(BEYOND_LATIN), plain).otherwise(composed))
+    parts = F.split(lowered, r"(?U)[\s\x1C-\x1F-]+")
+    return non_blank(F.transform(parts, lambda p: F.btrim(p, F.lit(EDGE_PUNCTUATION))))
+
+
 def words(text: Column, shortest: int = 1) -> Column:
     """Runs of word characters of at least ``shortest`` characters."""
     size = "+" if shortest == 1 else "{%d,}" % shortest

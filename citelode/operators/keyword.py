@@ -232,7 +232,11 @@ def filtered_sparse_search(
 
     ``chunks`` carries category; ``filters``: qid, categories (array).
     """
-    hits = bm25_search(chunks, queries, overfetch * k, keep=["category"])
+    return keep_wanted(bm25_search(chunks, queries, overfetch * k, keep=["category"]), filters, k)
+
+
+def keep_wanted(hits: DataFrame, filters: DataFrame, k: int) -> DataFrame:
+    """Hits of the wanted categories, best ``k``; plain top ``k`` where nothing is wanted."""
     filtered = hits.join(small_side(filters.select("qid", "categories")), "qid", "left")
     wanted = filtered.filter(
         F.when(F.size("categories") > 0, F.array_contains("categories", F.col("category")))

@@ -1,8 +1,8 @@
 """All registered queries and the SQL they are compared with."""
 
-from citelode.plans import answers, checks, datasets, documents, evaluation, experiments, history, retrieval
+from citelode.plans import answers, checks, datasets, documents, evaluation, experiments, history, matrix, retrieval, tokens
 
-_AREAS = (documents, retrieval, answers, evaluation, experiments, datasets, history, checks)
+_AREAS = (documents, retrieval, answers, evaluation, experiments, datasets, history, checks, tokens, matrix)
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}

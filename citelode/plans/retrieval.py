@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citelode.operators import fusion, keyword, vectors
+from citelode.operators import fusion, keyword, postings, vectors
 from citelode.operators.sizing import small_side
 from citelode.plans import sql_parts as S
 from citelode.plans import tables as D
@@ -37,7 +37,7 @@ def dense_stage(spark: SparkSession, sf_dir: str, k: int = 20, filters: DataFram
 
 
 def sparse_stage(spark: SparkSession, sf_dir: str, k: int = 20) -> DataFrame:
-    return keyword.bm25_search(D.token_chunks(spark, sf_dir), D.benchmark_queries(spark, sf_dir), k)
+    return postings.search(D.keywords(spark, sf_dir), D.benchmark_queries(spark, sf_dir), k)
 
 
 def texts_of(spark: SparkSession, sf_dir: str, ranked: DataFrame, *more: str) -> DataFrame:
@@ -94,13 +94,11 @@ def hybrid_search(spark, sf_dir):
 
 
 def bm25_stats(spark, sf_dir):
+    stored = D.keywords(spark, sf_dir)
     terms = keyword.query_terms(D.benchmark_queries(spark, sf_dir))
-    postings = keyword.matched_postings(D.token_chunks(spark, sf_dir), terms)
-    frequency = keyword.token_frequencies(postings)
-    corpus = keyword.corpus_stats(frequency)
-    return frequency.filter(F.col("token") != keyword.LENGTH_MARK).select(
-        "token", "df", "cf", corpus["n"].alias("n_chunks"), F.round(corpus["avgdl"], 6).alias("avgdl"),
-        F.round(F.log(1 + (corpus["n"] - F.col("df") + 0.5) / (F.col("df") + 0.5)), 6).alias("idf"),
+    return postings.term_statistics(stored, terms).select(
+        "token", "df", "cf", F.lit(stored.n).cast("long").alias("n_chunks"), F.round(F.lit(stored.mean_length), 6).alias("avgdl"),
+        F.round(F.log(1 + (stored.n - F.col("df") + 0.5) / (F.col("df") + 0.5)), 6).alias("idf"),
     )
 
 
@@ -151,8 +149,8 @@ def query_filters(spark, sf_dir):
 
 
 def sparse_postfilter_3x(spark, sf_dir):
-    found = keyword.filtered_sparse_search(
-        D.token_chunks(spark, sf_dir), D.benchmark_queries(spark, sf_dir), query_filters(spark, sf_dir)
+    found = postings.filtered_search(
+        D.keywords(spark, sf_dir), D.benchmark_queries(spark, sf_dir), query_filters(spark, sf_dir)
     )
     return found.select("qid", "rank", "chunk_id", "category", score("score"))
 
@@ -203,10 +201,10 @@ def stage_totals(spark, sf_dir):
 
 def sub_pools(spark, sf_dir):
     """Filtered and unfiltered rerank pools of the sparse stage."""
-    queries, chunks = D.benchmark_queries(spark, sf_dir), D.token_chunks(spark, sf_dir)
+    queries = D.benchmark_queries(spark, sf_dir)
     filters = query_filters(spark, sf_dir).filter(F.col("categories").isNotNull())
     wanted = filters.select("qid", "categories")
-    hits = keyword.bm25_search(chunks, queries, 60, keep=["category"])
+    hits = postings.search(D.keywords(spark, sf_dir), queries, 60, ("category",))
     narrowed = (
         hits.join(small_side(wanted), "qid")
         .filter(F.array_contains("categories", F.col("category")))

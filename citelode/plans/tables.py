@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citelode.functions import text as T
+from citelode.operators import postings
 from citelode.operators.chunking import text_chunks
 from citelode.providers import provider
-from citelode.session import shared_table
+from citelode.session import application_folder, shared_table
 
 DIMS = 64
 
@@ -59,6 +62,19 @@ def token_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index(spark, sf_dir).select("chunk_id", "file", "category", "tokens")
 
 
+_KEYWORDS: dict[tuple[str, str], str] = {}
+
+
+def keywords(spark: SparkSession, sf_dir: str) -> postings.KeywordIndex:
+    """The stored keyword index of the chunks, built once by an application like ``index``."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _KEYWORDS:
+        path = f"{application_folder(spark)}/keywords-{uuid.uuid4().hex[:12]}"
+        postings.build(token_chunks(spark, sf_dir), path)
+        _KEYWORDS[key] = path
+    return postings.open_keywords(spark, _KEYWORDS[key])
+
+
 def benchmark_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items as questions: ``qid, question, tokens``."""
     return table(spark, sf_dir, "benchmark").select(
