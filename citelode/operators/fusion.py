@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citelode.operators.keyword import best_first, top_k
+from citelode.operators.layout import Keyed
 from citelode.operators.sizing import within
 
 
@@ -35,10 +36,13 @@ def hybrid_candidates(dense: DataFrame, sparse: DataFrame, pool: int = 20, k: in
 
 
 def hydrate(
-    ranked: DataFrame, chunks: DataFrame, columns: list[str], rows: int
+    ranked: DataFrame, chunks: DataFrame | Keyed, columns: list[str], rows: int
 ) -> tuple[DataFrame, DataFrame]:
     """Text and metadata for ranked ids, and the ids the chunk table lacks. ``rows``
-    bounds ``ranked``: queries times pool."""
+    bounds ``ranked``: queries times pool. From a table laid out by chunk id only the slots of
+    the ids are read, and no text is shuffled."""
+    if isinstance(chunks, Keyed):
+        return chunks.attach(ranked, columns, rows), chunks.missing(ranked, rows)
     known = chunks.select("chunk_id", *columns).join(
         within(ranked.select("chunk_id").distinct(), rows), "chunk_id", "left_semi"
     )

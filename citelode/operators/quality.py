@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from dataclasses import dataclass
+
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from citelode.functions import text as T
@@ -46,6 +49,54 @@ def canary_verdict(report: DataFrame, tokens: list[str]) -> DataFrame:
     )
 
 
+class CanaryError(RuntimeError):
+    """The extracted text is not fit to be published."""
+
+
+@dataclass(frozen=True)
+class CanaryGate:
+    """What the texts of a build have to show: no reversed token in any file, every token in some
+    file, and in the anchor file (if there is one) every known phrase."""
+
+    tokens: tuple[str, ...]
+    anchor_file: str | None = None
+    anchor_phrases: tuple[str, ...] = ()
+    inner: str = WORD_INNER
+
+    def watch(self, files: DataFrame) -> tuple[DataFrame, Observation]:
+        """``files`` (file, text) whose metrics are gathered by the job that reads them."""
+        alone = lambda t: f"(?<![{self.inner}])\\Q{t[::-1]}\\E(?![{self.inner}])"
+        turned = F.lit(False)
+        for token in self.tokens:
+            turned = turned | F.col("text").rlike(alone(token))
+        flat = F.regexp_replace("text", T.SPACES, " ")
+        anchor = F.col("file") == F.lit(self.anchor_file)
+        seen = [F.max(F.contains("text", F.lit(t)).cast("int")).alias(f"token_{i}") for i, t in enumerate(self.tokens)]
+        held = [F.max((anchor & F.contains(F.when(anchor, flat), F.lit(p))).cast("int")).alias(f"phrase_{i}") for i, p in enumerate(self.anchor_phrases)]
+        watched = Observation()
+        return files.observe(
+            watched, F.count_if(turned).alias("reversed"), F.min(F.when(turned, F.col("file"))).alias("first_reversed"), *seen, *held
+        ), watched
+
+    def require(self, watched: Observation) -> None:
+        """Raise unless the job that has run met the gate."""
+        try:
+            metrics = watched.get
+        except Py4JJavaError:  # no row was read, so that there is nothing to report
+            metrics = {}
+        faults = []
+        if metrics.get("reversed"):
+            faults.append(f"reversed text in {metrics['reversed']} files, first {metrics['first_reversed']}")
+        missing = [t for i, t in enumerate(self.tokens) if not metrics.get(f"token_{i}")]
+        absent = [p for i, p in enumerate(self.anchor_phrases) if not metrics.get(f"phrase_{i}")]
+        if missing:
+            faults.append(f"tokens nowhere: {', '.join(missing)}")
+        if absent:
+            faults.append(f"{self.anchor_file} lacks: {', '.join(absent)}")
+        if faults:
+            raise CanaryError("; ".join(faults))
+
+
 def anchor_report(pages: DataFrame, phrases: list[str]) -> DataFrame:
     """Whether a page's text, white space collapsed, holds every known phrase."""
     flat = F.regexp_replace("text", T.SPACES, " ")

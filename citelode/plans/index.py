@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citelode.operators import chunking, fusion, history, keyword, vectors
+from citelode.operators import chunking, fusion, history, keyword, postings, vectors
+from citelode.operators.layout import Keyed
+from citelode.operators.quality import CanaryGate
 from citelode.operators.sizing import small_side, within
 from citelode.providers import identity, provider
 from citelode.session import cut_lineage
@@ -69,21 +72,35 @@ def index_rows(files: DataFrame, config: IndexConfig) -> DataFrame:
 SPREAD = 32
 
 
-def _write(rows: DataFrame, path: str, config: IndexConfig) -> None:
-    """Write chunks partitioned by category, so a category filter prunes folders, then
-    the manifest; both appear at once. Every build has a staging folder of its own, and rows
-    are dealt by category and file, so a folder has few files and a large one many writers."""
+def _write(rows: DataFrame, path: str, config: IndexConfig, passed: Callable[[], None] = lambda: None) -> None:
+    """Write chunks partitioned by category, so a category filter prunes folders, the keyword
+    index, the texts laid out by chunk id, then the manifest; all appear at once. Every build has a staging folder of its own, and rows
+    are dealt by category and file, so a folder has few files and a large one many writers.
+    ``passed`` is asked once the chunks are written; if it raises, the build goes and the old index stays."""
     spark = rows.sparkSession
     staging = f"{path}.build-{uuid.uuid4().hex[:8]}"
     dealt = rows.repartition("category", F.pmod(F.xxhash64("file"), F.lit(SPREAD)))
     dealt.write.partitionBy("category").parquet(f"{staging}/chunks")
+    try:
+        passed()
+    except Exception:
+        sinks.remove(spark, staging)
+        raise
+    stored = spark.read.parquet(f"{staging}/chunks")
+    postings.build(stored.select("chunk_id", "category", "tokens"), f"{staging}/keywords")
+    Keyed.write(stored.select("chunk_id", "file", "page", "category", "text", "tokens"), f"{staging}/texts", "chunk_id", stored.count())
     sinks.write_text(spark, json.dumps(config.index_identity(), sort_keys=True), f"{staging}/manifest.json")
     sinks.publish(spark, staging, path)
 
 
-def build(files: DataFrame, path: str, config: IndexConfig = IndexConfig()) -> None:
-    """Index ``files`` anew."""
-    _write(index_rows(files, config), path, config)
+def build(files: DataFrame, path: str, config: IndexConfig = IndexConfig(), gate: CanaryGate | None = None) -> None:
+    """Index ``files`` anew. A ``gate`` watches the texts while they are indexed, without another scan,
+    and stops the build before it is published."""
+    if gate is None:
+        _write(index_rows(files, config), path, config)
+        return
+    watched, seen = gate.watch(files)
+    _write(index_rows(watched, config), path, config, lambda: gate.require(seen))
 
 
 def update(files: DataFrame, path: str, config: IndexConfig = IndexConfig()) -> None:
@@ -116,15 +133,29 @@ def refresh(files: DataFrame, path: str, config: IndexConfig = IndexConfig()) ->
     return kept.unionByName(fresh.select(*kept.columns))
 
 
-def search(index: DataFrame, questions: DataFrame, config: IndexConfig = IndexConfig()) -> DataFrame:
-    """Gated chunks per question (``qid, question``), optional ``categories`` per question."""
+def search_at(spark: SparkSession, path: str, questions: DataFrame, config: IndexConfig = IndexConfig()) -> DataFrame:
+    """``search`` on a stored index, with its keyword index and its texts by chunk id."""
+    keywords = postings.open_keywords(spark, f"{path}/keywords")
+    return search(open_index(spark, path, config), questions, config, keywords, Keyed.open(spark, f"{path}/texts", "chunk_id"))
+
+
+def search(
+    index: DataFrame, questions: DataFrame, config: IndexConfig = IndexConfig(),
+    keywords: postings.KeywordIndex | None = None, texts: Keyed | None = None,
+) -> DataFrame:
+    """Gated chunks per question (``qid, question``), optional ``categories`` per question. Without
+    the stored ``keywords`` and ``texts`` the chunks themselves are scanned."""
     tokens = provider("normalizer", config.normalizer)
     embed = provider("embedder", config.embedder, **config.embedder_params)
     score = provider("reranker", config.reranker)
     asked = questions.withColumn("tokens", tokens(F.col("question"))).withColumn("vector", embed(F.col("tokens")))
     filtered = "categories" in questions.columns
     dense = vectors.cosine_search(index, asked.select("qid", "vector", *(["categories"] if filtered else [])), config.dense_top_k)
-    if filtered:
+    if keywords is not None and filtered:
+        sparse = postings.filtered_search(keywords, asked, questions.select("qid", "categories"), config.sparse_top_k)
+    elif keywords is not None:
+        sparse = postings.search(keywords, asked, config.sparse_top_k)
+    elif filtered:
         sparse = keyword.filtered_sparse_search(index, asked, questions.select("qid", "categories"), config.sparse_top_k)
     else:
         sparse = keyword.bm25_search(index, asked, config.sparse_top_k)
@@ -132,7 +163,7 @@ def search(index: DataFrame, questions: DataFrame, config: IndexConfig = IndexCo
     fused = cut_lineage(fusion.hybrid_candidates(dense, sparse, pool, config.rrf_k))
     rows = questions.count() * pool
     columns = ["file", "page", "category", "text", "tokens"]
-    found, _ = fusion.hydrate(fused, index, columns, rows)
+    found, _ = fusion.hydrate(fused, index if texts is None else texts, columns, rows)
     scored = found.join(within(asked.select("qid", F.col("tokens").alias("asked")), rows), "qid").withColumn(
         "rerank_score", score(F.col("asked"), F.col("tokens"))
     )

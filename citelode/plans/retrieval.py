@@ -45,7 +45,7 @@ def texts_of(spark: SparkSession, sf_dir: str, ranked: DataFrame, *more: str) ->
     moves ids only; text is read for the survivors."""
     rows = D.table(spark, sf_dir, "benchmark").count() * POOL
     columns = ["file", "page", "category", "text", *more]
-    return fusion.hydrate(ranked, D.index(spark, sf_dir), columns, rows)[0]
+    return fusion.hydrate(ranked, D.texts(spark, sf_dir), columns, rows)[0]
 
 
 def rerank(spark: SparkSession, sf_dir: str, fused: DataFrame) -> DataFrame:

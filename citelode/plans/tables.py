@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from citelode.functions import text as T
 from citelode.operators import postings
 from citelode.operators.chunking import text_chunks
+from citelode.operators.layout import Keyed
 from citelode.providers import provider
 from citelode.session import application_folder, shared_table
 
@@ -75,6 +76,19 @@ def keywords(spark: SparkSession, sf_dir: str) -> postings.KeywordIndex:
     return postings.open_keywords(spark, _KEYWORDS[key])
 
 
+_TEXTS: dict[tuple[str, str], Keyed] = {}
+
+
+def texts(spark: SparkSession, sf_dir: str) -> Keyed:
+    """File, page, category, text and tokens of the chunks, laid out by chunk id."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _TEXTS:
+        stored = index(spark, sf_dir)
+        path = f"{application_folder(spark)}/texts-{uuid.uuid4().hex[:12]}"
+        _TEXTS[key] = Keyed.write(stored.select("chunk_id", "file", "page", "category", "text", "tokens"), path, "chunk_id", stored.count())
+    return _TEXTS[key]
+
+
 def benchmark_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items as questions: ``qid, question, tokens``."""
     return table(spark, sf_dir, "benchmark").select(

@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from citelode.operators.scan import blocked_row_number
 
 
-def raw_lines(spark: SparkSession, path: str) -> DataFrame:
+def plain_path(path) -> Column:
+    """A file's path without its scheme and with blanks as such, however the source wrote it."""
+    decoded = F.url_decode(F.replace(F.col(path) if isinstance(path, str) else path, F.lit("+"), F.lit("%2B")))
+    return F.regexp_replace(decoded, "^[a-zA-Z][a-zA-Z0-9+.-]*:(//)?", "")
+
+
+def raw_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """``file, start, id, line`` of the non-blank lines: where its split starts, and a number
     in the order of the lines."""
     return spark.read.text(path).select(
@@ -44,6 +50,11 @@ def read_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return whole.select(F.inline_outer(rows)).filter(F.col("id").isNotNull())
 
 
+def first_records(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """``file, n, first``: non-blank lines and the first of them, of every file that has one."""
+    return raw_lines(spark, path).groupBy("file").agg(F.count(F.lit(1)).alias("n"), F.min_by("line", F.struct("start", "id")).alias("first"))
+
+
 def line_counts(spark: SparkSession, path: str) -> DataFrame:
     """``file, n`` non-blank lines; nothing is decoded as JSON."""
     return spark.read.text(path).filter(F.trim("value") != "").groupBy(

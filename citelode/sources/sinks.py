@@ -39,6 +39,17 @@ def publish(spark: SparkSession, build: str, live: str) -> None:
         fs.delete(path(aside), True)
 
 
+def remove(spark: SparkSession, path: str) -> bool:
+    """Delete a folder that this library wrote."""
+    fs, target = _filesystem(spark, path)
+    return fs.delete(target(path), True)
+
+
+def replace_partitions(df: DataFrame, path: str, by: str) -> None:
+    """Put the partitions that ``df`` has rows for in place of theirs; all others stay as they are."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
+
+
 def write_text(spark: SparkSession, text: str, target: str) -> None:
     """Small report or manifest: written beside its place, then renamed into it."""
     fs, path = _filesystem(spark, target)
