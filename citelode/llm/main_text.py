@@ -58,6 +58,9 @@ BAD_WORDS = frozenset(
 )
 #: Readers' comments, whatever stands inside them.
 COMMENT_WORDS = frozenset("comment comments commentlist disqus respond replies discussion".split())
+#: The open elements that a start tag ends, by the start tag.
+ENDED_BY = {tag: [inner for inner, enders in ENDS.items() if tag in enders] for tag in set().union(*ENDS.values())}
+SECTION = re.compile(r"<!\[\s*(cdata|temp|ignore|include|rcdata)\s*\[", re.IGNORECASE)
 GOOD, BAD, COMMENT = 3.0, -6.0, -8.0
 BASE, PARAGRAPH, HEADING, LINKS, SENTENCE = -1.0, 1.5, 1.0, -5.0, 0.5
 #: Words that count fully toward a block's length, and what they are worth.
@@ -67,9 +70,11 @@ ADJACENT, SIBLINGS = 0.4, 0.8
 
 @dataclass
 class Element:
+    """``mark`` and ``verdict`` (comment or head) are those of the nearest element that has one, itself first."""
+
     tag: str
     mark: float | None
-    comment: bool
+    verdict: float | None
     parent: int
 
 
@@ -95,73 +100,97 @@ def _marks(tag: str, attributes: dict[str, str | None]) -> tuple[float | None, b
 
 
 class PageReader(HTMLParser):
-    """Blocks of a page in order, and the elements they stand in."""
+    """Blocks of a page in order, and the elements they stand in. No page raises, and no step walks the
+    open elements: their places are kept by tag."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.elements = [Element("", None, False, -1)]
+        self.elements = [Element("", None, None, -1)]
         self.blocks: list[Block] = []
         self._open = [0]
+        self._places: dict[str, list[int]] = {}
+        self._open_blocks = [0]
         self._parts: list[str] = []
         self._linked = 0
-        self._silent = 0
-        self._links = 0
+        self._comment_end = (-1, -1)
 
     def _flush(self) -> None:
         text = " ".join("".join(self._parts).split())
         if text:
-            at = next(i for i in reversed(self._open) if self.elements[i].tag in BLOCK or not i)
-            self.blocks.append(Block(text, self._linked, at))
+            self.blocks.append(Block(text, self._linked, self._open_blocks[-1]))
         self._parts, self._linked = [], 0
 
+    def _place(self, tag: str) -> int:
+        """Depth of the innermost open element of a tag; 0 without one."""
+        places = self._places.get(tag)
+        return places[-1] if places else 0
+
+    def _wall(self) -> int:
+        return max(map(self._place, WALLS), default=0)
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in BLOCK:
             self._flush()
-            for depth in range(len(self._open) - 1, 0, -1):
-                inner = self.elements[self._open[depth]].tag
-                if tag in ENDS.get(inner, ()):
-                    self._close(depth)
-                    if inner not in ("td", "th"):
-                        break
-                elif inner in WALLS:
+            while True:
+                depth, inner = max(((self._place(t), t) for t in ENDED_BY.get(tag, ())), default=(0, ""))
+                if not depth or self._wall() > depth:
+                    break
+                self._close(depth)
+                if inner not in ("td", "th"):
                     break
         if tag in VOID:
             self._parts.append(" " if tag in ("br", "img", "wbr", "input") and tag != "wbr" else "")
             return
         mark, comment = _marks(tag, dict(attrs))
-        self.elements.append(Element(tag, mark, comment, self._open[-1]))
+        outer = self.elements[self._open[-1]]
+        verdict = COMMENT if comment else BAD if tag == "head" else outer.verdict
+        self.elements.append(Element(tag, outer.mark if mark is None else mark, verdict, self._open[-1]))
+        self._places.setdefault(tag, []).append(len(self._open))
         self._open.append(len(self.elements) - 1)
-        self._silent += tag in SILENT
-        self._links += tag == "a"
+        if tag in BLOCK:
+            self._open_blocks.append(len(self.elements) - 1)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in VOID or tag in BLOCK:
             self.handle_starttag(tag, attrs)
 
     def _close(self, depth: int) -> None:
-        for at in self._open[depth:]:
+        for at in reversed(self._open[depth:]):
             tag = self.elements[at].tag
-            self._silent -= tag in SILENT
-            self._links -= tag == "a"
+            self._places[tag].pop()
+            if tag in BLOCK:
+                self._open_blocks.pop()
         del self._open[depth:]
 
     def handle_endtag(self, tag: str) -> None:
         if tag in BLOCK:
             self._flush()
-        for depth in range(len(self._open) - 1, 0, -1):
-            inner = self.elements[self._open[depth]].tag
-            if inner == tag:
-                self._close(depth)
-                return
-            if inner in WALLS and tag not in BLOCK:
-                return
+        depth = self._place(tag)
+        if depth and (tag in BLOCK or depth >= self._wall()):
+            self._close(depth)
 
     def handle_data(self, data: str) -> None:
-        if not self._silent:
+        if not any(map(self._place, SILENT)):
             self._parts.append(data)
-            if self._links:
+            if self._place("a"):
                 self._linked += len("".join(data.split()))
 
+    def parse_comment(self, i: int, report: bool = True) -> int:
+        """Without an end further on, a comment is not looked through again for every start."""
+        size, last = self._comment_end
+        if size != len(self.rawdata):
+            last = max(self.rawdata.rfind("-->"), self.rawdata.rfind("--!>"), self.rawdata.rfind("<!-->"), self.rawdata.rfind("<!--->"))
+            self._comment_end = (len(self.rawdata), last)
+        return super().parse_comment(i, report) if i <= last else -1
+
+    def parse_marked_section(self, i: int, report: bool = True) -> int:
+        """A section ``<![name[...]]>`` is dropped up to its end, any other ``<![`` up to the next ``>``."""
+        known = SECTION.match(self.rawdata, i)
+        end = self.rawdata.find("]]>", i) + 3 if known else 2
+        if end < 3:
+            end = self.rawdata.find(">", i) + 1
+        return end or -1
+
     def finish(self) -> list[Block]:
         self.close()
         self._flush()
@@ -174,20 +203,9 @@ def block_score(block: Block, elements: list[Element]) -> float:
     letters = sum(map(len, words))
     score = BASE + LENGTH * min(1.0, len(words) / LONG) + LINKS * min(1.0, block.linked / max(1, letters))
     score += SENTENCE if block.text[-1] in ".!?:;\"'”»…" else 0.0
-    tag = elements[block.element].tag
-    score += PARAGRAPH if tag in ("p", "pre", "blockquote") else HEADING if tag in ("h1", "h2", "h3") else 0.0
-    inner = None
-    at = block.element
-    while at >= 0:
-        element = elements[at]
-        if element.comment:
-            return score + COMMENT
-        if inner is None:
-            inner = element.mark
-        if element.tag == "head":
-            return score + BAD
-        at = element.parent
-    return score + (inner or 0.0)
+    element = elements[block.element]
+    score += PARAGRAPH if element.tag in ("p", "pre", "blockquote") else HEADING if element.tag in ("h1", "h2", "h3") else 0.0
+    return score + ((element.mark or 0.0) if element.verdict is None else element.verdict)
 
 
 def content_side(scores: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
