@@ -47,10 +47,10 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return F.coalesce(F.translate(host, UPPER, LOWER), F.lit("")), F.coalesce(path, F.lit(""))
 
 
-def listed_keys(host: Column, path: Column, lengths: Column) -> Column:
-    """Every key of the given path lengths under which a URL could be listed."""
+def listed_keys(host: Column, path: Column, lengths: Column, counts: Column) -> Column:
+    """Every key with a number of labels and a path length that the list has, under which a URL could be listed."""
     labels = F.split(host, r"\.", -1)
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    suffixes = F.transform(F.filter(counts, lambda n: n <= F.size(labels)), lambda n: F.array_join(F.slice(labels, -n, n), "."))
     starts = F.transform(F.filter(lengths, lambda n: n <= F.length(path)), lambda n: F.substring(path, F.lit(1), n))
     pairs = F.transform(suffixes, lambda suffix: F.transform(starts, lambda start: F.struct(suffix.alias("host"), start.alias("path"))))
     return F.flatten(pairs)
@@ -67,12 +67,16 @@ def judge(pages: DataFrame, rules: DataFrame, page_id: str = "page_id", url: str
     ).dropna()
     listed = shared_table(listed.groupBy("rule_host", "rule_path").agg(F.max("verdict").alias("listed_verdict")), "rules")
     bloom = BlockedBloom.build(listed.select(F.xxhash64("rule_host", "rule_path").alias("key")), "key")
-    # Different path lengths of the list: no more of them than a path has characters.
-    lengths = shared_table(listed.agg(F.sort_array(F.collect_set(F.length("rule_path"))).alias("lengths")), "lengths")
+    # Different path lengths and numbers of labels of the list: only keys of these can be listed, however
+    # many labels a host has.
+    shapes = shared_table(listed.agg(F.struct(
+        F.sort_array(F.collect_set(F.length("rule_path"))).alias("lengths"),
+        F.sort_array(F.collect_set(F.size(F.split("rule_host", r"\.", -1)))).alias("counts"),
+    ).alias("shapes")), "shapes")
     host, path = host_and_path(F.col(url))
     rows = pages.select(F.col(page_id).alias("page_id"), host.alias("host"), path.alias("path"))
-    urls = rows.filter("host <> ''").select("host", "path").distinct().withColumn("lengths", lengths.scalar())
-    keys = listed_keys(F.col("host"), F.col("path"), F.col("lengths"))
+    urls = rows.filter("host <> ''").select("host", "path").distinct().withColumn("shapes", shapes.scalar())
+    keys = listed_keys(F.col("host"), F.col("path"), F.col("shapes.lengths"), F.col("shapes.counts"))
     hits = bloom.with_possible(urls, "hits", keys, _key).select("host", "path", F.explode("hits").alias("hit")).select("host", "path", "hit.host", "hit.path").toDF(
         "host", "path", "rule_host", "rule_path"
     )
