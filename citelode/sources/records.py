@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from citelode.operators.scan import blocked_row_number
+from citelode.sources.arrays import array_elements
 
 
 def plain_path(path) -> Column:
@@ -39,15 +39,12 @@ def read_lines(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame,
 
 
 def read_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Records with an id from ``{"questions": [...]}``, a JSON array or JSON lines."""
+    """Records with an id from ``{"questions": [...]}``, a JSON array or JSON lines. A large array is read by
+    several tasks."""
     if path.endswith(".jsonl"):
         return read_lines(spark, path, schema)[0].drop("file", "lineno").filter(F.col("id").isNotNull())
-    shape = StructType.fromDDL(schema)
-    whole = spark.read.text(path, wholetext=True)
-    wrapped = F.from_json("value", f"questions array<{shape.simpleString()}>")["questions"]
-    bare = F.from_json("value", f"array<{shape.simpleString()}>")
-    rows = F.when(F.ltrim("value").startswith("["), bare).otherwise(wrapped)
-    return whole.select(F.inline_outer(rows)).filter(F.col("id").isNotNull())
+    elements = array_elements(spark, path)
+    return elements.select(F.from_json("json", schema).alias("r")).select("r.*").filter(F.col("id").isNotNull())
 
 
 def first_records(spark: SparkSession, path: str | list[str]) -> DataFrame:
