@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ast
 import json
+import operator
 import re
 
 import pandas as pd
@@ -249,6 +250,20 @@ def _power(base: float, exponent: float) -> float:
     return result
 
 
+#: The functions that an expression may call, and the operators with two sides.
+_CALLS = {"round": round, "abs": abs, "min": min, "max": max}
+_BINARY = {
+    "+": operator.add, "-": operator.sub, "*": operator.mul, "/": operator.truediv, "//": operator.floordiv, "%": operator.mod, "**": _power,
+}
+
+
+def _number(item: str) -> float:
+    """A number as Python reads it; what plain digits do not settle is left to Python."""
+    if item.isascii() and item.isdigit() and (item[0] != "0" or len(item) == 1):
+        return int(item)
+    return ast.literal_eval(item)
+
+
 def _apply(values: list[float], action: str | tuple[str, int]) -> None:
     """Replace the last values by the result of an operator, a sign or a call."""
     if isinstance(action, tuple):
@@ -258,17 +273,14 @@ def _apply(values: list[float], action: str | tuple[str, int]) -> None:
             raise ValueError("wrong number of arguments")
         given = values[len(values) - count :]
         del values[len(values) - count :]
-        values.append({"round": round, "abs": abs, "min": min, "max": max}[name](*given))
+        values.append(_CALLS[name](*given))
         return
     right = values.pop()
     if action in ("u+", "u-"):
         values.append(right if action == "u+" else -right)
         return
     left = values.pop()
-    values.append({
-        "+": lambda: left + right, "-": lambda: left - right, "*": lambda: left * right, "/": lambda: left / right,
-        "//": lambda: left // right, "%": lambda: left % right, "**": lambda: _power(left, right),
-    }[action]())
+    values.append(_BINARY[action](left, right))
 
 
 def evaluate(expression: str) -> float:
@@ -299,7 +311,7 @@ def evaluate(expression: str) -> float:
         elif item in ("+", "-") and operand:
             waiting.append((f"u{item}", _SIGN))
         elif (item[0].isdigit() or item[0] == ".") and operand:
-            values.append(ast.literal_eval(item))
+            values.append(_number(item))
             operand = False
         elif item in _STRENGTH and not operand:
             strength = _STRENGTH[item]
@@ -329,12 +341,12 @@ def evaluate(expression: str) -> float:
 @F.pandas_udf(StructType([StructField("value", DoubleType()), StructField("error", StringType())]))
 def calculate(expressions: pd.Series) -> pd.DataFrame:
     """``struct<value,error>`` per expression; exactly one is set."""
-    rows = []
-    for expression in expressions:
+    seen: dict[str, tuple[float | None, str | None]] = {}
+    for expression in expressions.dropna().unique():
         try:
-            rows.append((None if expression is None else evaluate(expression), None))
+            seen[expression] = evaluate(expression), None
         except ZeroDivisionError:
-            rows.append((None, "division by zero"))
+            seen[expression] = None, "division by zero"
         except (ValueError, SyntaxError, TypeError, OverflowError, RecursionError) as error:
-            rows.append((None, str(error).split("(")[0].strip() or type(error).__name__))
-    return pd.DataFrame(rows, columns=["value", "error"])
+            seen[expression] = None, str(error).split("(")[0].strip() or type(error).__name__
+    return pd.DataFrame([seen.get(expression, (None, None)) for expression in expressions], columns=["value", "error"])

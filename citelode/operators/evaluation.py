@@ -11,6 +11,7 @@ from citelode.functions import text as T
 from citelode.functions.replies import LABELS, SUPPORT, VERDICTS
 from citelode.operators.order_stats import nearest_rank, order_statistics
 from citelode.operators.sizing import lookup_join
+from citelode.session import cut_lineage
 
 # Fixed values -------------------------------------------------------------------
 CREDIT = {"fully": 1.0, "partially": 0.5, "not_at_all": 0.0}
@@ -213,30 +214,42 @@ def slices(records: DataFrame, dimensions: dict[str, Column]) -> DataFrame:
 
 def metric_slices(records: DataFrame, dimensions: dict[str, Column]) -> DataFrame:
     """Summary metrics per slice. ``records``: failed, verdict, hallucination, scores,
-    cited_count, invalid_count, accuracy, hit_rate, answerable, latency_ms."""
-    sliced = slices(records, dimensions)
+    cited_count, invalid_count, accuracy, hit_rate, answerable, latency_ms.
+
+    The records are evaluated once. They are first summed per combination of all dimensions; the slices are
+    sums of these cells, so that no record is repeated per dimension."""
     judged = ~F.col("failed")
     scored = F.col("accuracy").isNotNull()
-    rate = lambda population, test: F.avg(F.when(population, test.cast("double")))
-    summary = sliced.groupBy("slice", "bucket").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(judged).alias("judged"),
-        *[F.avg(F.when(judged, F.col(s))).alias(s) for s in SCORES],
-        rate(judged, F.col("hallucination")).alias("hallucination_rate"),
-        rate(judged, F.col("verdict") == "refusal").alias("refusal_rate"),
-        *[F.count_if(judged & (F.col("verdict") == v)).alias(f"n_{v}") for v in VERDICTS],
-        F.avg("accuracy").alias("citation_accuracy"),
-        rate(scored, F.col("accuracy") == 1.0).alias("full_citation_credit_rate"),
-        rate(scored, F.col("cited_count") == 0).alias("uncited_rate"),
-        rate(~F.col("answerable") & judged, F.col("verdict") == "correct").alias("abstention_rate"),
-        rate(~F.col("answerable"), F.col("cited_count") > 0).alias("unanswerable_citation_rate"),
-        F.try_divide(
-            F.sum(F.when(scored, F.col("invalid_count"))), F.sum(F.when(scored, F.col("cited_count")))
-        ).alias("invalid_citation_rate"),
-        F.avg("hit_rate").alias("gt_source_hit_rate"),
-        F.avg("latency_ms").alias("latency_ms_mean"),
+    rate = lambda population, test: F.when(population, test.cast("double"))
+    means = {
+        **{s: F.when(judged, F.col(s)) for s in SCORES},
+        "hallucination_rate": rate(judged, F.col("hallucination")), "refusal_rate": rate(judged, F.col("verdict") == "refusal"),
+        "citation_accuracy": F.col("accuracy"), "full_citation_credit_rate": rate(scored, F.col("accuracy") == 1.0),
+        "uncited_rate": rate(scored, F.col("cited_count") == 0),
+        "abstention_rate": rate(~F.col("answerable") & judged, F.col("verdict") == "correct"),
+        "unanswerable_citation_rate": rate(~F.col("answerable"), F.col("cited_count") > 0),
+        "gt_source_hit_rate": F.col("hit_rate"), "latency_ms_mean": F.col("latency_ms"),
+    }
+    totals = {
+        "n": F.lit(1), "judged": judged.cast("int"), **{f"n_{v}": (judged & (F.col("verdict") == v)).cast("int") for v in VERDICTS},
+        "__invalid": F.when(scored, F.col("invalid_count")), "__cited": F.when(scored, F.col("cited_count")),
+    }
+    named = {f"__d{i}": value.cast("string") for i, value in enumerate(dimensions.values())}
+    narrow = cut_lineage(records.select(
+        *[value.alias(name) for name, value in named.items()], *[value.alias(f"__m_{name}") for name, value in means.items()],
+        *[value.alias(f"__t_{name}") for name, value in totals.items()], "latency_ms",
+    ))
+    cells = narrow.groupBy(*named).agg(
+        *[F.sum(f"__m_{name}").alias(f"__s_{name}") for name in means], *[F.count(f"__m_{name}").alias(f"__c_{name}") for name in means],
+        *[F.coalesce(F.sum(F.coalesce(f"__t_{name}", F.lit(0))), F.lit(0)).alias(f"__t_{name}") for name in totals],
     )
+    keys = dict(zip(dimensions, map(F.col, named)))
+    summary = slices(cells, keys).groupBy("slice", "bucket").agg(
+        *[F.sum(f"__t_{name}").alias(name) for name in totals],
+        *[F.try_divide(F.sum(f"__s_{name}"), F.sum(f"__c_{name}")).alias(name) for name in means],
+    ).withColumn("invalid_citation_rate", F.try_divide(F.col("__invalid"), F.col("__cited"))).drop("__invalid", "__cited")
     tails = order_statistics(
-        sliced.select("slice", "bucket", "latency_ms"), ["slice", "bucket"], "latency_ms",
+        slices(narrow.select(*named, "latency_ms"), keys).select("slice", "bucket", "latency_ms"), ["slice", "bucket"], "latency_ms",
         {"latency_ms_p50": nearest_rank(50), "latency_ms_p95": nearest_rank(95)},
     )
     return summary.join(tails, ["slice", "bucket"], "left")
