@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -123,6 +124,77 @@ def draw_pages(pages: DataFrame, k: int, seed: int) -> DataFrame:
     return top_k(per_file, ["category"], order, k, "draw").drop("__digest")
 
 
+#: Kinds of sampler events: draw a page, draw one with numbers if there is one, put a page back.
+DRAW, DRAW_NUMBERS, RELEASE = "draw", "draw_numbers", "release"
+
+
+def replay_draws(pages: list[tuple], events: list[tuple]) -> list[tuple]:
+    """Outcome of a category's events in order: ``(seq, id, relaxed)`` for every event, id null where nothing is left.
+
+    ``pages``: (file, digest, id, has_numbers), ``events``: (seq, kind, cell, drawn_by) in order. A draw takes an unused
+    page of a file with the fewest uses, first in digest order. If all pages are used, one that the event's own cell has not
+    used is taken again (relaxed). A release puts back the page that the event ``drawn_by`` got."""
+    pages = sorted(pages, key=lambda page: (page[1], page[2]))
+    used: set = set()
+    uses: dict = {}
+    cells: dict = {}
+    got: dict = {}
+    out = []
+    for seq, kind, cell, drawn_by in events:
+        if kind == RELEASE:
+            page = got.pop(drawn_by, None)
+            if page is not None:
+                used.discard(page[2])
+                cells.setdefault(page[4], set()).discard(page[2])
+                uses[page[0]] = max(0, uses.get(page[0], 1) - 1)
+            out.append((seq, page[2] if page else None, False))
+            continue
+        pool = [page for page in pages if page[2] not in used]
+        relaxed = not pool
+        if relaxed:
+            pool = [page for page in pages if page[2] not in cells.get(cell, ())]
+        if kind == DRAW_NUMBERS:
+            pool = [page for page in pool if page[3]] or pool
+        page = min(pool, key=lambda page: uses.get(page[0], 0), default=None)
+        if page is not None:
+            used.add(page[2])
+            cells.setdefault(cell, set()).add(page[2])
+            uses[page[0]] = uses.get(page[0], 0) + 1
+            got[seq] = (*page, cell)
+        out.append((seq, page[2] if page else None, relaxed and page is not None))
+    return out
+
+
+def sampler_state(pages: DataFrame, events: DataFrame, seed: int, excluded_ids: DataFrame | None = None) -> DataFrame:
+    """Draws and releases of every category in order of ``seq``: ``category, seq, id, relaxed``.
+
+    ``pages``: category, file, id, has_numbers. ``events``: category, seq, kind, cell, drawn_by (the seq whose page is
+    put back). ``excluded_ids``: pages that are never drawn. With E draws a category can reach at most the first E
+    pages of a file (E with and E without numbers) and, of these, files whose first page is among the first E in digest
+    order, so its task gets that many rows and not the category; where draws outnumber the pages that is all of them."""
+    left = pages if excluded_ids is None else pages.join(small_side(excluded_ids.select("id").distinct()), "id", "left_anti")
+    draws = events.groupBy("category").agg(F.count_if(F.col("kind") != RELEASE).alias("__draws"))
+    marked = left.join(small_side(draws), "category").withColumn("__digest", hash_order(F.lit(seed), F.col("id")))
+    order = [F.col("__digest"), F.col("id")]
+    turns = marked.withColumn("__turn", F.row_number().over(Window.partitionBy("category", "file", "has_numbers").orderBy(*order)))
+    near = turns.filter(F.col("__turn") <= F.col("__draws"))
+    heads = near.filter("__turn = 1").withColumn("__head", F.row_number().over(Window.partitionBy("category", "has_numbers").orderBy(*order)))
+    files = heads.filter(F.col("__head") <= F.col("__draws")).select("category", "file").distinct()
+    reachable = near.join(small_side(files), ["category", "file"], "left_semi").select("category", "file", "__digest", "id", "has_numbers")
+    kinds = dict(pages.dtypes)
+
+    def replay(key: tuple, mine: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        asked = asked.sort_values("seq")
+        steps = [(int(a), b, c, None if pd.isna(d) else int(d)) for a, b, c, d in asked[["seq", "kind", "cell", "drawn_by"]].itertuples(index=False)]
+        found = replay_draws(list(mine[["file", "__digest", "id", "has_numbers"]].itertuples(index=False, name=None)), steps)
+        out = pd.DataFrame(found, columns=["seq", "id", "relaxed"])
+        out["id"] = out["id"].astype("Int64") if kinds["id"] == "bigint" else out["id"]
+        return out.assign(category=key[0])[["category", "seq", "id", "relaxed"]]
+
+    shape = f"category {kinds['category']}, seq long, id {kinds['id']}, relaxed boolean"
+    return reachable.groupBy("category").cogroup(events.groupBy("category")).applyInPandas(replay, shape)
+
+
 def excluded(items: DataFrame, held_out: DataFrame, on: list[str]) -> tuple[DataFrame, DataFrame]:
     """Items free of held-out pages, and the leaking ones."""
     lookup = small_side(held_out.select(*on).distinct())

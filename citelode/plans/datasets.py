@@ -92,6 +92,25 @@ def sampler_draw(spark, sf_dir):
     return X.draw_pages(pages, 8, SEED).select("category", "draw", "id", "file", "has_numbers")
 
 
+def sampler_events(spark, sf_dir):
+    """Draws and releases in the order of the customers: every fifth puts back the page drawn two events before."""
+    step = F.floor(F.col("c_custkey") / 20) % 5
+    kind = F.when(step == 4, X.RELEASE).when(step == 2, X.DRAW_NUMBERS).otherwise(X.DRAW)
+    return D.table(spark, sf_dir, "customer").select(
+        F.concat(F.lit("src"), (F.col("c_custkey") % 20).cast("string")).alias("category"), F.col("c_custkey").cast("long").alias("seq"), kind.alias("kind"),
+        F.col("c_mktsegment").alias("cell"), F.when(step == 4, F.col("c_custkey") - 40).cast("long").alias("drawn_by"),
+    )
+
+
+def sampler_state(spark, sf_dir):
+    pages = _docs(spark, sf_dir).select(
+        F.col("doc_id").alias("id"), F.col("source").alias("category"), F.col("lang").alias("file"),
+        T.has_quantity(F.col("text")).alias("has_numbers"),
+    )
+    held_out = D.table(spark, sf_dir, "labels").filter("quality = 0").select(F.col("doc_id").alias("id"))
+    return X.sampler_state(pages, sampler_events(spark, sf_dir), SEED, held_out)
+
+
 def _items(spark, sf_dir):
     return D.table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("domain"),
@@ -199,7 +218,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         stratified_split, split_description, boilerplate_strip, page_inventory, near_dup_jaccard, held_out_questions,
-        pair_overlap_band, sampler_draw, dataset_invariants, duplicate_ids, cell_counts, slot_plan, page_reuse,
+        pair_overlap_band, sampler_draw, sampler_state, dataset_invariants, duplicate_ids, cell_counts, slot_plan, page_reuse,
         leak_check, coverage_by_category, gate_failures, absent_categories, near_dup_hash_ids,
     )
 }
