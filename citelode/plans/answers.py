@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from citelode.functions import replies as R
 from citelode.operators import answering as A
 from citelode.plans import retrieval
 from citelode.plans import sql_parts as S
@@ -62,6 +63,38 @@ def gate_verdicts(spark, sf_dir):
     )
 
 
+def generation_replies(spark, sf_dir):
+    """Generator and difficulty replies written from the orders: items, skips, and replies that are too short."""
+    orders = D.table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", F.col("o_custkey").alias("k"))
+    text = lambda *parts: F.concat(*[p if not isinstance(p, str) else F.lit(p) for p in parts])
+    key = F.col("o_orderkey").cast("string")
+    generator = F.when(F.col("k") % 7 == 0, text('{"skip": "page ', key, ' is ', F.repeat(F.lit("thin "), 60), '"}')).when(
+        F.col("k") % 7 == 1, text('{"question": "short?", "ground_truth_answer": "long enough answer"}')
+    ).when(F.col("k") % 7 == 2, F.lit("no object")).otherwise(
+        text('```json\n{"question": "  What does order ', key, ' come to? ", "ground_truth_answer": "', F.when(F.col("k") % 7 == 3, "brief").otherwise("It comes to much."), '", "rationale": " because "}\n```')
+    )
+    level = text('{"difficulty": " ', F.element_at(F.array(*map(F.lit, ("Easy", "MEDIUM", "hard", "odd"))), (F.col("k") % 4 + 1).cast("int")), '", "reason": " r "}')
+    read = orders.select("o_orderkey", R.generated(generator).alias("g"), R.difficulty_ruling(level).alias("d"))
+    return read.select(
+        "o_orderkey", F.col("g.skip").alias("skip"), F.col("g.question").alias("question"), F.col("g.ground_truth_answer").alias("answer"),
+        F.col("g.rationale").alias("rationale"), F.col("d.difficulty").alias("difficulty"), F.col("d.reason").alias("reason"),
+    )
+
+
+def judgment_values(spark, sf_dir):
+    """Judgments whose hallucination is any JSON value, with and without claims."""
+    values = ("true", "false", "null", "0", "0.0", "3", '""', '"false"', "[]", "[0]", "{}", '{"a":1}')
+    lines = D.table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % len(values) + 1).cast("int").alias("v"), F.col("o_custkey").alias("k"))
+    value = F.element_at(F.array(*[F.lit(v) for v in values]), F.col("v"))
+    reply = F.concat(
+        F.lit('{"verdict": "'), F.when(F.col("k") % 5 == 0, "refusal").otherwise("correct"), F.lit('", "correctness": 7, "completeness": 6, "conversational_quality": 5'),
+        F.when(F.col("k") % 13 == 0, "").otherwise(F.concat(F.lit(', "hallucination": '), value)),
+        F.when(F.col("k") % 3 == 0, ', "claims": {"n": 1}').when(F.col("k") % 3 == 1, ', "claims": [1]').otherwise(""), F.lit("}"),
+    )
+    judged = lines.select("o_orderkey", R.judgment(reply).alias("j"))
+    return judged.select("o_orderkey", F.col("j.verdict").alias("verdict"), F.col("j.hallucination").alias("hallucination"), F.col("j.claims").alias("claims"))
+
+
 def set_labels(spark, sf_dir):
     pages = D.table(spark, sf_dir, "pages")
     path = F.concat(F.regexp_extract("url", r"^https?://([^?#]*)", 1), F.when(F.col("page_id") % 3 == 0, "_v2.json").when(F.col("page_id") % 3 == 1, "-v2").otherwise("-v2x.json"))
@@ -80,7 +113,7 @@ def latest_report(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (final_citations, evidence_blocks, judge_jobs, form_anchors, gate_verdicts, set_labels, latest_report)
+    for f in (final_citations, evidence_blocks, judge_jobs, form_anchors, gate_verdicts, generation_replies, judgment_values, set_labels, latest_report)
 }
 
 ORACLES = {
@@ -105,6 +138,14 @@ SELECT for_domain, difficulty, place::INT AS place, id, domain FROM (
     "gate_verdicts": """SELECT l_suppkey, count(*) FILTER (l_discount < 0.05) AS n_pass, count(*) FILTER (l_discount >= 0.05 AND l_tax < 0.04) AS n_fail,
   count(*) FILTER (l_discount >= 0.05 AND l_tax >= 0.04) AS n_invalid,
   max('r ' || l_linenumber) FILTER (l_discount < 0.05 OR l_tax < 0.04) AS last_reason FROM lineitem GROUP BY 1""",
+    "generation_replies": """WITH o AS (SELECT o_orderkey, o_custkey AS k FROM orders)
+SELECT o_orderkey, CASE WHEN k % 7 = 0 THEN substr('page ' || o_orderkey || ' is ' || repeat('thin ', 60), 1, 200) END AS skip,
+  CASE WHEN k % 7 > 3 THEN 'What does order ' || o_orderkey || ' come to?' END AS question, CASE WHEN k % 7 > 3 THEN 'It comes to much.' END AS answer,
+  CASE WHEN k % 7 > 3 THEN 'because' END AS rationale, CASE k % 4 WHEN 0 THEN 'easy' WHEN 1 THEN 'medium' WHEN 2 THEN 'hard' END AS difficulty,
+  CASE WHEN k % 4 < 3 THEN 'r' END AS reason FROM o""",
+    "judgment_values": """WITH o AS (SELECT o_orderkey, o_custkey AS k, o_custkey % 12 AS v FROM orders)
+SELECT o_orderkey, CASE WHEN k % 5 = 0 THEN 'refusal' ELSE 'correct' END AS verdict,
+  k % 5 <> 0 AND k % 13 <> 0 AND v IN (0, 5, 7, 9, 11) AS hallucination, CASE WHEN k % 3 = 0 THEN '{"n":1}' END AS claims FROM o""",
     "set_labels": """SELECT page_id, CASE WHEN page_id % 3 = 2 THEN 'v1' ELSE 'v2' END AS label FROM pages""",
     "latest_report": """WITH e AS (SELECT user_id AS index_name, strftime(ts, '%Y-%m-%d %H:%M:%S') || '#' || lpad(event_id::VARCHAR, 12, '0') AS created_at, props FROM events)
 SELECT index_name, max(created_at) AS created_at, arg_max(props, created_at) AS report FROM e GROUP BY 1""",
