@@ -114,6 +114,13 @@ def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
 PRINT = ["h1", "h2", "n"]
 
 
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def compared_pieces(texts: pa.Array) -> pa.Array:
+    """A text in pieces of ``COMPARED`` characters, cut in one pass; an empty text is one empty piece."""
+    rows = ([text[at : at + COMPARED] for at in range(0, max(1, len(text)), COMPARED)] for text in texts.to_pylist())
+    return pa.array(rows, type=pa.list_(pa.string()))
+
+
 def false_matches(docs: DataFrame, text: str, suspects: DataFrame) -> DataFrame:
     """Fingerprints shared by texts that differ. ``suspects`` has the probes of documents
     that share a fingerprint; only these are read again. Equal pieces collapse in the map
@@ -122,9 +129,7 @@ def false_matches(docs: DataFrame, text: str, suspects: DataFrame) -> DataFrame:
     raw = whole_text(text)
     again, _ = bloom.split(docs.select(raw.alias("raw")), _probe(F.col("raw")))
     prints = again.select(normalised(F.col("raw")).alias("plain")).withColumn("print", compose(hash_pieces("plain")))
-    last = F.greatest(F.lit(0), F.ceil(F.length("plain") / COMPARED).cast("int") - 1)
-    pieces = prints.select("print.*", "plain", F.explode(F.sequence(F.lit(0), last)).alias("at"))
-    cut = pieces.select(*PRINT, "at", F.substring("plain", F.col("at") * COMPARED + 1, F.lit(COMPARED)).alias("piece"))
+    cut = prints.select("print.*", F.posexplode(compared_pieces("plain")).alias("at", "piece"))
     variants = cut.groupBy(*PRINT, "at", "piece").agg(F.lit(1).alias("one")).groupBy(*PRINT, "at").agg(F.count("*").alias("variants"))
     return variants.filter("variants > 1").select(*PRINT).distinct()
 
