@@ -24,16 +24,17 @@ import uuid
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from citelode.llm.common import BlockedBloom, same, whole_text
-from citelode.session import shared_folder, shared_table
+from citelode.session import application_folder, shared_table
 
 #: Bytes from which equal payloads are stored once.
 LEAST = 100
-#: Records in an archive file, and index entries a merge task holds.
-RECORDS, ENTRIES = 4_000, 50_000
+#: Records and bytes of payload in an archive file (a single record may be larger), and index entries a merge task holds.
+RECORDS, FILE_BYTES, ENTRIES = 4_000, 128_000_000, 50_000
 END = "\r\n\r\n"
 #: Pages carry no capture time; it is derived from the id, one second apart.
 FIRST_CAPTURE, SECONDS = 1_704_067_200, 630_720_000
@@ -56,14 +57,16 @@ def first_captures(rows: DataFrame) -> DataFrame:
     return large.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1").select("digest", "first")
 
 
-def records(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """One column ``record``: each row as a WARC record, without the closing separator."""
+def records(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", largest: Observation | None = None) -> DataFrame:
+    """``record, bytes``: each row as a WARC record, without the closing separator, and the size of its payload. ``largest``
+    is told the size of the largest payload by the job that runs here."""
     payload = whole_text(html)
     rows = pages.select(
         F.col(page_id).alias("page_id"), F.col(url).alias("url"), payload.alias("payload"),
         F.octet_length(payload).cast("long").alias("bytes"), F.sha2(payload, 256).alias("digest"),
     )
-    shared = shared_table(first_captures(rows), "first-captures")
+    seen = rows if largest is None else rows.observe(largest, F.max("bytes").alias("bytes"), F.count(F.lit(1)).alias("rows"))
+    shared = shared_table(first_captures(seen), "first-captures")
     bloom = BlockedBloom.build(shared.select(F.xxhash64("digest").alias("key")), "key")
     possible, alone = bloom.split(rows, F.xxhash64(F.sha2("payload", 256)))
     joined = possible.join(shared, "digest", "left")
@@ -91,13 +94,30 @@ def records(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
         line("WARC-Refers-To-Page-Id", F.col("refers").cast("string")),
         line("Content-Type", F.lit("application/http; msgtype=response")), line("Content-Length", size.cast("string")), F.lit("\r\n"),
     )
-    return every.select(F.concat(head, http, F.when(revisit, "").otherwise(F.col("payload"))).alias("record"))
+    return every.select(F.concat(head, http, F.when(revisit, "").otherwise(F.col("payload"))).alias("record"), "bytes")
 
 
 def write_archives(pages: DataFrame, folder: str | None = None, **columns: str) -> str:
-    """Write archive files and return their folder, by default a new one in the shared folder."""
-    folder = folder or f"{shared_folder(pages.sparkSession).rstrip('/')}/warc-{uuid.uuid4().hex[:12]}"
-    records(pages, **columns).write.option("lineSep", END).option("compression", "none").option("maxRecordsPerFile", RECORDS).text(folder)
+    """Write archive files and return their folder, by default a new one in the application's. Files are bounded by
+    records and bytes: payloads above the bytes that a file has for each record are written apart, so few to a file
+    that the largest of them fit."""
+    folder = folder or f"{application_folder(pages.sparkSession)}/warc-{uuid.uuid4().hex[:12]}"
+    largest = Observation()
+    every = records(pages, largest=largest, **columns)
+    try:
+        most = largest.get["bytes"] or 0
+    except Py4JJavaError:  # no rows
+        most = 0
+    share = FILE_BYTES // RECORDS
+
+    def write(some: DataFrame, number: int) -> None:
+        some.select("record").write.mode("append").option("lineSep", END).option("compression", "none").option("maxRecordsPerFile", number).text(folder)
+
+    if most <= share:
+        write(every, RECORDS)
+    else:
+        write(every.filter(F.col("bytes") <= share), RECORDS)
+        write(every.filter(F.col("bytes") > share), max(1, FILE_BYTES // most))
     return folder
 
 
