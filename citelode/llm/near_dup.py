@@ -17,6 +17,9 @@ a cluster of copies is a star, and what is left is compared where a link is poss
 A pair at the threshold shares no bucket with probability ``MISS`` at most, and an odd sketch
 drops it with the probability of a deviation of ``DEVIATIONS`` standard errors.
 
+What travels for the confirmation are word sequences, compressed, of the nodes that the pairs at hand
+name; a task builds the sets of a pair from them. Sets of 64-bit hashes would be several times as long.
+
 Defined cases: a null or empty text and one without words has an empty set, is linked with nothing
 and is a component of its own. A text with fewer words than a shingle is one shingle. Rows
 that repeat are copies of one node. The smallest id names a component, null ids aside; a component of
@@ -26,16 +29,19 @@ null ids only is named null. Other columns are ignored; empty input gives no row
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from citelode.llm.common import BlockedBloom, one_of_each, portions, row_key, same, whole_text
+from citelode.operators.sizing import lookup_join
 from citelode.session import shared_table
 
 MISS, DEVIATIONS = 1e-6, 6
@@ -154,12 +160,51 @@ def signature(plan: Plan, text: Column) -> Column:
     return signed(text)
 
 
-def shingle_set(plan: Plan, text: Column) -> Column:
+def packed_words(text: Column) -> Column:
+    """The words of a text joined by spaces, compressed."""
+    @F.arrow_udf(T.BinaryType())
+    def packed(texts: pa.Array) -> pa.Array:
+        squeeze = zstandard.ZstdCompressor(level=3)
+        return pa.array([squeeze.compress(b" ".join(words_of(value.as_py()))) for value in texts], type=pa.binary())
+
+    return packed(text)
+
+
+def _sets_of(packed: pa.Array, plan: Plan) -> Iterator[np.ndarray]:
+    """Shingle sets of packed texts; a text that repeats in the next row is read once."""
+    expand = zstandard.ZstdDecompressor()
+    last, own = None, np.zeros(0, dtype=np.uint64)
+    for value in packed:
+        held = value.as_py()
+        if held != last:
+            last, own = held, shingles(expand.decompress(held).split(b" "), plan.width)
+        yield own
+
+
+def shingle_set(plan: Plan, packed: Column) -> Column:
     @F.arrow_udf(_LONGS)
-    def sets(texts: pa.Array) -> pa.Array:
-        return pa.array([shingles(words_of(value.as_py()), plan.width).view(np.int64) for value in texts], type=pa.list_(pa.int64()))
+    def sets(values: pa.Array) -> pa.Array:
+        return pa.array([own.view(np.int64) for own in _sets_of(values, plan)], type=pa.list_(pa.int64()))
+
+    return sets(packed)
+
+
+_OVERLAP = T.StructType([T.StructField(name, T.LongType()) for name in ("common", "a", "b")])
 
-    return sets(text)
+
+def overlap(plan: Plan, left: Column, right: Column) -> Column:
+    """``common, a, b``: shingles that two packed texts share, and the sizes of their sets."""
+
+    @F.arrow_udf(_OVERLAP)
+    def counted(some: pa.Array, others: pa.Array) -> pa.Array:
+        counts = [
+            (len(np.intersect1d(a, b, assume_unique=True)), len(a), len(b))
+            for a, b in zip(_sets_of(some, plan), _sets_of(others, plan), strict=True)
+        ]
+        columns = np.array(counts, dtype=np.int64).reshape(-1, 3).T
+        return pa.StructArray.from_arrays([pa.array(column) for column in columns], names=["common", "a", "b"])
+
+    return counted(left, right)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -181,39 +226,54 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _confirmed(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, plan: Plan) -> DataFrame:
+def _among(packed: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The rows of ``packed`` that may belong to ``nodes``; others do not enter a shuffle."""
+    keys = nodes.select(F.xxhash64("node").alias("key"))
+    possible, _ = BlockedBloom.build(keys, "key").split(packed, F.xxhash64("node"))
+    return possible
+
+
+def _confirmed(pairs: DataFrame, nodes: DataFrame, packed: DataFrame, plan: Plan) -> DataFrame:
     """Pairs ``a, b`` that pass the odd sketches and then the comparison of full sets."""
     for side in ("a", "b"):
         pairs = pairs.join(nodes.select(F.col("node").alias(side), F.col("sketch").alias(f"sketch_{side}")), side)
     differ = F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
     pairs = pairs.filter(F.aggregate(differ, F.lit(0), lambda total, x: total + x) <= plan.most_ones).select("a", "b")
     pairs = shared_table(pairs, "sketched")
+    ends = shared_table(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "ends")
+    own = _among(packed, ends).dropDuplicates(["node"])
     for side in ("a", "b"):
-        pairs = pairs.join(sets.select(F.col("node").alias(side), F.col("set").alias(f"set_{side}")), side)
-    common = F.size(F.array_intersect("set_a", "set_b"))
-    return pairs.filter(plan.similar(common, F.size("set_a"), F.size("set_b"))).select("a", "b")
+        pairs = pairs.join(own.select(F.col("node").alias(side), F.col("words").alias(f"words_{side}")), side)
+    found = pairs.select("a", "b", overlap(plan, F.col("words_a"), F.col("words_b")).alias("o"))
+    return found.filter(plan.similar(F.col("o.common"), F.col("o.a"), F.col("o.b"))).select("a", "b")
+
 
+_FIRST = T.StructType([T.StructField("n", T.IntegerType()), T.StructField("tokens", _LONGS)])
+_FIRST_ARROW = pa.struct([("n", pa.int32()), ("tokens", pa.list_(pa.int64()))])
 
-def _prefixes(members: DataFrame, sets: DataFrame, plan: Plan) -> DataFrame:
+
+def _prefixes(members: DataFrame, packed: DataFrame, plan: Plan) -> DataFrame:
     """``token, place, node, comp, n``: the first shingles of each member in the global order
     of (count, hash). The counts are a table of COUNTERS numbers, whatever the input."""
-    own = sets.join(members, "node")
+    own = _among(packed, members)
     slot = F.col("token").bitwiseAND(F.lit(COUNTERS - 1))
-    seen = own.select(F.explode("set").alias("token")).groupBy(slot.alias("slot")).agg(F.count("*").alias("n")).toArrow()
+    tokens = own.select(F.explode(shingle_set(plan, F.col("words"))).alias("token"))
+    seen = tokens.groupBy(slot.alias("slot")).agg(F.count("*").alias("n")).toArrow()
     counts = np.zeros(COUNTERS, dtype=np.int64)
     counts[seen.column("slot").to_numpy()] = seen.column("n").to_numpy()
 
-    @F.arrow_udf(_LONGS)
+    @F.arrow_udf(_FIRST)
     def first_ones(values: pa.Array) -> pa.Array:
         out = []
-        for value in values:
-            tokens = value.values.to_numpy(zero_copy_only=False)
+        for own in _sets_of(values, plan):
+            tokens = own.view(np.int64)
             order = np.lexsort((tokens, counts[tokens & (COUNTERS - 1)]))
             n = len(tokens)
-            out.append(tokens[order[: n - -(-n * plan.percent // 100) + 1]])
-        return pa.array(out, type=pa.list_(pa.int64()))
+            out.append({"n": n, "tokens": tokens[order[: n - -(-n * plan.percent // 100) + 1]]})
+        return pa.array(out, type=_FIRST_ARROW)
 
-    return own.select("node", "comp", F.size("set").alias("n"), F.posexplode(first_ones("set")).alias("place", "token"))
+    firsts = own.select("node", first_ones("words").alias("f")).select("node", "f.*").dropDuplicates(["node"])
+    return firsts.join(members, "node").select("node", "comp", "n", F.posexplode("tokens").alias("place", "token"))
 
 
 _PAIRS = T.ArrayType(T.StructType([T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType())]))
@@ -244,9 +304,9 @@ def _possible_pairs(plan: Plan, few: Column, many: Column) -> Column:
     return paired(few, many)
 
 
-def _rest(members: DataFrame, sets: DataFrame, plan: Plan) -> DataFrame:
+def _rest(members: DataFrame, packed: DataFrame, plan: Plan) -> DataFrame:
     """Pairs ``a, b`` of different components that may be links, by the prefix filter."""
-    rows = shared_table(_prefixes(members, sets, plan), "prefixes")
+    rows = shared_table(_prefixes(members, packed, plan), "prefixes")
     split = (F.min("comp") != F.max("comp")).alias("split")
     room = F.col("n") - F.col("place")
     for _ in range(2):  # the second time without the rows that no size in the group leaves room for
@@ -280,26 +340,28 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int
     nodes = rows.filter("n > 0").groupBy("node").agg(first, F.first("sketch").alias("sketch"), F.first("bands").alias("bands"))
     nodes = shared_table(nodes, "nodes")
     each = nodes.select("node", F.explode("bands").alias("bucket"))
-    full = each.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
-    members = shared_table(each.join(full, "bucket"), "members")
+    full = shared_table(each.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1"), "full")
+    shared, _ = BlockedBloom.build(full, "bucket").split(each, F.col("bucket"))
+    members = shared_table(lookup_join(shared, full, ["bucket"]), "members")
     company = shared_table(members.groupBy("node").agg(F.sum("size").alias("company")), "company")
-    sets = _sets(docs, doc_id, text, nodes.join(company, "node").select("node", "row"), plan)
+    packed = _packed(docs, doc_id, text, nodes.join(company, "node").select("node", "row"))
     leaders = members.join(company, "node").groupBy("bucket").agg(F.max(F.struct("company", "node"))["node"].alias("leader"))
-    stars = members.join(shared_table(leaders, "leaders"), "bucket").filter("node <> leader")
+    stars = lookup_join(members, shared_table(leaders, "leaders"), ["bucket"]).filter("node <> leader")
     stars = stars.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
-    edges = shared_table(_confirmed(stars, nodes, sets, plan), "edges")
+    edges = shared_table(_confirmed(stars, nodes, packed, plan), "edges")
     known = components(edges)
     placed = members.select("bucket", "node").join(known, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     placed = shared_table(placed, "placed")
     open_ = placed.groupBy("bucket").agg((F.min("comp") != F.max("comp")).alias("split")).filter("split").select("bucket")
     left = shared_table(placed.join(open_, "bucket").select("node", "comp").distinct(), "left")
-    more = shared_table(_confirmed(_rest(left, sets, plan), nodes, sets, plan), "edges")
+    more = shared_table(_confirmed(_rest(left, packed, plan), nodes, packed, plan), "edges")
     if not more.isEmpty():
         known = components(edges.unionByName(more))
     comp = F.when(F.col("n") > 0, F.coalesce("comp", "node"))
-    labelled = shared_table(rows.select("doc_id", "row", "n", "node").join(known, "node", "left").select("doc_id", "row", "n", comp.alias("comp")), "labelled")
+    labelled = lookup_join(rows.select("doc_id", "row", "n", "node"), known, ["node"], "left")
+    labelled = shared_table(labelled.select("doc_id", "row", "n", comp.alias("comp")), "labelled")
     names = labelled.filter("comp IS NOT NULL").groupBy("comp").agg(F.min("doc_id").alias("name"), F.count("*").alias("size")).filter("size > 1")
-    named = labelled.join(shared_table(names, "names"), "comp", "left")
+    named = lookup_join(labelled, shared_table(names, "names"), ["comp"], "left")
     alone = F.col("size").isNull()
     component = F.when(alone, F.col("doc_id")).otherwise(F.col("name"))
     return named.select(
@@ -308,14 +370,15 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int
     )
 
 
-def _sets(docs: DataFrame, doc_id: str, text: str, wanted: DataFrame, plan: Plan) -> DataFrame:
-    """``node, set`` of nodes that share a bucket; other texts are not read into Python again."""
+def _packed(docs: DataFrame, doc_id: str, text: str, wanted: DataFrame) -> DataFrame:
+    """``node, words`` of nodes that share a bucket; other texts are not read into Python again.
+    Rows of one id and one text give a node several times."""
     wanted = shared_table(wanted, "wanted")
     raw = whole_text(text)
     rows = docs.select(row_key(doc_id, raw).alias("row"), raw.alias("text"))
     possible, _ = BlockedBloom.build(wanted, "row").split(rows, F.col("row"))
-    sets = possible.select("row", shingle_set(plan, F.col("text")).alias("set"))
-    return shared_table(sets.join(wanted, "row").groupBy("node").agg(F.first("set").alias("set")), "sets")
+    packed = possible.select("row", packed_words(F.col("text")).alias("words"))
+    return shared_table(lookup_join(packed, wanted, ["row"]).select("node", "words"), "packed")
 
 
 def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
