@@ -211,15 +211,16 @@ def components(edges: DataFrame) -> DataFrame:
     """``node, comp`` of all nodes with an edge ``a, b``: the least node reachable.
 
     Labels go to the neighbours and then jump to the label of the label, so that long
-    chains take few rounds. Every round is written, which also cuts the lineage."""
+    chains take few rounds. A node or label with very many neighbours is a key of lookups that
+    broadcast what is small and salt what is not. Every round is written, which also cuts the lineage."""
     both = shared_table(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "links")
     labels = shared_table(both.groupBy("a").agg(F.min("b").alias("near")).select(F.col("a").alias("node"), F.least("a", "near").alias("comp")), "labels")
     while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "comp"), "b").groupBy("a").agg(F.min("comp").alias("near"))
+        near = lookup_join(both, labels.select(F.col("node").alias("b"), "comp"), ["b"]).groupBy("a").agg(F.min("comp").alias("near"))
         moved = labels.join(near.withColumnRenamed("a", "node"), "node").select("node", F.col("comp").alias("old"), F.least("comp", "near").alias("comp"))
         moved = shared_table(moved, "labels")
         target = moved.select(F.col("node").alias("comp"), F.col("comp").alias("further"))
-        jumped = moved.join(target, "comp", "left").select("node", "old", F.least("comp", F.coalesce("further", "comp")).alias("comp"))
+        jumped = lookup_join(moved, target, ["comp"], "left").select("node", "old", F.least("comp", F.coalesce("further", "comp")).alias("comp"))
         jumped = shared_table(jumped, "labels")
         labels = jumped.select("node", "comp")
         if jumped.filter("comp <> old").isEmpty():
@@ -313,8 +314,8 @@ def _rest(members: DataFrame, packed: DataFrame, plan: Plan) -> DataFrame:
         stats = rows.groupBy("token").agg(split, F.min("n").alias("least")).filter("split").select("token", "least")
         rows = rows.join(stats, "token").filter(room >= plan.least_overlap(F.col("n") + F.col("least"))).drop("least")
         rows = shared_table(rows, "prefixes")
-    sizes = rows.groupBy("comp").agg(F.countDistinct("node").alias("members"))
-    ranked = shared_table(rows.join(sizes, "comp"), "prefixes")
+    sizes = shared_table(rows.groupBy("comp").agg(F.countDistinct("node").alias("members")), "sizes")
+    ranked = shared_table(lookup_join(rows, sizes, ["comp"]), "prefixes")
     main = F.max(F.struct("members", "comp"))
     groups = ranked.groupBy("token").agg(split, main.alias("main"), F.count("*").alias("all_rows")).filter("split")
     groups = shared_table(groups.select("token", F.col("main.comp").alias("main"), F.ceil(F.col("all_rows") / BLOCK).cast("int").alias("blocks")), "groups")
