@@ -51,7 +51,9 @@ PIECE = 24
 #: Subsequences that are looked up in a plain table, and numbers that are worked on at once.
 DENSE, AT_ONCE = 1 << 20, 1 << 20
 #: Words and strings whose score each half of a worker's memory holds.
-REMEMBERED = 300_000
+REMEMBERED = 100_000
+#: Bytes of text that are scored at once; their new words come on top of the memory.
+PORTION = 1_000_000
 EDGE = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~«»„“”‘’¡¿…–—"
 
 
@@ -350,7 +352,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 def worst_score(model: Model, text: Column) -> Column:
     @F.arrow_udf(T.DoubleType())
     def scored(texts: pa.Array) -> pa.Array:
-        return pa.array(np.concatenate([np.zeros(0), *(model.worst(texts.slice(start, end - start).to_pylist()) for start, end in portions(texts))]))
+        return pa.array(np.concatenate([np.zeros(0), *(model.worst(texts.slice(start, end - start).to_pylist()) for start, end in portions(texts, PORTION))]))
 
     return scored(text)
 
