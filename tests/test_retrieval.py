@@ -162,3 +162,12 @@ def test_tasks_forward_at_most_k_rows_per_query(spark):
         keyword._bm25_batches(shared, 5, [], pa.int32()), "qid int, chunk_id string, score double"
     ).groupBy(F.spark_partition_id().alias("task"), "qid").count()
     assert counts.agg(F.max("count")).first()[0] <= 5 and queries.count() == 8
+
+
+def test_dense_search_over_splits_without_rows(spark):
+    rows = [(f"c{i}", [1.0, float(i)]) for i in range(3)]
+    stored = spark.createDataFrame(spark.sparkContext.parallelize(rows, 8), "chunk_id string, vector array<double>")
+    queries = spark.createDataFrame([(1, [1.0, 0.0])], "qid int, vector array<double>")
+    found = vectors.cosine_search(stored, queries, 2).orderBy("rank").collect()
+    assert [r["chunk_id"] for r in found] == ["c0", "c1"]
+    assert vectors.cosine_search(stored.filter("false"), queries, 2).count() == 0
