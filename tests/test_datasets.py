@@ -155,3 +155,39 @@ def test_cache_status(spark):
     cache = spark.createDataFrame([(1, "x"), (2, "old"), (9, "q")], "id int, fingerprint string")
     assert {r["id"]: r["status"] for r in H.cache_status(work, cache, ["id"]).collect()} == {1: "cached", 2: "stale", 3: "new"}
     assert [r["id"] for r in H.orphans(cache, work, ["id"]).collect()] == [9]
+
+
+def test_near_duplicates_of_long_sets(spark, monkeypatch):
+    """Prefixes of long pairs have to share several tokens, and frequent tokens are paired by block."""
+    rng = random.Random(5)
+    sets = []
+    for i in range(160):
+        base = set(rng.sample(range(700), rng.randint(40, 260)))
+        if i > 20 and i % 2:
+            base = set(sets[rng.randrange(i)])
+            base -= set(rng.sample(sorted(base), int(len(base) * rng.choice([0.05, 0.2, 0.24, 0.26]))))
+            base |= set(rng.sample(range(700), int(len(base) * rng.choice([0.0, 0.1, 0.25]))))
+        sets.append(base)
+    alike = lambda a, b: len(a & b) / len(a | b) >= 0.6
+    expected = {i: min((j for j in range(i) if alike(sets[i], sets[j])), default=None) for i in range(160)}
+    expected = {i: j for i, j in expected.items() if j is not None}
+    facing = {i: 1000 + min(j for j in range(160) if alike(sets[i], sets[j])) for i in range(160)}
+    rows = lambda start: [(start + i, [f"w{t}" for t in s]) for i, s in enumerate(sets)]
+    frame = lambda start: spark.createDataFrame(rows(start), "ord long, tokens array<string>")
+    found = lambda *a: {r["ord"]: r["match"] for r in N.first_near_duplicates(*a).collect()}
+    assert len(expected) > 20 and found(frame(0)) == expected and found(frame(0), frame(1000)) == facing
+    monkeypatch.setattr(N, "HOT_MEMBERS", 20)
+    assert found(frame(0)) == expected
+
+
+def test_near_duplicate_prefixes_of_a_pair_meet_rarely(spark):
+    """Of the meetings of unrelated sets on stored prefix tokens, few lie in both prefixes of the pair."""
+    rng = random.Random(6)
+    rows = [(i, [f"w{t}" for t in rng.sample(range(900), 100)], 100) for i in range(60)]
+    classes = spark.createDataFrame(rows, "cid long, tokens array<string>, n int")
+    frequency = classes.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    keys = N._prefixes(classes, frequency, 0.6).localCheckpoint()
+    other = keys.select("token", F.col("cid").alias("other"), F.col("n").alias("m"), F.col("at").alias("other_at"))
+    met = keys.join(other, "token").filter("cid < other")
+    inside = met.filter(N._in_prefix(F.col("n"), F.col("m"), F.col("at"), F.col("other_at"), 0.6)).count()
+    assert 0 < inside * 2 < met.count()
