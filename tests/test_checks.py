@@ -56,3 +56,17 @@ def test_several_references(spark):
     }
     counts = {(r["arm"], r["reference"]): (r["n_fixed"], r["n_broken"]) for r in X.compared(predictions, pairs).collect()}
     assert counts == {("b", "a"): (1, 0), ("c", "a"): (1, 1), ("c", "b"): (0, 1)}
+
+
+def test_passages_in_blocks_and_at_text_borders(spark, monkeypatch):
+    """Every text that contains a passage, null files and repeated ids too; texts are not read as one."""
+    rows = [("f", "éa béta gamma delta"), ("f", "xx éa béta gamma delta yy"), (None, "béta gamma"), ("g", None), ("h", ""), ("i", "delta"), ("j", "xx éa")]
+    texts = spark.createDataFrame(rows, "file string, text string").coalesce(1)
+    passages = [(1, "éa béta"), (2, "é"), (3, "béta gamma d"), (4, "delta xx"), (5, "a"), (6, "béta gamma"), (6, "béta gammb"), (7, "béta gamma")]
+    asked = spark.createDataFrame(passages, "pid long, passage string")
+    expected = sorted((str(f), p) for f, text in rows for p, passage in passages if text and passage in text)
+    found = lambda: sorted((str(r["file"]), r["pid"]) for r in A.passages_in(texts, asked).collect())
+    assert found() == expected
+    monkeypatch.setattr(A, "PASSAGE_BLOCK", 3)
+    monkeypatch.setattr(A, "PORTION", 10)
+    assert found() == expected
