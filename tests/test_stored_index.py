@@ -131,3 +131,11 @@ def test_search_at_agrees_with_scanning(spark, tmp_path):
         assert shape(index.search_at(spark, path, questions)) == shape(index.search(index.open_index(spark, path), questions))
     index.update(files.filter("file <> 'car/pages/3.txt'"), path)
     assert all("3.txt" not in row[2] for row in shape(index.search_at(spark, path, asked.drop("categories"))))
+
+
+def test_chunks_are_counted_without_sorting_their_words(spark):
+    """Different words of a chunk with their counts; chunks without words stay, and slices of a batch do not mix."""
+    rows = [("a", ["x", "y", "x", "é"]), ("b", []), ("c", None), ("d", ["y"]), ("e", ["x"] * 3)]
+    chunks = spark.createDataFrame(rows, "chunk_id string, tokens array<string>").coalesce(1)
+    found = {r["chunk_id"]: sorted(map(tuple, r["runs"])) for r in postings._counted(chunks, ["chunk_id"]).collect()}
+    assert found == {"a": [("x", 2), ("y", 1), ("é", 1)], "b": [], "c": [], "d": [("y", 1)], "e": [("x", 3)]}
