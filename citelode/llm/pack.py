@@ -16,7 +16,7 @@ from __future__ import annotations
 import math
 import os
 from collections.abc import Iterator
-from itertools import filterfalse
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +36,8 @@ BITS = 12
 STRETCH = 4_000_000
 #: Words whose tokens each half of a worker's memory holds.
 REMEMBERED = 400_000
+#: Words of letters that are encoded as one text.
+TOGETHER = 200
 #: Marks that may follow a word.
 MARKS = b",.;:!?%&$#*|)"
 
@@ -55,10 +57,15 @@ class WordTokens:
     def __init__(self, path: str):
         # One task, one core: Spark runs the tasks beside each other.
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self._tokenizer = Tokenizer.from_file(path)
+        self._tokenizer, self._plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self._plain.normalizer, self._plain.pre_tokenizer = None, pre_tokenizers.WhitespaceSplit()
         self.dtype = "<u2" if self._tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        vocabulary = self._tokenizer.get_vocab()
+        #: Whether the token of an id ends a match of the pattern.
+        self._ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self._ends[[number for token, number in vocabulary.items() if token.endswith("</w>")]] = True
         self._young: dict[bytes, bytes] = {}
         self._old: dict[bytes, bytes] = {}
 
@@ -69,23 +76,55 @@ class WordTokens:
             cls._known[path] = cls(path)
         return cls._known[path]
 
+    def _encode_new(self, words: list[bytes]) -> None:
+        """Put words that neither half has into the young half. A word of letters alone is one match of the pattern, whose last token has the
+        end-of-word mark, so such words are encoded as one text and cut behind the marks. Every word has one mark at
+        least: if there are as many marks as words, the cuts are right, and if not, the words go one by one.
+        Lower-case ASCII letters are left alone by the normaliser, and white space alone cuts them."""
+        letters = [word for word in words if word.isalpha() and word.islower()]
+        others = list(set(words).difference(letters))
+        foreign, single = [], []
+        for word in others:
+            (foreign if word.decode().isalpha() else single).append(word)
+        for tokenizer, own in ((self._plain, letters), (self._tokenizer, foreign)):
+            groups = [own[at : at + TOGETHER] for at in range(0, len(own), TOGETHER)]
+            joined = tokenizer.encode_batch_fast([b" ".join(group).decode() for group in groups], add_special_tokens=False)
+            for group, one in zip(groups, joined, strict=True):
+                ids = np.array(one.ids, dtype=self.dtype)
+                ends = np.flatnonzero(self._ends[ids]) + 1
+                if len(ends) != len(group) or ends[-1] != len(ids):
+                    single += group
+                    continue
+                data, cuts = ids.tobytes(), [0, *(ends * ids.itemsize).tolist()]
+                self._young.update(zip(group, [data[start:stop] for start, stop in pairwise(cuts)], strict=True))
+        for word, one in zip(single, self._tokenizer.encode_batch_fast([word.decode() for word in single], add_special_tokens=False), strict=True):
+            self._young[word] = np.array(one.ids, dtype=self.dtype).tobytes()
+
+    def _recall(self, words: set[bytes]) -> set[bytes]:
+        """Take words from the old half to the young one; the others are returned."""
+        fresh = words.difference(self._old)
+        for word in words.difference(fresh):
+            self._young[word] = self._old[word]
+        return fresh
+
     def _learn(self, words: set[bytes]) -> None:
         """Put the tokens of all ``words`` into the young half. The pattern always cuts
         between an ASCII letter or digit and a mark that is no apostrophe, so a word and the
         marks after it are encoded apart."""
-        young, old = self._young, self._old
-        bare = {word: word.rstrip(MARKS) for word in words if word[-1] in MARKS and b"<|" not in word}
-        bare = {word: short for word, short in bare.items() if short and short[-1:].isalnum()}
-        wanted = (words - bare.keys()) | set(bare.values()) | {word[len(short) :] for word, short in bare.items()}
-        wanted = list(filterfalse(young.__contains__, wanted))
-        young.update([(word, old[word]) for word in filter(old.__contains__, wanted)])
-        fresh = list(filterfalse(old.__contains__, wanted))
-        for at in range(0, len(fresh), 20_000):
-            some = fresh[at : at + 20_000]
-            encoded = self._tokenizer.encode_batch_fast([word.decode() for word in some], add_special_tokens=False)
-            young.update([(word, np.array(one.ids, dtype=self.dtype).tobytes()) for word, one in zip(some, encoded, strict=True)])
-        for word, short in bare.items():
-            young[word] = young[short] + young[word[len(short) :]]
+        young, whole, shorts, marks = self._young, [], [], []
+        wanted = self._recall(words)
+        for word in wanted:
+            if word[-1] in MARKS and (short := word.rstrip(MARKS))[-1:].isalnum() and b"<|" not in word:
+                whole.append(word)
+                shorts.append(short)
+                marks.append(word[len(short) :])
+        wanted = wanted.difference(whole)
+        wanted.update(self._recall(set(shorts).union(marks).difference(young)))
+        wanted = list(wanted)
+        for at in range(0, len(wanted), 20_000):
+            self._encode_new(wanted[at : at + 20_000])
+        for word, short, mark in zip(whole, shorts, marks, strict=True):
+            young[word] = young[short] + young[mark]
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """Ids of UTF-8 texts."""
@@ -93,7 +132,7 @@ class WordTokens:
             self._young, self._old = {}, self._young
         # The tokenizer lower-cases; ASCII letters can be lower-cased before, but not in its special strings.
         split = [(text if b"<|" in text else text.lower()).split() for text in texts]
-        missing = set(filterfalse(self._young.__contains__, set().union(*split)))
+        missing = set().union(*split).difference(self._young)
         if missing:
             self._learn(missing)
         known = self._young.__getitem__

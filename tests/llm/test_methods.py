@@ -99,6 +99,32 @@ def test_words_encode_like_texts():
     assert [ids.tolist() for ids in words.encode([text.encode() for text in texts])] == [tokenizer.encode(text, add_special_tokens=False).ids for text in texts]
 
 
+def test_words_of_letters_are_encoded_together(monkeypatch):
+    from tokenizers import Tokenizer
+
+    words = pack.WordTokens(tokenizer_path())
+    rng = random.Random(5)
+    drawn = ["".join(rng.choices(letters, k=rng.randint(1, 12))) for letters in ("abcdefghij", "XYZabc", "abéüßñ", "אבגד", "ab1.'") for _ in range(300)]
+    texts = [" ".join(drawn), "<|x Abc DEF " + " ".join(drawn[::-1]), "e\u0301a \u0958 ﬁn İ ΑΣ"]
+    asked = []
+
+    class Counted:
+        def __init__(self, inner):
+            self.inner = inner
+
+        def encode_batch_fast(self, some, **more):
+            asked.extend(some)
+            return self.inner.encode_batch_fast(some, **more)
+
+    for name in ("_tokenizer", "_plain"):
+        if hasattr(words, name):
+            monkeypatch.setattr(words, name, Counted(getattr(words, name)))
+    plain = Tokenizer.from_file(tokenizer_path())
+    assert [ids.tolist() for ids in words.encode([text.encode() for text in texts])] == [plain.encode(text, add_special_tokens=False).ids for text in texts]
+    seen = {word.lower() for word in drawn}
+    assert len(asked) < len(seen) / 2
+
+
 # Main text
 
 
