@@ -100,6 +100,21 @@ class BlockedBloom:
         return self._attached(df).withColumn(name, held).drop("_llm_filter")
 
 
+_MEMORIES: list[dict] = []
+
+
+def memory() -> dict:
+    """A table that a Python worker keeps from task to task."""
+    _MEMORIES.append({})
+    return _MEMORIES[-1]
+
+
+def forget() -> None:
+    """Empty the tables of this worker, whichever operator filled them: workers outlive the stage they were started for."""
+    for kept in _MEMORIES:
+        kept.clear()
+
+
 def portions(texts: pa.Array, most: int = 2_000_000, rows: int = 2_000) -> Iterator[tuple[int, int]]:
     """Row ranges of about ``most`` bytes of text each, so that working memory does not
     follow the rows of a batch; a longer text is a range of its own."""

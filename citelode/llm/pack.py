@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citelode.llm.common import portions, whole_text
+from citelode.llm.common import forget, memory, portions, whole_text
 from citelode.session import shared_table
 
 LENGTH = 4096
@@ -52,9 +52,10 @@ class WordTokens:
     encoded by the tokenizer itself, new ones of a batch at once. The memory has a young
     and an old half; when the young one is full it becomes the old one, so frequent words stay."""
 
-    _known: dict[str, WordTokens] = {}
+    _known: dict[str, WordTokens] = memory()
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = REMEMBERED):
+        self.remembered = remembered
         # One task, one core: Spark runs the tasks beside each other.
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
@@ -70,10 +71,12 @@ class WordTokens:
         self._old: dict[bytes, bytes] = {}
 
     @classmethod
-    def of(cls, path: str) -> WordTokens:
+    def of(cls, path: str, remembered: int = REMEMBERED) -> WordTokens:
         """The one of this worker, which keeps its memory from task to task."""
         if path not in cls._known:
+            forget()
             cls._known[path] = cls(path)
+        cls._known[path].remembered = remembered
         return cls._known[path]
 
     def _encode_new(self, words: list[bytes]) -> None:
@@ -128,7 +131,7 @@ class WordTokens:
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """Ids of UTF-8 texts."""
-        if len(self._young) > REMEMBERED:
+        if len(self._young) > self.remembered:
             self._young, self._old = {}, self._young
         # The tokenizer lower-cases; ASCII letters can be lower-cased before, but not in its special strings.
         split = [(text if b"<|" in text else text.lower()).split() for text in texts]
@@ -180,12 +183,12 @@ def hilbert_keys(points: np.ndarray, bits: int = BITS) -> np.ndarray:
     return key
 
 
-def tokenized(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def tokenized(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", remembered: int = REMEMBERED) -> DataFrame:
     """``doc_id, curve, doc_tokens, ids``; ids are little-endian unsigned numbers of two or
-    four bytes, by the size of the vocabulary."""
+    four bytes, by the size of the vocabulary. A worker that has little room may remember fewer words."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, matrix = WordTokens.of(tokenizer), projection()
+        tokens, matrix = WordTokens.of(tokenizer, remembered), projection()
         end = np.array([END], dtype=tokens.dtype)
         for whole in batches:
             for start, stop in portions(whole.column("text")):
@@ -242,12 +245,14 @@ def lay_out(batches: Iterator[pa.RecordBatch], first: int, tokens: int, length:
             yield pa.RecordBatch.from_arrays([pa.array(x, field.type) for x, field in zip(zip(*rows, strict=True), _PIECES, strict=True)], schema=_PIECES)
 
 
-def pack(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
+def pack(
+    docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, remembered: int = REMEMBERED
+) -> DataFrame:
     """Pieces ``doc_id, start, length, doc_tokens, sequence_id, offset, ids``.
 
     The tokens are written once and then range-partitioned by (curve, id), so a group of
     copies with one curve key is still spread by id."""
-    rows = shared_table(tokenized(docs, tokenizer, doc_id, text), "tokens")
+    rows = shared_table(tokenized(docs, tokenizer, doc_id, text, remembered), "tokens")
     total = rows.agg(F.sum("doc_tokens")).first()[0] or 0
     order = [F.col("curve"), F.col("doc_id").asc_nulls_last(), F.crc32("ids")]
     stretches = rows.repartitionByRange(max(1, math.ceil(total / STRETCH)), *order).sortWithinPartitions(*order)

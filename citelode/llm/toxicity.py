@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from citelode.llm.common import BLANKS, WORD, portions, whole_text
+from citelode.llm.common import BLANKS, WORD, forget, memory, portions, whole_text
 from citelode.session import shared_table
 
 #: Labelled documents the classifier is fitted on, at most, of each label.
@@ -180,7 +180,7 @@ def spelled(text: str) -> list[bytes]:
 
 #: Scores of words and strings by model, in a worker and across its tasks: a young and an old
 #: half; when the young one is full it becomes the old one, so frequent words stay.
-_MEMORY: dict[str, list[dict]] = {}
+_MEMORY: dict[str, list[dict]] = memory()
 
 
 @dataclass
@@ -204,7 +204,7 @@ class Model:
         """Score of each text's worst string; ``bias`` for a text without strings."""
         split = [text.encode().lower().split() + spelled(text.lower()) for text in texts]
         if self.name not in _MEMORY:
-            _MEMORY.clear()
+            forget()
             _MEMORY[self.name] = [{}, {}]
         if len(_MEMORY[self.name][0]) > REMEMBERED:
             _MEMORY[self.name] = [{}, _MEMORY[self.name][0]]

@@ -8,7 +8,7 @@ Every stage reads what its predecessor kept, written as Parquet, and applies one
 4. mix: every source as often as its target weight asks, documents repeated accordingly;
 5. packing: the mixed documents as pieces of token sequences.
 
-All stages but the last return the columns of ``documents``. Nulls, empty texts, ties,
+Texts go to Python in small batches. All stages but the last return the columns of ``documents``. Nulls, empty texts, ties,
 repeated rows and empty tables are defined in the operators' modules.
 """
 
@@ -20,18 +20,25 @@ from pyspark.sql import functions as F
 from citelode.llm import exact_dedup, mixing, near_dup, pack, toxicity
 from citelode.llm.common import table
 from citelode.llm.queries import tokenizer_path
-from citelode.session import shared_table
+from citelode.session import shared_table, small_batches
+
+#: Words that each half of a tokenizing worker's memory holds: fewer than alone, since the executors that pack are the ones
+#: that ran the stages before.
+REMEMBERED = 100_000
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return exact_dedup.drop_duplicates(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return near_dup.drop_near_duplicates(docs)
 
 
@@ -40,7 +47,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    pieces = pack.pack(docs, tokenizer_path())
+    small_batches(spark)
+    pieces = pack.pack(docs, tokenizer_path(), remembered=REMEMBERED)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 

@@ -1,12 +1,15 @@
 """The pipeline stage by stage, and the queries against their SQL."""
 
 import duckdb
+import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from citelode.llm import near_dup
-from citelode.llm.queries import ORACLES
+from citelode.llm import near_dup, pack, toxicity
+from citelode.llm.queries import ORACLES, tokenizer_path
 from citelode.session import shared_table
 from tests.llm.test_methods import brute_components
 from tools.check import TABLES, compare
@@ -58,3 +61,31 @@ def test_pipeline_is_registered():
     assert entry.queries()["pipeline"] is corpus_pipeline.run
     assert near_dup.Plan(5, 80).bands > 0
     assert {f"op{n}" for n in range(1, 11)} <= {name.split("_")[0] for name in entry.queries()}
+
+
+def test_texts_reach_python_in_small_batches(spark):
+    names = ["spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"]
+    before = [spark.conf.get(name) for name in names]
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"bytes": [batch.nbytes]})
+
+    long_texts = spark.range(6000, numPartitions=1).select(F.repeat(F.lit("word "), 800).alias("text"))
+    try:
+        corpus_pipeline.STAGES[4][1](spark, long_texts.limit(5).select(F.lit(1).alias("doc_id"), "text"), "")
+        assert max(row[0] for row in long_texts.mapInArrow(sizes, "bytes long").collect()) < 9_000_000
+    finally:
+        for name, value in zip(names, before):
+            spark.conf.set(name, value)
+
+
+def test_a_worker_forgets_what_other_operators_kept():
+    scored = toxicity.Model(["idiot"], np.ones(1, dtype=np.float32), 0.0)
+    scored.worst(["some words here"])
+    assert toxicity._MEMORY
+    pack.WordTokens._known.clear()
+    pack.WordTokens.of(tokenizer_path(), 10)
+    assert not toxicity._MEMORY
+    scored.worst(["some words here"])
+    assert not pack.WordTokens._known
