@@ -124,10 +124,13 @@ def order_agreement(text: Column, oracle: Column) -> Column:
     """Share of lines with four or more Hebrew words that the oracle text contains word
     for word; one when nothing can be checked."""
     hebrew = lambda t: F.regexp_extract_all(t, F.lit(HEBREW_WORD), F.lit(0))
-    truth = F.array_join(hebrew(oracle), " ")
     lines = F.filter(F.transform(F.split(text, "\n"), hebrew), lambda w: F.size(w) >= 4)
-    agreed = F.size(F.filter(lines, lambda w: F.contains(truth, F.array_join(w, " "))))
-    return F.when((F.size(lines) == 0) | (truth == ""), F.lit(1.0)).otherwise(agreed / F.size(lines))
+    # An array of one element, so that its lambda reads the oracle's words and the lines as they are worked out
+    # once; written out, they would be worked out again for every line.
+    once = F.array(F.struct(F.array_join(hebrew(oracle), " ").alias("truth"), F.transform(lines, lambda w: F.array_join(w, " ")).alias("lines")))
+    agreed = lambda o: F.size(F.filter(o["lines"], lambda line: F.contains(o["truth"], line))) / F.size(o["lines"])
+    nothing = lambda o: (F.size(o["lines"]) == 0) | (o["truth"] == "")
+    return F.transform(once, lambda o: F.when(nothing(o), F.lit(1.0)).otherwise(agreed(o)))[0]
 
 
 def content_loss(files: DataFrame, chunks: DataFrame, limit: float = 0.98) -> DataFrame:

@@ -125,3 +125,17 @@ def test_refusals(spark):
     assert one(spark, R.is_refusal(F.col("t")), t=f"a {R.REFUSAL}") is True
     assert one(spark, R.is_refusal(F.col("t")), t=f"{R.REFUSAL}\n{R.SOURCES_HEADER}") is False
     assert one(spark, R.without_source_list(F.col("t")), t=f"a {R.SOURCES_HEADER} b \n\n{R.SOURCES_HEADER}\nx") == f"a {R.SOURCES_HEADER} b"
+
+
+def test_order_agreement_reads_the_oracle_once(spark):
+    import time
+
+    from citelode.operators import quality
+
+    lines = [" ".join("אבגדהוזח"[(i >> shift) % 8] * 2 for shift in range(0, 18, 3)) for i in range(4000)]
+    text, oracle = "\n".join(lines), "\n".join(lines[:1000] + [line[::-1] + "ט" for line in lines[1000:]])
+    rows = spark.createDataFrame([(text, oracle), ("a b", oracle), (text, ""), (None, oracle)], "text string, oracle string").coalesce(1)
+    began = time.monotonic()
+    found = [row[0] for row in rows.select(quality.order_agreement(F.col("text"), F.col("oracle"))).collect()]
+    assert found[0] >= 0.25 and found[1:] == [1.0, 1.0, None]
+    assert time.monotonic() - began < 8
