@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import sys
 
 from pyspark.sql import functions as F
 
@@ -102,3 +103,27 @@ def test_query_against_a_plain_replay(spark, sf_dir):
     events = [tuple(r) for r in P.sampler_events(spark, sf_dir).collect()]
     found = sorted(tuple(r) for r in P.sampler_state(spark, sf_dir).collect())
     assert found == replayed(pages, events, P.SEED)
+
+
+def test_replay_grows_with_the_events():
+    """Draws that outnumber the pages, with releases: four times the events and pages take nothing like sixteen times the steps."""
+    def looks(n):
+        rng = random.Random(n)
+        pages = [(at % 4, rng.random(), at, at % 3 == 0) for at in range(n)]
+        events = [(seq, X.RELEASE if seq % 5 == 4 else X.DRAW, seq % 3, seq - 2 if seq % 5 == 4 else None) for seq in range(2 * n)]
+        steps = 0
+
+        def count(frame, kind, arg):
+            nonlocal steps
+            steps += kind == "line" and frame.f_code.co_filename == X.__file__
+            return count
+
+        before = sys.gettrace()
+        sys.settrace(count)
+        try:
+            X.replay_draws(pages, events)
+        finally:
+            sys.settrace(before)
+        return steps
+
+    assert looks(800) < 6 * looks(200)
