@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -110,9 +112,17 @@ def memory() -> dict:
 
 
 def forget() -> None:
-    """Empty the tables of this worker, whichever operator filled them: workers outlive the stage they were started for."""
+    """Empty the tables of this worker, whichever operator filled them, and give their memory back: workers outlive
+    the stage they were started for."""
+    if not any(_MEMORIES):
+        return
     for kept in _MEMORIES:
         kept.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it, and alone keeps what was freed
+    if trim:
+        trim(0)
 
 
 def portions(texts: pa.Array, most: int = 2_000_000, rows: int = 2_000) -> Iterator[tuple[int, int]]:

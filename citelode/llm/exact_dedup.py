@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from citelode.llm.common import BLANKS, BlockedBloom, one_of_each, row_key, same, whole_text
+from citelode.llm.common import BLANKS, BlockedBloom, forget, one_of_each, row_key, same, whole_text
 from citelode.session import shared_table
 
 #: Two primes under 2^31, so that products stay inside a long, and their bases.
@@ -65,6 +65,7 @@ def piece_maps(data: bytes, size: int = HASHED) -> list[tuple[int, int, int, int
 
 @F.arrow_udf(_PIECES)
 def hash_pieces(texts: pa.Array) -> pa.Array:
+    forget()
     rows = [[dict(zip(_FIELDS, piece, strict=True)) for piece in piece_maps(text.as_py().encode())] for text in texts]
     return pa.array(rows, type=pa.list_(pa.struct([(field, pa.int64()) for field in _FIELDS])))
 

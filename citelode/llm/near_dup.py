@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from citelode.llm.common import BlockedBloom, one_of_each, portions, row_key, same, whole_text
+from citelode.llm.common import BlockedBloom, forget, one_of_each, portions, row_key, same, whole_text
 from citelode.operators.sizing import lookup_join
 from citelode.session import shared_table
 
@@ -145,6 +145,7 @@ _SIGNATURE_ARROW = pa.struct([
 def signature(plan: Plan, text: Column) -> Column:
     @F.arrow_udf(_SIGNATURE)
     def signed(texts: pa.Array) -> pa.Array:
+        forget()
         out = []
         for start, end in portions(texts):
             for value in texts.slice(start, end - start).to_pylist():

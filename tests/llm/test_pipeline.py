@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from citelode.llm import near_dup, pack, toxicity
+from citelode.llm import exact_dedup, near_dup, pack, toxicity
 from citelode.llm.queries import ORACLES, tokenizer_path
 from citelode.session import shared_table
 from tests.llm.test_methods import brute_components
@@ -89,3 +89,10 @@ def test_a_worker_forgets_what_other_operators_kept():
     assert not toxicity._MEMORY
     scored.worst(["some words here"])
     assert not pack.WordTokens._known
+
+
+def test_stages_after_the_classifier_empty_its_memory():
+    scored = toxicity.Model(["idiot"], np.ones(1, dtype=np.float32), 0.0)
+    scored.worst(["some words here"])
+    exact_dedup.hash_pieces.func(pa.array(["a text"]))
+    assert not toxicity._MEMORY
