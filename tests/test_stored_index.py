@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from citelode.operators import fusion, keyword, layout, postings
 from citelode.operators.layout import Keyed
-from citelode.plans import index
+from citelode.plans import index, retrieval
 
 
 def chunks_of(spark, n=150, words=60):
@@ -139,3 +139,8 @@ def test_chunks_are_counted_without_sorting_their_words(spark):
     chunks = spark.createDataFrame(rows, "chunk_id string, tokens array<string>").coalesce(1)
     found = {r["chunk_id"]: sorted(map(tuple, r["runs"])) for r in postings._counted(chunks, ["chunk_id"]).collect()}
     assert found == {"a": [("x", 2), ("y", 1), ("é", 1)], "b": [], "c": [], "d": [("y", 1)], "e": [("x", 3)]}
+
+
+def test_texts_of_ranked_chunks_do_not_search_again(spark, sf_dir):
+    found = retrieval.texts_of(spark, sf_dir, retrieval.sparse_stage(spark, sf_dir))
+    assert found.count() and "MapInArrow" not in found._jdf.queryExecution().toString()
