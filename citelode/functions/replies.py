@@ -6,6 +6,9 @@ import ast
 import json
 import operator
 import re
+from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
+from itertools import count
 
 import pandas as pd
 from pyspark.sql import Column
@@ -298,9 +301,11 @@ _BINARY = {
 
 
 def _number(item: str) -> float:
-    """A number as Python reads it; what plain digits do not settle is left to Python."""
+    """A number as Python reads it; what plain digits and points do not settle is left to Python."""
     if item.isascii() and item.isdigit() and (item[0] != "0" or len(item) == 1):
         return int(item)
+    if item.isascii() and "_" not in item and not item.isdigit():
+        return float(item)
     return ast.literal_eval(item)
 
 
@@ -323,23 +328,20 @@ def _apply(values: list[float], action: str | tuple[str, int]) -> None:
     values.append(_BINARY[action](left, right))
 
 
-def evaluate(expression: str) -> float:
-    """Arithmetic over numbers and round/abs/min/max; anything else is an error.
+def _steps(items: list[str]) -> Iterator[str | tuple[str, int]]:
+    """Numbers, operators, signs and calls (function, arguments) in the order in which a stack of values takes them.
 
-    One pass over the items with a stack of values and a stack of what waits for its
-    right side: operators, signs, and open brackets with the function before them."""
-    if len(expression) > MAX_EXPRESSION:
-        raise ValueError("expression too long")
-    values: list[float] = []
+    One pass over the items with a stack of what waits for its right side: operators, signs, and open
+    brackets with the function before them."""
     waiting: list[tuple[str, int]] = []  # what, and its strength; an open bracket has 0
     calls: list[list] = []  # for every open bracket: function or None, arguments so far
     name, operand = None, True  # operand: a value has to come next
 
-    def settle(strength: int) -> None:
+    def settle(strength: int) -> Iterator[str]:
         while waiting and waiting[-1][1] >= strength and waiting[-1][1] > 0:
-            _apply(values, waiting.pop()[0])
+            yield waiting.pop()[0]
 
-    for item in _items(expression):
+    for item in items:
         if name is not None and item != "(":
             raise ValueError("only arithmetic is allowed")
         if item in _FUNCTIONS and operand:
@@ -351,15 +353,15 @@ def evaluate(expression: str) -> float:
         elif item in ("+", "-") and operand:
             waiting.append((f"u{item}", _SIGN))
         elif (item[0].isdigit() or item[0] == ".") and operand:
-            values.append(_number(item))
+            yield item
             operand = False
         elif item in _STRENGTH and not operand:
             strength = _STRENGTH[item]
-            settle(strength + (item == "**"))
+            yield from settle(strength + (item == "**"))
             waiting.append((item, strength))
             operand = True
         elif item in (",", ")") and calls and not operand:
-            settle(1)
+            yield from settle(1)
             calls[-1][1] += 1
             if item == ",":
                 if calls[-1][0] is None:
@@ -369,24 +371,92 @@ def evaluate(expression: str) -> float:
             waiting.pop()
             function, count = calls.pop()
             if function:
-                _apply(values, (function, count))
+                yield function, count
         else:
             raise ValueError("only arithmetic is allowed")
     if operand or calls or name is not None:
         raise ValueError("only arithmetic is allowed")
-    settle(1)
+    yield from settle(1)
+
+
+def _is_number(step: str | tuple[str, int]) -> bool:
+    return isinstance(step, str) and (step[0].isdigit() or step[0] == ".")
+
+
+def evaluate(expression: str) -> float:
+    """Arithmetic over numbers and round/abs/min/max; anything else is an error."""
+    if len(expression) > MAX_EXPRESSION:
+        raise ValueError("expression too long")
+    values: list[float] = []
+    for step in _steps(_items(expression)):
+        if _is_number(step):
+            values.append(_number(step))
+        else:
+            _apply(values, step)
     return float(values[0])
 
 
-@F.pandas_udf(StructType([StructField("value", DoubleType()), StructField("error", StringType())]))
-def calculate(expressions: pd.Series) -> pd.DataFrame:
-    """``struct<value,error>`` per expression; exactly one is set."""
-    seen: dict[str, tuple[float | None, str | None]] = {}
-    for expression in expressions.dropna().unique():
+@lru_cache(maxsize=1024)
+def _program(shape: tuple[str, ...]) -> Callable[[list[float]], float] | None:
+    """A function of the numbers between the parts of ``shape``, which does what ``evaluate`` does in the same order;
+    null for what is no expression. Its source consists of operators, known functions and places of numbers alone."""
+    if any(map(_OTHER.search, shape)):
+        return None
+    sources: list[str] = []
+    places = count(0)
+    try:
+        for step in _steps([item for at, part in enumerate(shape) for item in (["0"] if at else []) + _items(part)]):
+            if _is_number(step):
+                sources.append(f"n[{next(places)}]")
+            elif isinstance(step, tuple):
+                name, size = step
+                if size < _FUNCTIONS[name][0] or size > (_FUNCTIONS[name][1] or size):
+                    return None
+                given = sources[len(sources) - size :]
+                del sources[len(sources) - size :]
+                sources.append(f"{name}({', '.join(given)})")
+            elif step in ("u+", "u-"):
+                sources.append(sources.pop() if step == "u+" else f"(-{sources.pop()})")
+            else:
+                right, left = sources.pop(), sources.pop()
+                sources.append(f"power({left}, {right})" if step == "**" else f"({left} {step} {right})")
+        return eval(f"lambda n: {sources[0]}", {"__builtins__": {}, "power": _power, **_CALLS})
+    except (ValueError, SyntaxError, RecursionError, MemoryError):
+        return None
+
+
+#: Numbers cut the shape of an expression from it; a digit or point that is left makes it no shape.
+_NUMBERS = re.compile(r"(?<!\w)((?:\d[\d_]*\.?[\d_]*|\.\d[\d_]*)(?:[eE][+-]?\d+)?)")
+_OTHER = re.compile(r"[\d.]")
+
+
+def evaluated(expressions: Iterable[str]) -> Iterator[tuple[float | None, str | None]]:
+    """Value or error of each expression. A shape that comes again, with other numbers, is not parsed again."""
+    met: set[tuple[str, ...]] = set()
+    for expression in expressions:
+        program, numbers = None, []
+        if len(expression) <= MAX_EXPRESSION:
+            parts = _NUMBERS.split(expression)
+            shape = tuple(parts[::2])
+            if shape in met:
+                program = _program(shape)
+                try:
+                    numbers = [_number(part) for part in parts[1::2]]
+                except (ValueError, SyntaxError):
+                    program = None
+            met.add(shape)
         try:
-            seen[expression] = evaluate(expression), None
+            yield (float(program(numbers)) if program else evaluate(expression)), None
         except ZeroDivisionError:
-            seen[expression] = None, "division by zero"
+            yield None, "division by zero"
         except (ValueError, SyntaxError, TypeError, OverflowError, RecursionError) as error:
-            seen[expression] = None, str(error).split("(")[0].strip() or type(error).__name__
-    return pd.DataFrame([seen.get(expression, (None, None)) for expression in expressions], columns=["value", "error"])
+            yield None, str(error).split("(")[0].strip() or type(error).__name__
+
+
+@F.pandas_udf(StructType([StructField("value", DoubleType()), StructField("error", StringType())]))
+def calculate(expressions: pd.Series) -> pd.DataFrame:
+    """``struct<value,error>`` per expression; exactly one is set."""
+    asked = list(expressions.dropna().unique())
+    seen = dict(zip(asked, evaluated(asked)))
+    done = [seen.get(expression, (None, None)) for expression in expressions]
+    return pd.DataFrame({"value": pd.Series([value for value, _ in done], dtype="float64"), "error": pd.Series([error for _, error in done], dtype="object")})

@@ -121,6 +121,26 @@ def test_evaluate():
         raise AssertionError(bad)
 
 
+def test_expressions_of_one_shape_are_parsed_once(monkeypatch):
+    parsed, steps = [], R._steps
+    monkeypatch.setattr(R, "_steps", lambda items: parsed.append(items) or steps(items))
+    asked = [f"{i}.5 * max({i % 7}, 0.02) + abs(-{i}) ** 2 - {i} // ({i % 5 - 2})" for i in range(300)]
+    found = list(R.evaluated(asked))
+    assert len(parsed) < 10
+    for text, (value, error) in zip(asked, found):
+        if error is None:
+            assert value == R.evaluate(text)
+        else:
+            assert error == "division by zero" and text.endswith("// (0)")
+
+
+def test_parsed_shapes_keep_values_and_errors():
+    asked = ["1/0 + 012", "2 ** 500", "a.5", "1.5.5", "abs2(1)", "max(1)", "(-8) ** .5", "1 +", "1__0", "٣ + 1", "1e400 - 1e400", "round(2.5, 1.5)", "1_0 + 1.", "9 ** 9 ** 9", "+".join("1" * 240)]
+    shown = lambda answers: [(repr(value), error) for value, error in answers]
+    for text in asked:
+        assert shown(R.evaluated([text] * 3)) == shown(R.evaluated([text])) * 3, text
+
+
 def test_refusals(spark):
     assert one(spark, R.is_refusal(F.col("t")), t=f"a {R.REFUSAL}") is True
     assert one(spark, R.is_refusal(F.col("t")), t=f"{R.REFUSAL}\n{R.SOURCES_HEADER}") is False
