@@ -220,9 +220,7 @@ def reading_order_repair(spark, sf_dir):
         "file", "page", "seq", F.when(F.col("seq") % 3 == 0, "cell").otherwise("text").alias("kind"), turned.alias("text"), "line",
     )
     fixed = reading_order.repair(items, pages)
-    stats = reading_order.repair_stats(fixed, ["file"])
-    restored = fixed.groupBy("file").agg(F.count_if(F.col("repaired") == F.col("line")).alias("n_as_original"))
-    return stats.join(restored, "file")
+    return reading_order.repair_stats(fixed, ["file"], F.count_if(F.col("repaired") == F.col("line")).alias("n_as_original"))
 
 
 QUERIES = {

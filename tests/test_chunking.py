@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from citelode.operators import chunking as C
 from citelode.operators import markdown as M
 from citelode.operators import reading_order as O
+from citelode.plans import documents
 
 
 def estimate(words):
@@ -131,3 +132,15 @@ def test_repair_prefers_the_box(spark):
     oracle = spark.createDataFrame([("f", 1, "אבג דהו\nזחטי כל")], "file string, page int, oracle string")
     rows = {r["seq"]: (r["strategy"], r["repaired"]) for r in O.repair(items, oracle).collect()}
     assert rows == {0: ("box", "אבג דהו"), 1: ("segment", "זחטי כל"), 2: (None, "אב גד")}
+
+
+def test_reading_order_query_repairs_once(spark, sf_dir):
+    plan = documents.reading_order_repair(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+
+
+def test_page_places_by_search_and_by_table(monkeypatch):
+    lines = O.PageLines("אבגדאבגד\nבגדא")
+    searched = lines.places("אבגד"), lines.places("בגדא"), lines.places("זזזז")
+    monkeypatch.setattr(O, "SEARCHES", 0)
+    assert searched == (lines.places("אבגד"), lines.places("בגדא"), lines.places("זזזז")) == ([0, 4], [1, 9], [])
