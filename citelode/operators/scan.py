@@ -73,23 +73,22 @@ def blocked_last_value(
     ordered = Window.partitionBy(*group, block).orderBy(*order)
     strictly_before = ordered.rowsBetween(Window.unboundedPreceding, -1)
     df = df.withColumn("__value", value)
-    # max_by over the ordering gives each block's own last value without a sort.
-    position = F.struct(*order)
-    tails = df.filter(F.col("__value").isNotNull()).groupBy(*group, block).agg(
-        F.max_by("__value", position).alias("__tail")
+    # max_by gives each block's own last value without a sort; it passes over rows whose ordering is null, here those
+    # without a value. A block that has none keeps its row, since it carries on what came before.
+    position = order[0] if len(order) == 1 else F.struct(*order)
+    tails = df.groupBy(*group, block).agg(
+        F.max_by("__value", F.when(F.col("__value").isNotNull(), position)).alias("__tail")
     )
-    blocks = df.select(*group, block).distinct().join(tails, [*group, block], "left")
     earlier = (
         Window.partitionBy(*group).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
     )
-    carried = blocks.select(
+    carried = tails.select(
         *group, block, F.last("__tail", ignorenulls=True).over(earlier).alias("__carried")
     )
+    # The window comes before the join, which then finds its rows sorted.
+    own = df.withColumn("__own", F.last("__value", ignorenulls=True).over(strictly_before))
     return (
-        df.join(carried, [*group, block])
-        .withColumn(
-            name,
-            F.coalesce(F.last("__value", ignorenulls=True).over(strictly_before), "__carried"),
-        )
-        .drop("__value", "__carried")
+        own.join(carried, [*group, block])
+        .withColumn(name, F.coalesce("__own", "__carried"))
+        .drop("__value", "__own", "__carried")
     )

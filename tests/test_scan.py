@@ -28,6 +28,17 @@ def test_blocked_scans_equal_plain_windows(spark):
     assert blocked.exceptAll(plain).count() == 0 and blocked.count() == 3000
 
 
+def test_last_value_reads_its_rows_twice_and_sorts_them_once(spark):
+    frame = spark.range(1000).select((F.col("id") % 7).alias("g"), "id", scan.integer_block(F.col("id"), 64).alias("b"))
+    value = F.when(F.col("id") % 200 == 3, F.col("id"))  # most blocks have none
+    found = scan.blocked_last_value(frame, ["g"], "b", [F.col("id")], value, "last")
+    with_last = found.collect()
+    before = lambda r: max((x for x in range(3, r["id"], 200) if x % 7 == r["g"]), default=None)
+    assert len(with_last) == 1000 and all(r["last"] == before(r) for r in with_last)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Range (") == 2
+
+
 def test_order_statistics(spark):
     frame = hot_rows(spark)
     found = S.order_statistics(
