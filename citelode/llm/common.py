@@ -118,6 +118,11 @@ def forget() -> None:
         return
     for kept in _MEMORIES:
         kept.clear()
+    give_back()
+
+
+def give_back() -> None:
+    """Give memory that this worker has freed back to the system."""
     gc.collect()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it, and alone keeps what was freed

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from citelode.llm.common import BlockedBloom, portions
+from citelode.llm.common import BlockedBloom, give_back, portions
 from citelode.session import shared_table
 
 LONGEST, LEAST, FIRST = 5, 100, 2_000
@@ -52,7 +52,7 @@ class Automaton:
     level before (``sources``), reads ``words[label]``, and carries the count of the sequence that ends
     with it (0: none ends there)."""
 
-    words: list[str]
+    words: list[str] | pa.Array  # as they came, until they are united
     sources: list[np.ndarray]
     labels: list[np.ndarray]
     counts: list[np.ndarray]
@@ -64,28 +64,28 @@ class Automaton:
         sources, labels, weights = [], [], []
         fresh = np.zeros(len(rows), dtype=bool)
         fresh[:1] = True
-        before = np.zeros(len(rows), dtype=np.int64)
+        before = np.zeros(len(rows), dtype=np.int32)
         lengths = (rows >= 0).sum(axis=1)
         for level in range(rows.shape[1]):
             fresh[1:] |= rows[1:, level] != rows[:-1, level]
             opens = fresh & (rows[:, level] >= 0)
             sources.append(before[opens])
-            labels.append(np.searchsorted(used, rows[opens, level]))
+            labels.append(np.searchsorted(used, rows[opens, level]).astype(np.int32))
             weights.append(np.where(lengths[opens] == level + 1, counts[opens], 0))
-            before = np.cumsum(opens) - 1
+            before = np.cumsum(opens, dtype=np.int32) - 1
         return cls([words[i] for i in used.tolist()], sources, labels, weights)
 
     def sequences(self) -> tuple[np.ndarray, np.ndarray]:
         """The sequences with a count, and the counts."""
         depth = len(self.labels)
-        path = np.empty((1, 0), dtype=np.int64)
-        rows, counts = [np.empty((0, depth), dtype=np.int64)], [np.empty(0, dtype=np.int64)]
+        path = np.empty((1, 0), dtype=np.int32)
+        ends = [np.flatnonzero(counts) for counts in self.counts]
+        rows, start = np.full((sum(map(len, ends)), depth), -1, dtype=np.int32), 0
         for level in range(depth):
             path = np.column_stack([path[self.sources[level]], self.labels[level]])
-            ends = self.counts[level] > 0
-            rows.append(np.pad(path[ends], ((0, 0), (0, depth - level - 1)), constant_values=-1))
-            counts.append(self.counts[level][ends])
-        return np.concatenate(rows), np.concatenate(counts)
+            rows[start:start + len(ends[level]), :level + 1] = path[ends[level]]
+            start += len(ends[level])
+        return rows, np.concatenate([np.empty(0, dtype=np.int64), *(counts[at] for counts, at in zip(self.counts, ends))])
 
     def lookup(self, sequences: list[list[str]]) -> list[int]:
         """Count of each sequence, 0 where it does not end in the automaton."""
@@ -102,22 +102,29 @@ class Automaton:
         return out
 
 
+def _large(words: list[str] | pa.Array) -> pa.Array:
+    return words.cast(pa.large_string()) if isinstance(words, pa.Array) else pa.array(words, pa.large_string())
+
+
 def union(automata: list[Automaton]) -> Automaton:
     """One automaton with the sequences of all, their counts summed."""
     depth = max(len(a.labels) for a in automata)
-    names = pa.concat_arrays([pa.array(a.words, pa.large_string()) for a in automata]).dictionary_encode()
+    names = pa.concat_arrays([_large(a.words) for a in automata]).dictionary_encode()
     order = pc.sort_indices(names.dictionary)
-    rank = np.empty(len(order), dtype=np.int64)
+    rank = np.empty(len(order), dtype=np.int32)
     rank[np.asarray(order)] = np.arange(len(order))
     number = rank[np.asarray(names.indices)]
-    rows, counts, start = [], [], 0
+    size = sum(int(np.count_nonzero(level)) for automaton in automata for level in automaton.counts)
+    rows, counts = np.full((size, depth), -1, dtype=np.int32), np.empty(size, dtype=np.int64)
+    start, at = 0, 0
     for automaton in automata:
-        own = np.append(number[start:start + len(automaton.words)], -1)  # -1 stays -1
+        own = np.append(number[start:start + len(automaton.words)], np.int32(-1))  # -1 stays -1
         start += len(automaton.words)
         found, count = automaton.sequences()
-        rows.append(np.pad(own[found], ((0, 0), (0, depth - found.shape[1])), constant_values=-1))
-        counts.append(count)
-    rows, counts = _summed(np.concatenate(rows), np.concatenate(counts))
+        rows[at:at + len(found), :found.shape[1]] = own[found]
+        counts[at:at + len(found)] = count
+        at += len(found)
+    rows, counts = _summed(rows, counts)
     return Automaton.of_sorted(names.dictionary.take(order).to_pylist(), rows, counts)
 
 
@@ -192,7 +199,7 @@ class Ranges:
             held = at < len(words) and words[at] == first
             edges.append(at * wide + (bisect_left(words, second) + 1 if held else 0))
         second = rows[:, 1] + 1 if rows.shape[1] > 1 else 0
-        return low + np.searchsorted(np.array(edges, dtype=np.int64), rows[:, 0] * wide + second, side="right")
+        return low + np.searchsorted(np.array(edges, dtype=np.int64), rows[:, 0] * np.int64(wide) + second, side="right")
 
 
 def count_words(texts: pa.Array, lang: str, level: int, words: Filter | None, pairs: Filter | None) -> tuple[list[str], np.ndarray, np.ndarray, int]:
@@ -200,11 +207,13 @@ def count_words(texts: pa.Array, lang: str, level: int, words: Filter | None, pa
     words. Level 1: words, 2: pairs, 3: sequences of three to ``LONGEST``."""
     listed, ends = tokens(texts)
     coded = listed.dictionary_encode()
+    del listed  # as large as the texts
     order = pc.sort_indices(coded.dictionary)
-    rank = np.empty(len(order), dtype=np.int64)
+    rank = np.empty(len(order), dtype=np.int32)
     rank[np.asarray(order)] = np.arange(len(order))
     names = coded.dictionary.take(order).to_pylist()
     place = rank[np.asarray(coded.indices)]
+    del coded
     known = np.ones(len(names), dtype=bool)
     for mark in BREAKS:
         at = bisect_left(names, mark)
@@ -217,32 +226,46 @@ def count_words(texts: pa.Array, lang: str, level: int, words: Filter | None, pa
         return names, held[:, None], counts[held], int(counts.sum())
     hashes = word_hashes(lang, names)
     known &= words.holds(hashes)
-    place = np.where(known[place], place, -1) if len(names) else place
+    place[~known[place]] = -1
     wide = len(names)
     joined = (place[:-1] >= 0) & (place[1:] >= 0)
     borders = ends[ends > 0] - 1
     joined[borders[borders < len(joined)]] = False
     at = np.flatnonzero(joined)
-    keys = place[at] * wide + place[at + 1]
+    keys = place[at] * np.int64(wide) + place[at + 1]
     if level == 2:
         found, counts = np.unique(keys, return_counts=True)
         return names, np.column_stack([found // max(1, wide), found % max(1, wide)]), counts, 0
     found, inverse = np.unique(keys, return_inverse=True)
     frequent = pairs.holds(pair_hashes(hashes[found // max(1, wide)], hashes[found % max(1, wide)])) if len(found) else np.empty(0, dtype=bool)
-    pair = np.full(len(place), -1)
+    pair = np.full(len(place), -1, dtype=np.int32)
     pair[at] = np.where(frequent[inverse], inverse, -1)
-    now, rows, totals = pair, [np.empty((0, LONGEST), dtype=np.int64)], [np.empty(0, dtype=np.int64)]
+    del at, joined, keys, found, inverse
+    now, rows, totals = pair, [np.empty((0, LONGEST), dtype=np.int32)], [np.empty(0, dtype=np.int64)]
     for size in range(3, LONGEST + 1):
         at = np.flatnonzero((now[:len(now) - size + 2] >= 0) & (pair[size - 2:] >= 0)) if len(now) >= size else np.empty(0, dtype=np.int64)
-        _, first, inverse, counts = np.unique(now[at] * wide + place[at + size - 1], return_index=True, return_inverse=True, return_counts=True)
-        words_of = place[at[first][:, None] + np.arange(size)]
-        rows.append(np.pad(words_of, ((0, 0), (0, LONGEST - size)), constant_values=-1))
+        first, inverse, counts = _told_apart(now[at] * np.int64(wide) + place[at + size - 1])
+        words_of = np.full((len(first), LONGEST), -1, dtype=np.int32)
+        for ahead in range(size):
+            words_of[:, ahead] = place[at[first] + ahead]
+        rows.append(words_of)
         totals.append(counts)
-        now = np.full(len(place), -1)
+        now = np.full(len(place), -1, dtype=np.int32)
         now[at] = inverse
     return names, np.concatenate(rows), np.concatenate(totals), 0
 
 
+def _told_apart(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A place of every different key, each key's number among them, and the counts."""
+    order = np.argsort(keys).astype(np.int32)
+    keys = keys[order]
+    starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.empty(0, dtype=np.int64)
+    counts = np.diff(np.append(starts, len(keys)))
+    numbers = np.empty(len(keys), dtype=np.int32)
+    numbers[order] = np.repeat(np.arange(len(starts), dtype=np.int32), counts)
+    return order[starts], numbers, counts
+
+
 def _shipped(automata: list[tuple[int, str, int, Automaton]]) -> pa.RecordBatch:
     nested, longs = pa.list_(pa.list_(pa.int32())), pa.list_(pa.list_(pa.int64()))
     return pa.RecordBatch.from_arrays([
@@ -287,28 +310,30 @@ def frequent(texts: DataFrame, level: int, least: int, ranges: Ranges, words: Fi
         for lang, arrays in held.items():
             for one in _shard(pa.concat_arrays(arrays), lang, level, words, pairs, ranges):
                 yield _shipped([one])
+        del held
+        give_back()
 
     def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held, size, total = None, [], 0, 0
+        held: dict[str, list[Automaton]] = {}
+        totals: dict[str, int] = {}
+        size = 0
         for batch in batches:
             for at in range(len(batch)):
-                now = (batch["part"][at].as_py(), batch["lang"][at].as_py())
-                if now != key:
-                    if held:
-                        yield _frequent(key[1], union(held), total, least)
-                    key, held, size, total = now, [], 0, 0
+                lang = batch["lang"][at].as_py()
                 levels = [[np.asarray(level) for level in _inner(batch[name], at)] for name in ("sources", "labels", "counts")]
-                held.append(Automaton(batch["words"][at].as_py(), *levels))
+                held.setdefault(lang, []).append(Automaton(batch["words"][at].values, *levels))
+                totals[lang] = totals.get(lang, 0) + batch["total"][at].as_py()
                 size += sum(len(level) for level in levels[1])
-                total += batch["total"][at].as_py()
                 if size > HELD_ROWS:
-                    held = [union(held)]
-                    size = max(0, sum(len(level) for level in held[0].labels) - HELD_ROWS // 2)
-        if held:
-            yield _frequent(key[1], union(held), total, least)
+                    held = {lang: [union(automata)] for lang, automata in held.items()}
+                    size = max(0, sum(len(level) for (one,) in held.values() for level in one.labels) - HELD_ROWS // 2)
+        for lang in sorted(held):
+            yield _frequent(lang, union(held.pop(lang)), totals[lang], least)
+        give_back()
 
+    # a range is a task, so nothing is sorted and a task never holds several ranges
     shares = texts.mapInArrow(count, SHIPPED)
-    return shares.repartition("part").sortWithinPartitions("part", "lang").mapInArrow(unite, FREQUENT)
+    return shares.repartitionById(len(ranges.cuts) + 1, F.col("part")).mapInArrow(unite, FREQUENT)
 
 
 def _inner(column: pa.Array, at: int) -> list[pa.Array]:

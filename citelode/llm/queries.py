@@ -10,6 +10,7 @@ from citelode.llm import (
     turns, url_filter, warc,
 )
 from citelode.llm.common import table
+from citelode.session import small_batches
 
 
 def tokenizer_path() -> str:
@@ -87,6 +88,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return phrases.collocations(table(spark, sf_dir, "documents"))
 
 

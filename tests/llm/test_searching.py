@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -73,6 +74,22 @@ def test_phrases_against_counting(spark, monkeypatch, least, first):
     assert found
 
 
+def test_phrase_ranges_have_a_task_each(spark):
+    cuts = phrases.Ranges(tuple(("en", f"w{i}", "a") for i in range(1, 9)) + (("fr", "w4", "a"),))
+    docs = spark.createDataFrame([(lang, " ".join(f"w{i}" for i in range(9))) for lang in ("en", "fr", "it")], "lang string, text string")
+    found = phrases.frequent(docs, 1, 1, cuts)
+    rows = found.filter("size = 1").select("lang", "phrase", F.spark_partition_id().alias("task")).collect()
+    assert len(rows) == 27
+    assert all(row["task"] == cuts.of(row["lang"], [row["phrase"]]) for row in rows)  # no task holds two ranges
+    assert "Sort" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_phrase_sequences_are_numbers_of_32_bits():
+    names, rows, counts, _ = phrases.count_words(pa.array(["a b c d e"] * 3, pa.large_string()), "en", 3, *[phrases.Filter(np.array([2**64 - 1], dtype=np.uint64))] * 2)
+    automaton = phrases.Automaton.of_sorted(names, rows[np.lexsort(rows.T[::-1])], counts)
+    assert {rows.dtype, automaton.sequences()[0].dtype, *(level.dtype for level in (*automaton.sources, *automaton.labels))} == {np.dtype(np.int32)}
+
+
 def test_phrases_of_nothing(spark):
     empty = spark.createDataFrame([], "lang string, text string")
     assert phrases.collocations(empty).collect() == []
