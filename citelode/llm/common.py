@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import functools
 import gc
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -130,6 +131,20 @@ def give_back() -> None:
         trim(0)
 
 
+def tidy(work: Callable[..., pa.Array]) -> Callable[..., pa.Array]:
+    """``work`` on a batch, after which the worker gives back what it freed: workers wait for their next task with
+    what they hold, several to an executor, while the JVM beside them needs the room."""
+
+    @functools.wraps(work)
+    def tidied(*columns: pa.Array) -> pa.Array:
+        try:
+            return work(*columns)
+        finally:
+            give_back()
+
+    return tidied
+
+
 def portions(texts: pa.Array, most: int = 2_000_000, rows: int = 2_000) -> Iterator[tuple[int, int]]:
     """Row ranges of about ``most`` bytes of text each, so that working memory does not
     follow the rows of a batch; a longer text is a range of its own."""

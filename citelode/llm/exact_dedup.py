@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from citelode.llm.common import BLANKS, BlockedBloom, forget, one_of_each, row_key, same, whole_text
+from citelode.llm.common import BLANKS, BlockedBloom, forget, one_of_each, row_key, same, tidy, whole_text
 from citelode.session import shared_table
 
 #: Two primes under 2^31, so that products stay inside a long, and their bases.
@@ -64,6 +64,7 @@ def piece_maps(data: bytes, size: int = HASHED) -> list[tuple[int, int, int, int
 
 
 @F.arrow_udf(_PIECES)
+@tidy
 def hash_pieces(texts: pa.Array) -> pa.Array:
     forget()
     rows = [[dict(zip(_FIELDS, piece, strict=True)) for piece in piece_maps(text.as_py().encode())] for text in texts]
@@ -116,6 +117,7 @@ PRINT = ["h1", "h2", "n"]
 
 
 @F.arrow_udf(T.ArrayType(T.StringType()))
+@tidy
 def compared_pieces(texts: pa.Array) -> pa.Array:
     """A text in pieces of ``COMPARED`` characters, cut in one pass; an empty text is one empty piece."""
     rows = ([text[at : at + COMPARED] for at in range(0, max(1, len(text)), COMPARED)] for text in texts.to_pylist())

@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from citelode.llm.common import BlockedBloom, forget, one_of_each, portions, row_key, same, whole_text
+from citelode.llm.common import BlockedBloom, forget, one_of_each, portions, row_key, same, tidy, whole_text
 from citelode.operators.sizing import lookup_join
 from citelode.session import shared_table
 
@@ -144,6 +144,7 @@ _SIGNATURE_ARROW = pa.struct([
 
 def signature(plan: Plan, text: Column) -> Column:
     @F.arrow_udf(_SIGNATURE)
+    @tidy
     def signed(texts: pa.Array) -> pa.Array:
         forget()
         out = []
@@ -164,6 +165,7 @@ def signature(plan: Plan, text: Column) -> Column:
 def packed_words(text: Column) -> Column:
     """The words of a text joined by spaces, compressed."""
     @F.arrow_udf(T.BinaryType())
+    @tidy
     def packed(texts: pa.Array) -> pa.Array:
         squeeze = zstandard.ZstdCompressor(level=3)
         return pa.array([squeeze.compress(b" ".join(words_of(value.as_py()))) for value in texts], type=pa.binary())
@@ -184,6 +186,7 @@ def _sets_of(packed: pa.Array, plan: Plan) -> Iterator[np.ndarray]:
 
 def shingle_set(plan: Plan, packed: Column) -> Column:
     @F.arrow_udf(_LONGS)
+    @tidy
     def sets(values: pa.Array) -> pa.Array:
         return pa.array([own.view(np.int64) for own in _sets_of(values, plan)], type=pa.list_(pa.int64()))
 
@@ -197,6 +200,7 @@ def overlap(plan: Plan, left: Column, right: Column) -> Column:
     """``common, a, b``: shingles that two packed texts share, and the sizes of their sets."""
 
     @F.arrow_udf(_OVERLAP)
+    @tidy
     def counted(some: pa.Array, others: pa.Array) -> pa.Array:
         counts = [
             (len(np.intersect1d(a, b, assume_unique=True)), len(a), len(b))
@@ -265,6 +269,7 @@ def _prefixes(members: DataFrame, packed: DataFrame, plan: Plan) -> DataFrame:
     counts[seen.column("slot").to_numpy()] = seen.column("n").to_numpy()
 
     @F.arrow_udf(_FIRST)
+    @tidy
     def first_ones(values: pa.Array) -> pa.Array:
         out = []
         for own in _sets_of(values, plan):
@@ -285,6 +290,7 @@ def _possible_pairs(plan: Plan, few: Column, many: Column) -> Column:
     """Pairs across components whose places and sizes leave room for the overlap needed."""
 
     @F.arrow_udf(_PAIRS)
+    @tidy
     def paired(left: pa.Array, right: pa.Array) -> pa.Array:
         out = []
         for some, others in zip(left, right, strict=True):

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from citelode.llm import exact_dedup, near_dup, pack, toxicity
+from citelode.llm import common, exact_dedup, near_dup, pack, toxicity
 from citelode.llm.queries import ORACLES, tokenizer_path
 from citelode.session import shared_table
 from tests.llm.test_methods import brute_components
@@ -96,3 +96,18 @@ def test_stages_after_the_classifier_empty_its_memory():
     scored.worst(["some words here"])
     exact_dedup.hash_pieces.func(pa.array(["a text"]))
     assert not toxicity._MEMORY
+
+
+def test_duplicate_stages_give_memory_back_after_every_batch(monkeypatch):
+    given = []
+    monkeypatch.setattr(common, "give_back", lambda: given.append(1))
+    toxicity._MEMORY.clear()
+    pack.WordTokens._known.clear()
+    for work, column in ((exact_dedup.hash_pieces, ["a text"]), (exact_dedup.compared_pieces, ["", "a text"])):
+        given.clear()
+        assert len(work.func(pa.array(column))) == len(column)
+        assert given
+    given.clear()
+    with pytest.raises(AttributeError):
+        exact_dedup.hash_pieces.func(pa.array([None], pa.string()))
+    assert given
