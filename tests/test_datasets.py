@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -105,6 +106,41 @@ def test_boilerplate(spark):
     assert out[9] == f"{chrome} x"
 
 
+def stripped_plainly(rows):
+    out = {}
+    for category in {row[1] for row in rows}:
+        pages = [(i, text) for i, own, text in rows if own == category]
+        if len(pages) < X.MIN_PAGES:
+            out.update(pages)
+            continue
+        words = {i: text.split() for i, text in pages}
+        grams = {i: [tuple(w[at:at + X.GRAM]) for at in range(len(w) - X.GRAM + 1)] for i, w in words.items()}
+        seen = Counter(gram for own in grams.values() for gram in set(own))
+        for i, w in words.items():
+            marked = {at + k for at, gram in enumerate(grams[i]) if seen[gram] >= max(X.MIN_PAGES, X.REPEAT_SHARE * len(pages)) for k in range(X.GRAM)}
+            runs, run = [], []
+            for at in range(len(w) + 1):
+                if at < len(w) and at not in marked:
+                    run.append(w[at])
+                elif run:
+                    runs, run = runs + [run] * (len(run) >= X.MIN_RUN), []
+            out[i] = "\n\n".join(map(" ".join, runs))
+    return out
+
+
+def test_boilerplate_without_a_row_per_word(spark, monkeypatch):
+    monkeypatch.setattr(X, "GRAM_ROWS", 500)  # several tasks
+    rng = random.Random(5)
+    chrome = [" ".join(rng.choice("abcdefgh") + rng.choice("xyz") for _ in range(n)) for n in (6, 7, 11, 30)]
+    rows = []
+    for i in range(60):
+        parts = [rng.choice(chrome) if rng.random() < 0.5 else " ".join(f"w{rng.randrange(900)}" for _ in range(rng.randrange(0, 20))) for _ in range(rng.randrange(0, 7))]
+        rows.append((i, ("big", "big", "mid", f"small{i // 9}")[i % 4], " ".join(" ".join(parts).split())))
+    found = X.strip_boilerplate(spark.createDataFrame(rows, "id long, category string, text string"))
+    assert {r["id"]: r["text"] for r in found.collect()} == stripped_plainly(rows)
+    assert "Window" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_reuse_names_the_previous_item(spark):
     rows = [("d", 5, 1), ("d", 5, 5000), ("d", 5, 9000), ("d", 6, 2)]
     out = X.reused_pages(spark.createDataFrame(rows, "domain string, page long, id long"), ["domain"], ["page"])
