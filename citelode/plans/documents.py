@@ -79,7 +79,7 @@ def word_token_stats(spark, sf_dir):
     words = T.words(F.col("text"), 3)
     return docs(spark, sf_dir).select(
         "doc_id", long(F.size(words), "n_words"), long(F.size(F.array_distinct(words)), "n_distinct"),
-        T.has_quantity(F.col("text")).alias("has_quantity"),
+        T.has_quantity(F.col("text"), "0-9").alias("has_quantity"),
         T.direction(F.col("text")).alias("direction"),
         F.md5(T.snippet(F.col("text"))).alias("snippet_md5"),
     )

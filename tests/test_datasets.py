@@ -227,3 +227,18 @@ def test_near_duplicate_prefixes_of_a_pair_meet_rarely(spark):
     met = keys.join(other, "token").filter("cid < other")
     inside = met.filter(N._in_prefix(F.col("n"), F.col("m"), F.col("at"), F.col("other_at"), 0.6)).count()
     assert 0 < inside * 3 < met.count() * 2
+
+
+def test_inventory_counts_numbers_of_any_script(spark, tmp_path):
+    import duckdb
+
+    from citelode.plans import datasets as P
+
+    body = "words of a page " * 40
+    rows = [(1, "http://a/1", body + "٣٤ days"), (2, "http://a/2", body + "७ days"), (3, "http://b/1", body + "70 days"), (4, "http://b/2", body)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    found = sorted(tuple(row) for row in P.page_inventory(spark, str(tmp_path)).collect())
+    assert found == [("a", 2, 1), ("b", 2, 1)]
+    duckdb.sql(f"CREATE OR REPLACE TEMP VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    assert found == sorted(duckdb.sql(P.ORACLES["page_inventory"]).fetchall())
+    duckdb.sql("DROP VIEW pages")
