@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from citelode.operators import fusion, keyword, layout, postings
 from citelode.operators.layout import Keyed
 from citelode.plans import index, retrieval
+from citelode.plans import tables as D
 
 
 def chunks_of(spark, n=150, words=60):
@@ -144,3 +145,64 @@ def test_chunks_are_counted_without_sorting_their_words(spark):
 def test_texts_of_ranked_chunks_do_not_search_again(spark, sf_dir):
     found = retrieval.texts_of(spark, sf_dir, retrieval.sparse_stage(spark, sf_dir))
     assert found.count() and "MapInArrow" not in found._jdf.queryExecution().toString()
+
+
+def test_long_words_many_repeats_and_nulls_in_blocks(spark, tmp_path):
+    """Words and counts that need wide numbers, chunks without words, an empty and a null word, equal and null ids."""
+    rows = [("a", ["x"] * 300 + ["y"]), ("b", ["w" * 300, "x", ""]), ("c", []), ("d", None), ("e", ["y", None, "é"]), ("e", ["y"]), (None, ["x"])]
+    frame = spark.createDataFrame([(c, "k", t) for c, t in rows], "chunk_id string, category string, tokens array<string>")
+    path = str(tmp_path / "keywords")
+    postings.build(frame, path)
+    stored = postings.open_keywords(spark, path)
+    ids = {(r["shard"], r["number"]): r["chunk_id"] for r in stored.chunks.collect()}
+    mean = sum(len(t or []) for _, t in rows) / len(rows)
+    wanted = sorted(
+        (word, str(c), round(t.count(word) / (t.count(word) + 1.5 * (0.25 + 0.75 * len(t) / mean)), 12)) for c, t in rows for word in {w for w in t or [] if w is not None}
+    )
+    found = stored.postings.collect()
+    assert sorted((r["token"], str(ids[r["shard"], at]), round(x, 12)) for r in found for at, x in zip(r["numbers"], r["impacts"])) == wanted
+    assert all(r["n"] == len(r["numbers"]) and r["top"] == max(r["impacts"]) and r["numbers"] == sorted(r["numbers"]) for r in found)
+    assert sum(r["cf"] for r in found) == sum(1 for _, t in rows for w in t or [] if w is not None)
+
+
+def test_postings_travel_packed(spark, tmp_path):
+    """No task receives words with their counts or postings as lists of rows; both are a few bytes each on their way."""
+    rng = random.Random(3)
+    rows = [(f"c{i:05d}", "k", [f"word{rng.randrange(400)}" for _ in range(60)]) for i in range(4_000)]
+    frame = spark.createDataFrame(rows, "chunk_id string, category string, tokens array<string>")
+    counted = postings._counted(frame, ["chunk_id"], packed=True)
+    size = counted.agg(F.sum(F.length("words") + F.length("sizes"))).first()[0]
+    assert size < 12 * sum(len(set(t)) for _, _, t in rows)
+    numbered = counted.withColumn("shard", F.lit(0)).withColumn("number", F.substring("chunk_id", 2, 5).cast("int")).coalesce(1).sortWithinPartitions("number")
+    blocks = numbered.select("shard", "number", "dl", "width", "words", "sizes").mapInArrow(postings._blocks, "token string, shard int, kind int, postings binary")
+    assert blocks.agg(F.sum(F.length("postings"))).first()[0] == 5 * sum(len(set(t)) for _, _, t in rows)
+
+
+def test_scores_do_not_depend_on_skipping():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        lists = []
+        for _ in range(rng.integers(1, 9)):
+            chunk = np.sort(rng.choice(300, rng.integers(1, 200), replace=False))
+            impact = rng.random(len(chunk))
+            lists.append((float(rng.random() * 5), float(impact.max()), chunk, impact))
+        total = np.zeros(300)
+        for weight, _, chunk, impact in lists:
+            total[chunk] += weight * impact
+        numbers, scores = postings.scored(lists, 5, 0.0)
+        best = sorted(total, reverse=True)[:5]
+        assert np.allclose(sorted(scores, reverse=True)[:5], [x for x in best if x > 0]) and np.allclose(total[numbers], scores)
+
+
+def test_chunks_are_stored_once(spark, sf_dir):
+    assert sorted(D.index(spark, sf_dir).inputFiles()) == sorted(D.texts(spark, sf_dir).rows.inputFiles())
+
+
+def test_changed_files_are_dealt_before_they_are_chunked(spark, tmp_path):
+    files = spark.createDataFrame([(f"car/pages/{i}.txt", "car", f"Word{i} common.") for i in range(40)], "file string, category string, text string")
+    path = str(tmp_path / "index")
+    index.build(files.filter("file < 'car/pages/2'"), path)
+    plan = index.refresh(files, path)._jdf.queryExecution().executedPlan().toString()
+    assert plan.rindex("ArrowEvalPython") < plan.rindex("REPARTITION_BY_NUM")
