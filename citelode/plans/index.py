@@ -15,7 +15,7 @@ from citelode.operators.layout import Keyed
 from citelode.operators.quality import CanaryGate
 from citelode.operators.sizing import small_side, within
 from citelode.providers import identity, provider
-from citelode.session import cut_lineage
+from citelode.session import cut_lineage, release_shuffles
 from citelode.sources import sinks
 
 
@@ -72,15 +72,22 @@ def index_rows(files: DataFrame, config: IndexConfig) -> DataFrame:
 SPREAD = 32
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """``rows`` dealt by category and file, so that a category's folder has few files and a large one many writers. The number
+    of tasks is fixed, since files are small beside the work that they make."""
+    tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.sparkSession.sparkContext.defaultParallelism)
+    return rows.repartition(tasks, "category", F.pmod(F.xxhash64("file"), F.lit(SPREAD)))
+
+
 def _write(rows: DataFrame, path: str, config: IndexConfig, passed: Callable[[], None] = lambda: None) -> None:
-    """Write chunks partitioned by category, so a category filter prunes folders, the keyword
-    index, the texts laid out by chunk id, then the manifest; all appear at once. Every build has a staging folder of its own, and rows
-    are dealt by category and file, so a folder has few files and a large one many writers.
+    """Write chunks (``dealt`` as files, before they grow) partitioned by category, so a category filter prunes folders, the keyword
+    index, the texts laid out by chunk id, then the manifest; all appear at once. Every build has a staging folder of its own.
     ``passed`` is asked once the chunks are written; if it raises, the build goes and the old index stays."""
     spark = rows.sparkSession
+    tokens = provider("normalizer", config.normalizer)
     staging = f"{path}.build-{uuid.uuid4().hex[:8]}"
-    dealt = rows.repartition("category", F.pmod(F.xxhash64("file"), F.lit(SPREAD)))
-    dealt.write.partitionBy("category").parquet(f"{staging}/chunks")
+    rows.write.partitionBy("category").option("compression", "zstd").parquet(f"{staging}/chunks")
+    release_shuffles(spark)
     try:
         passed()
     except Exception:
@@ -88,7 +95,9 @@ def _write(rows: DataFrame, path: str, config: IndexConfig, passed: Callable[[],
         raise
     stored = spark.read.parquet(f"{staging}/chunks")
     postings.build(stored.select("chunk_id", "category", "tokens"), f"{staging}/keywords")
-    Keyed.write(stored.select("chunk_id", "file", "page", "category", "text", "tokens"), f"{staging}/texts", "chunk_id", stored.count())
+    texts = stored.select("chunk_id", "file", "page", "category", "text")
+    derived = lambda df: df.withColumn("tokens", tokens(F.col("text")))
+    Keyed.write(texts, f"{staging}/texts", "chunk_id", stored.count(), derived=derived)
     sinks.write_text(spark, json.dumps(config.index_identity(), sort_keys=True), f"{staging}/manifest.json")
     sinks.publish(spark, staging, path)
 
@@ -97,10 +106,10 @@ def build(files: DataFrame, path: str, config: IndexConfig = IndexConfig(), gate
     """Index ``files`` anew. A ``gate`` watches the texts while they are indexed, without another scan,
     and stops the build before it is published."""
     if gate is None:
-        _write(index_rows(files, config), path, config)
+        _write(index_rows(dealt(files), config), path, config)
         return
     watched, seen = gate.watch(files)
-    _write(index_rows(watched, config), path, config, lambda: gate.require(seen))
+    _write(index_rows(dealt(watched), config), path, config, lambda: gate.require(seen))
 
 
 def update(files: DataFrame, path: str, config: IndexConfig = IndexConfig()) -> None:
@@ -128,8 +137,8 @@ def refresh(files: DataFrame, path: str, config: IndexConfig = IndexConfig()) ->
     stored = open_index(spark, path, config)
     current = fingerprinted(files, config)
     known = stored.select("file", "fingerprint").distinct()
-    fresh = index_rows(history.not_done(current, known, ["file", "fingerprint"]).drop("fingerprint"), config)
-    kept = stored.join(small_side(current.select("file", "fingerprint")), ["file", "fingerprint"], "left_semi")
+    fresh = index_rows(dealt(history.not_done(current, known, ["file", "fingerprint"]).drop("fingerprint")), config)
+    kept = dealt(stored.join(small_side(current.select("file", "fingerprint")), ["file", "fingerprint"], "left_semi"))
     return kept.unionByName(fresh.select(*kept.columns))
 
 
