@@ -229,6 +229,45 @@ def test_near_duplicate_prefixes_of_a_pair_meet_rarely(spark):
     assert 0 < inside * 3 < met.count() * 2
 
 
+def test_candidates_are_counted_block_by_block(spark, monkeypatch):
+    """Blocks and portions of any size give the pairs that share enough of their prefixes, and no pair moves before."""
+    rng = random.Random(12)
+    rows = [(i, [f"w{int(rng.expovariate(0.05))}" for _ in range(rng.randrange(1, 60))]) for i in range(150)] + [(None, ["w1", "w2"])]
+    keyed = N._keyed(spark.createDataFrame(rows, "ord long, tokens array<string>"))
+    classes = N._classes(keyed).localCheckpoint()
+    frequency = classes.select(F.explode("tokens").alias("token"), F.lit(1).alias("df"))
+    keys = N._rarest(classes, N._rarity(frequency), 0.6).withColumn("before", F.when(F.col("cid") % 3 > 0, F.col("cid"))).localCheckpoint()
+    held = {r["cid"]: (r["n"], r["before"], list(r["keys"])) for r in keys.collect()}
+    expected = set()
+    for cid, (n, before, own) in held.items():
+        for other, (m, _, theirs) in held.items():
+            if (before is None or other < before) and m >= n * 0.6 - 1e-9 and m * 0.6 <= n + 1e-9:
+                least = N._least_shared(n, m, 0.6, N.ARRAYS)
+                met = sum(key in theirs and bool(N._in_prefix(n, m, at + 1, theirs.index(key) + 1, 0.6, N.ARRAYS)) for at, key in enumerate(own))
+                expected |= {(cid, other)} if met >= least else set()
+    for members, meetings in ((10_000, 1_000_000), (40, 7)):
+        monkeypatch.setattr(N, "HOT_MEMBERS", members)
+        monkeypatch.setattr(N, "MEETINGS", meetings)
+        found = N._candidates(keys, keys.select("cid", "n", "keys"), 0.6)
+        assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+        pairs = [tuple(r) for r in found.collect()]
+        assert set(pairs) == expected and len(pairs) == len(expected) > 100
+
+
+def test_colliding_hashes_lose_no_pair(spark):
+    """Sets are compared as they are: tokens of equal 32-bit hashes neither make nor break a match."""
+    seen, clash = {}, []
+    for i, h in enumerate(r[0] for r in spark.range(200_000).select(F.hash(F.concat(F.lit("t"), F.col("id").cast("string")))).collect()):
+        if h in seen:
+            clash.append((f"t{seen[h]}", f"t{i}"))
+        seen[h] = i
+    (a, b), rest = clash[0], ["x", "y"]
+    rows = [(0, [a, b, *rest]), (1, [a, b, "x", "z"]), (2, [a, *rest, "p"]), (3, [b, "q", "r", "x"])]
+    wanted = {i: next((j for j in range(i) if jaccard(rows[i][1], rows[j][1]) >= 0.6), None) for i in range(4)}
+    found = {r["ord"]: r["match"] for r in N.first_near_duplicates(spark.createDataFrame(rows, "ord long, tokens array<string>")).collect()}
+    assert found == {i: j for i, j in wanted.items() if j is not None}
+
+
 def test_inventory_counts_numbers_of_any_script(spark, tmp_path):
     import duckdb
 
